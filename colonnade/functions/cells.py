@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,7 +36,7 @@ def type_of(df: DataFrame, name: str) -> T.DataType:
 
 def quoted(name: str) -> Column:
     """Column by exact name, dots included."""
-    return F.col("`" + name.replace("`", "``") + "`")
+    return F.col(sql_name(name))
 
 
 def is_floating(dtype: T.DataType) -> bool:
@@ -97,23 +99,38 @@ def ratio(a: Column, b: Column) -> Column:
     return F.try_divide(a.cast("double"), b.cast("double"))
 
 
-def as_time(c: Column, dtype: T.DataType) -> Column:
+def time(df: DataFrame, name: str) -> Column:
     """Timestamp without time zone; unreadable text becomes null.
 
     Text longer than any date, or without a digit, is not offered to the parsers.
     """
+    dtype = type_of(df, name)
     if isinstance(dtype, TIME_TYPES):
-        return c.cast("timestamp_ntz")
+        return quoted(name).cast("timestamp_ntz")
     if not isinstance(dtype, T.StringType):
         return F.lit(None).cast("timestamp_ntz")
-    s = stripped(c)
-    tries = [s.try_cast("timestamp_ntz")]
-    tries += [F.try_to_timestamp(s, F.lit(p)).cast("timestamp_ntz") for p in TIME_FORMATS]
-    return F.when((F.length(s) <= 40) & s.rlike("[0-9]"), F.coalesce(*tries))
+    blanks = sql_text(WHITESPACE)
+    return text_as_time(f"trim(BOTH {blanks} FROM {sql_name(name)})")
 
 
-def time(df: DataFrame, name: str) -> Column:
-    return as_time(quoted(name), type_of(df, name))
+def text_as_time(s: str) -> Column:
+    """Timestamp from a column of stripped text, by the first layout that fits.
+
+    Wide plans are written as SQL text: one call to the JVM per expression instead of one per operator.
+    """
+    tries = [f"try_cast({s} AS timestamp_ntz)"]
+    tries += [f"CAST(try_to_timestamp({s}, {sql_text(p)}) AS timestamp_ntz)" for p in TIME_FORMATS]
+    return F.expr(f"CASE WHEN length({s}) <= 40 AND {s} RLIKE '[0-9]' THEN coalesce({', '.join(tries)}) END")
+
+
+def sql_text(value: str) -> str:
+    """A string literal in SQL text."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def sql_name(name: str) -> str:
+    """A column name in SQL text."""
+    return "`" + name.replace("`", "``") + "`"
 
 
 def distinct_key(c: Column, dtype: T.DataType) -> Column:
@@ -144,6 +161,26 @@ def hash_order(keys: list[str], salt) -> Column:
     return F.md5(F.concat_ws("|", *[quoted(k).cast("string") for k in keys], F.lit(str(salt))))
 
 
-def inline_rows(agg: DataFrame, structs: list[Column]) -> DataFrame:
-    """One output row per struct, from a one-row aggregate."""
-    return agg.select(F.inline(F.array(*structs)))
+def numbers(df: DataFrame, names: list[str], keep: list[str] | None = None) -> DataFrame:
+    """Only the numeric values of the named columns, as v_0, v_1, ..; computed once per row for all uses."""
+    return df.select(*(keep or []), *[number(df, c).alias(f"v_{i}") for i, c in enumerate(names)])
+
+
+def inline_rows(agg: DataFrame, rows: list[dict[str, str]]) -> DataFrame:
+    """One output row per dictionary of `name: SQL expression`, from a one-row aggregate."""
+    structs = ", ".join(
+        "named_struct(" + ", ".join(f"{sql_text(name)}, {value}" for name, value in row.items()) + ")" for row in rows
+    )
+    return agg.select(F.expr(f"inline(array({structs}))"))
+
+
+def aggregate(df: DataFrame, expressions: dict[str, str]) -> DataFrame:
+    """One-row aggregate from `name: SQL expression`."""
+    return df.agg(*[F.expr(f"{value} AS {sql_name(name)}") for name, value in expressions.items()])
+
+
+def sql_double(value: float | None) -> str:
+    """A double literal in SQL text."""
+    if value is None:
+        return "CAST(NULL AS DOUBLE)"
+    return f"CAST('{value!r}' AS DOUBLE)" if math.isinf(value) else f"{float(value)!r}D"

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from colonnade.functions import cells
@@ -15,23 +15,14 @@ from colonnade.settings import DEFAULTS, Settings
 
 def rank_by_spread(df: DataFrame, columns: list[str]) -> DataFrame:
     """Columns by std / (|mean| + 1e-5), widest first: (position, column, spread, rank)."""
-    aggs, structs = [], []
+    aggs, rows = {}, []
     for i, c in enumerate(columns):
-        v = cells.number(df, c)
-        aggs += [F.count(v).alias(f"n_{i}"), F.stddev_samp(v).alias(f"s_{i}"), F.avg(v).alias(f"m_{i}")]
-        spread = F.col(f"s_{i}") / (F.abs(F.col(f"m_{i}")) + 1e-5)
-        structs.append(F.struct(
-            F.lit(i).cast("long").alias("position"),
-            F.lit(c).alias("column"),
-            F.when(F.col(f"n_{i}") > 1, spread).otherwise(0.0).alias("spread"),
-        ))
-    ranked = F.array_sort(
-        F.array(*structs),
-        lambda a, b: F.when(a["spread"] > b["spread"], -1).when(a["spread"] < b["spread"], 1)
-        .otherwise((a["position"] - b["position"]).cast("int")),
-    )
-    ordered = df.agg(*aggs).select(F.posexplode(ranked).alias("at", "x"))
-    return ordered.select("x.position", "x.column", "x.spread", (F.col("at") + 1).cast("long").alias("rank"))
+        aggs |= {f"n_{i}": f"count(v_{i})", f"s_{i}": f"stddev_samp(v_{i})", f"m_{i}": f"avg(v_{i})"}
+        spread = f"CASE WHEN n_{i} > 1 THEN s_{i} / (abs(m_{i}) + 1e-5D) ELSE 0.0D END"
+        rows.append({"position": f"{i}L", "column": cells.sql_text(c), "spread": spread})
+    long = cells.inline_rows(cells.aggregate(cells.numbers(df, columns), aggs), rows)
+    order = Window.partitionBy().orderBy(F.desc("spread"), "position")  # one row per column of the table
+    return long.withColumn("rank", F.row_number().over(order).cast("long"))
 
 
 def select_columns(
@@ -46,11 +37,10 @@ def select_columns(
 
 def _column_facts(df: DataFrame, columns: list[str]) -> dict[str, dict]:
     """Count, mean and range per column on the driver; they centre the sums of the second pass."""
-    aggs = []
-    for i, c in enumerate(columns):
-        v = cells.number(df, c)
-        aggs += [F.count(v).alias(f"n_{i}"), F.avg(v).alias(f"m_{i}"), F.min(v).alias(f"lo_{i}"), F.max(v).alias(f"hi_{i}")]
-    row = df.agg(F.count(F.lit(1)).alias("total"), *aggs).first()
+    aggs = {"total": "count(1)"}
+    for i in range(len(columns)):
+        aggs |= {f"n_{i}": f"count(v_{i})", f"m_{i}": f"avg(v_{i})", f"lo_{i}": f"min(v_{i})", f"hi_{i}": f"max(v_{i})"}
+    row = cells.aggregate(cells.numbers(df, columns), aggs).first()
     return {
         c: {
             "complete": row[f"n_{i}"] == row["total"], "mean": row[f"m_{i}"] or 0.0,
@@ -72,33 +62,28 @@ def pair_correlations(
     facts = _column_facts(df, columns)
     # Squared deviation per row below which a column counts as constant: rounding of its largest value.
     floor = {c: math.inf if f["constant"] else (1e-13 * f["size"]) ** 2 for c, f in facts.items()}
-    centred = {c: cells.number(df, c) - F.lit(facts[c]["mean"]) for c in columns}
     at = {c: i for i, c in enumerate(columns)}
+    wide = df.select(*[(cells.number(df, c) - F.lit(facts[c]["mean"])).alias(f"x_{i}") for c, i in at.items()])
     parts = []
     for k in range(0, len(pairs), settings.pairs_per_aggregate):
-        chunk = pairs[k:k + settings.pairs_per_aggregate]
-        sums: dict[str, Column] = {"rows": F.count(F.lit(1))}
-        structs = []
-        for i, (a, b) in enumerate(chunk):
-            x, y = centred[a], centred[b]
+        sums, rows = {"rows": "count(1)"}, []
+        for i, (a, b) in enumerate(pairs[k:k + settings.pairs_per_aggregate]):
+            x, y = f"x_{at[a]}", f"x_{at[b]}"
             whole = facts[a]["complete"] and facts[b]["complete"]
+            sides = {}
+            for side, c, v, other in (("a", a, x, y), ("b", b, y, x)):
+                key = f"c{at[c]}" if whole else f"p{i}{side}"
+                only = "" if whole else f" FILTER (WHERE {other} IS NOT NULL)"
+                sums |= {f"{key}_s": f"sum({v}){only}", f"{key}_q": f"sum({v} * {v}){only}"}
+                sides |= {f"s_{side}": f"{key}_s", f"q_{side}": f"{key}_q", f"floor_{side}": cells.sql_double(floor[c])}
+            sums[f"xy_{i}"] = f"sum({x} * {y})"
             if not whole:
-                x, y = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
-            ka, kb = (f"c{at[a]}", f"c{at[b]}") if whole else (f"p{i}a", f"p{i}b")
-            for key, v in ((ka, x), (kb, y)):
-                sums.setdefault(f"{key}_s", F.sum(v))
-                sums.setdefault(f"{key}_q", F.sum(v * v))
-            sums[f"xy_{i}"] = F.sum(x * y)
-            if not whole:
-                sums[f"n_{i}"] = F.count(x)
-            structs.append(F.struct(
-                F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b"),
-                F.col("rows" if whole else f"n_{i}").alias("n"),
-                F.col(f"{ka}_s").alias("s_a"), F.col(f"{ka}_q").alias("q_a"), F.lit(floor[a]).alias("floor_a"),
-                F.col(f"{kb}_s").alias("s_b"), F.col(f"{kb}_q").alias("q_b"), F.lit(floor[b]).alias("floor_b"),
-                F.col(f"xy_{i}").alias("xy"),
-            ))
-        parts.append(cells.inline_rows(df.agg(*[v.alias(name) for name, v in sums.items()]), structs))
+                sums[f"n_{i}"] = f"count({x}) FILTER (WHERE {y} IS NOT NULL)"
+            rows.append({
+                "feature_a": cells.sql_text(a), "feature_b": cells.sql_text(b),
+                "n": "rows" if whole else f"n_{i}", **sides, "xy": f"xy_{i}",
+            })
+        parts.append(cells.inline_rows(cells.aggregate(wide, sums), rows))
     n = F.col("n").cast("double")
 
     def spread(side):

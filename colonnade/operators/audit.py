@@ -33,7 +33,7 @@ def target_copies(df: DataFrame, target: str) -> DataFrame:
     ]
     one = df.agg(F.count(F.lit(1)).alias("n"), *[t.alias(f"t_{i}") for i, t in enumerate(tests)])
     return cells.inline_rows(one, [
-        F.struct(F.lit(c).alias("column"), F.col(f"t_{i}").alias("is_copy")) for i, c in enumerate(others)
+        {"column": cells.sql_text(c), "is_copy": f"t_{i}"} for i, c in enumerate(others)
     ])
 
 
@@ -64,7 +64,7 @@ def identical_columns(df: DataFrame, columns: list[str] | None = None) -> DataFr
         return df.sparkSession.createDataFrame([], schema)
     one = df.agg(*[F.bool_and(cells.same_cell(df, a, b)).alias(f"e_{i}") for i, (a, b) in enumerate(pairs)])
     return cells.inline_rows(one, [
-        F.struct(F.lit(b).alias("column"), F.lit(a).alias("first_column"), F.col(f"e_{i}").alias("equal"))
+        {"column": cells.sql_text(b), "first_column": cells.sql_text(a), "equal": f"e_{i}"}
         for i, (a, b) in enumerate(pairs)
     ]).filter("equal").select("column", "first_column")
 

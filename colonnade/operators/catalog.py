@@ -31,31 +31,55 @@ def profiled_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, cells.PROFILED_TYPES)]
 
 
-def _fact_aggregates(df: DataFrame, name: str, i: int, with_distinct: bool) -> list[Column]:
+def _fact_inputs(df: DataFrame, names: list[str]) -> DataFrame:
+    """Cells as the facts need them, computed once per row: r_i raw, s_i stripped text, m_i missing."""
+    columns = []
+    for i, c in enumerate(names):
+        dtype = cells.type_of(df, c)
+        columns += [
+            cells.without_nan(cells.quoted(c), dtype).alias(f"r_{i}"), cells.is_missing(df, c).alias(f"m_{i}")
+        ]
+        if isinstance(dtype, T.StringType):
+            columns.append(cells.stripped(cells.quoted(c)).alias(f"s_{i}"))
+    return df.select(*columns)
+
+
+def _fact_aggregates(df: DataFrame, name: str, i: int, with_distinct: bool) -> dict[str, str | Column]:
     dtype = cells.type_of(df, name)
-    raw = cells.quoted(name)
-    aggs = [F.count_if(cells.is_missing(df, name)).alias(f"missing_{i}")]
+    r, s = f"r_{i}", f"s_{i}"
+    aggs: dict[str, str | Column] = {f"missing_{i}": f"count_if(m_{i})"}
     if with_distinct:
-        aggs.append(F.count_distinct(cells.distinct_key(raw, dtype)).alias(f"distinct_{i}"))
+        aggs[f"distinct_{i}"] = F.count_distinct(cells.distinct_key(F.col(r), dtype))
     if isinstance(dtype, cells.INTEGER_TYPES):
-        aggs += [F.min(raw).alias(f"min_{i}"), F.max(raw).alias(f"max_{i}")]
+        aggs |= {f"min_{i}": f"min({r})", f"max_{i}": f"max({r})"}
     elif isinstance(dtype, cells.FRACTION_TYPES):
-        v = cells.without_nan(raw.cast("double"), T.DoubleType())
-        aggs += [F.max(v).alias(f"max_{i}"), F.bool_and(v == F.rint(v)).alias(f"whole_{i}")]
+        v = f"CAST({r} AS DOUBLE)"
+        aggs |= {f"max_{i}": f"max({v})", f"whole_{i}": f"bool_and({v} = rint({v}))"}
     elif isinstance(dtype, T.StringType):
-        s = cells.stripped(raw)
-        n = s.try_cast("double")
-        aggs += [
-            F.bool_and(F.lower(s).isin(*BOOLEAN_WORDS)).alias(f"flags_{i}"),
-            F.count_if(s.rlike("[-/:]")).alias(f"dated_{i}"),
-            F.bool_and(F.when(s.isNotNull(), cells.as_time(raw, dtype).isNotNull())).alias(f"times_{i}"),
-            F.bool_and(F.when(s.isNotNull(), n.isNotNull())).alias(f"numbers_{i}"),
-            F.bool_and(n == F.rint(n)).alias(f"whole_{i}"),
-            F.avg(F.length(s)).alias(f"length_{i}"),
-        ]
+        n = f"try_cast({s} AS DOUBLE)"
+        present = f"FILTER (WHERE {s} IS NOT NULL)"
+        words = ", ".join(map(cells.sql_text, BOOLEAN_WORDS))
+        aggs |= {
+            f"flags_{i}": f"bool_and(lower({s}) IN ({words}))",
+            f"dated_{i}": f"count_if({s} RLIKE '[-/:]')",
+            f"times_{i}": F.bool_and(F.when(F.col(s).isNotNull(), cells.text_as_time(s).isNotNull())),
+            f"numbers_{i}": f"bool_and({n} IS NOT NULL) {present}",
+            f"whole_{i}": f"bool_and({n} = rint({n}))",
+            f"length_{i}": f"avg(length({s}))",
+        }
     return aggs
 
 
+def _facts(df: DataFrame, names: list[str], with_distinct: bool) -> DataFrame:
+    """One row: the row count `n` and every fact of every named column."""
+    aggs: dict[str, str | Column] = {"n": "count(1)"}
+    for i, c in enumerate(names):
+        aggs |= _fact_aggregates(df, c, i, with_distinct)
+    return _fact_inputs(df, names).agg(
+        *[(F.expr(v) if isinstance(v, str) else v).alias(k) for k, v in aggs.items()]
+    )
+
+
 def _logical_type(df: DataFrame, name: str, i: int) -> Column:
     """Logical type from the aggregated facts; null where the distinct count decides and is not at hand."""
     dtype = cells.type_of(df, name)
@@ -93,8 +117,7 @@ def column_types(df: DataFrame, settings: Settings = DEFAULTS) -> dict[str, str]
     out: dict[str, str] = {}
     names = profiled_columns(df)
     for chunk in _chunks(names, settings.columns_per_aggregate):
-        aggs = [a for i, c in enumerate(chunk) for a in _fact_aggregates(df, c, i, False)]
-        facts = df.agg(F.count(F.lit(1)).alias("n"), *aggs)
+        facts = _facts(df, chunk, False)
         long = [
             i for i, c in enumerate(chunk) if isinstance(cells.type_of(df, c), T.StringType)
         ]
@@ -127,21 +150,16 @@ def column_summary(df: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     place = {c: k for k, c in enumerate(names)}
     parts = []
     for chunk in _chunks(names, settings.columns_per_aggregate):
-        aggs = [a for i, c in enumerate(chunk) for a in _fact_aggregates(df, c, i, True)]
-        facts = df.agg(F.count(F.lit(1)).alias("n"), *aggs)
-        structs = [
-            F.struct(
-                F.lit(place[c]).cast("long").alias("position"),
-                F.lit(c).alias("column"),
-                F.lit(cells.type_of(df, c).simpleString()).alias("raw_dtype"),
-                _logical_type(df, c, i).alias("inferred_dtype"),
-                F.col("n").alias("row_count"),
-                F.col(f"missing_{i}").alias("missing_count"),
-                F.col(f"distinct_{i}").alias("unique_count"),
-            )
+        facts = _facts(df, chunk, True)
+        typed = facts.withColumns({f"kind_{i}": _logical_type(df, c, i) for i, c in enumerate(chunk)})
+        parts.append(cells.inline_rows(typed, [
+            {
+                "position": f"{place[c]}L", "column": cells.sql_text(c),
+                "raw_dtype": cells.sql_text(cells.type_of(df, c).simpleString()), "inferred_dtype": f"kind_{i}",
+                "row_count": "n", "missing_count": f"missing_{i}", "unique_count": f"distinct_{i}",
+            }
             for i, c in enumerate(chunk)
-        ]
-        parts.append(cells.inline_rows(facts, structs))
+        ]))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

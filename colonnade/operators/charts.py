@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from colonnade.functions import cells
-from colonnade.functions.quantiles import grouped_quantiles
+from colonnade.functions.quantiles import grouped_quantiles, quantile_columns
 from colonnade.functions.ranking import running_totals
 from colonnade.operators import association, catalog, statistics
 from colonnade.settings import DEFAULTS, Settings
@@ -64,10 +64,11 @@ def box_numbers(
     catalog.require_columns(df, *columns)
     multiplier = settings.iqr_multiplier if multiplier is None else multiplier
     rows = df.count()
-    aggs, structs = [], []
-    values = {c: cells.number(df, c) for c in columns}
-    q = statistics.quantile_columns(df, values, [0.25, 0.5, 0.75], settings, rows)
-    known = df.agg(
+    aggs, structs = {}, []
+    wide = cells.numbers(df, columns)
+    values = {c: F.col(f"v_{i}") for i, c in enumerate(columns)}
+    q = quantile_columns(wide, values, [0.25, 0.5, 0.75], settings, rows)
+    known = wide.agg(
         *[F.count(values[c]).alias(f"n_{i}") for i, c in enumerate(columns)],
         *[q[c].alias(f"q_{i}") for i, c in enumerate(columns)],
     ).first()
@@ -76,24 +77,20 @@ def box_numbers(
             continue
         q1, q2, q3 = known[f"q_{i}"]
         reach = multiplier * (q3 - q1)
-        v = values[c]
-        inside = (v >= F.lit(q1 - reach)) & (v <= F.lit(q3 + reach))
-        aggs += [
-            F.min(F.when(inside, v)).alias(f"lo_{i}"), F.max(F.when(inside, v)).alias(f"hi_{i}"),
-            F.count_if(~inside).alias(f"out_{i}"),
-        ]
-        structs.append(F.struct(
-            F.lit(c).alias("column"),
-            cells.rounded(F.lit(q1)).alias("q1"), cells.rounded(F.lit(q2)).alias("median"),
-            cells.rounded(F.lit(q3)).alias("q3"),
-            cells.rounded(F.col(f"lo_{i}")).alias("lower_whisker"),
-            cells.rounded(F.col(f"hi_{i}")).alias("upper_whisker"),
-            F.col(f"out_{i}").alias("outliers_count"),
-        ))
+        inside = f"v_{i} BETWEEN {cells.sql_double(q1 - reach)} AND {cells.sql_double(q3 + reach)}"
+        aggs |= {
+            f"lo_{i}": f"min(v_{i}) FILTER (WHERE {inside})", f"hi_{i}": f"max(v_{i}) FILTER (WHERE {inside})",
+            f"out_{i}": f"count_if(NOT ({inside}))",
+        }
+        structs.append({
+            "column": cells.sql_text(c),
+            **{k: f"round({cells.sql_double(v)}, 4)" for k, v in (("q1", q1), ("median", q2), ("q3", q3))},
+            "lower_whisker": f"round(lo_{i}, 4)", "upper_whisker": f"round(hi_{i}, 4)", "outliers_count": f"out_{i}",
+        })
     if not structs:
         return statistics._empty(df, "`column` string, q1 double, median double, q3 double, lower_whisker double, "
                                      "upper_whisker double, outliers_count long")
-    return cells.inline_rows(df.agg(*aggs), structs)
+    return cells.inline_rows(cells.aggregate(wide, aggs), structs)
 
 
 def category_bars(df: DataFrame, column: str, top: int | None = None, settings: Settings = DEFAULTS) -> DataFrame:

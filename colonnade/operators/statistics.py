@@ -42,6 +42,11 @@ NUMERIC_SCHEMA = (
 )
 
 
+_MOMENTS = {
+    "n": "count", "mean": "avg", "std": "stddev_samp", "min": "min", "max": "max", "g1": "skewness", "g2": "kurtosis",
+}
+
+
 def numeric_profile(
     df: DataFrame, columns: list[str] | None = None, settings: Settings = DEFAULTS, rows: int | None = None
 ) -> DataFrame:
@@ -50,21 +55,18 @@ def numeric_profile(
     parts = []
     for k in range(0, len(columns), settings.columns_per_aggregate):
         chunk = columns[k:k + settings.columns_per_aggregate]
-        values = {c: cells.number(df, c) for c in chunk}
-        quantiles = quantile_columns(df, values, [0.25, 0.5, 0.75], settings, rows)
-        aggs = []
-        for i, c in enumerate(chunk):
-            v = values[c]
-            aggs += [
-                F.count(v).alias(f"n_{i}"), F.avg(v).alias(f"mean_{i}"), F.stddev_samp(v).alias(f"std_{i}"),
-                F.min(v).alias(f"min_{i}"), F.max(v).alias(f"max_{i}"), F.skewness(v).alias(f"g1_{i}"),
-                F.kurtosis(v).alias(f"g2_{i}"), quantiles[c].alias(f"q_{i}"),
-            ]
-        one = df.agg(F.count(F.lit(1)).alias("total"), *aggs)
+        wide = cells.numbers(df, chunk)
+        values = {c: F.col(f"v_{i}") for i, c in enumerate(chunk)}
+        quantiles = quantile_columns(wide, values, [0.25, 0.5, 0.75], settings, rows)
+        aggs = {"total": "count(1)"}
+        for i in range(len(chunk)):
+            aggs |= {f"{fact}_{i}": f"{call}(v_{i})" for fact, call in _MOMENTS.items()}
+        one = wide.agg(
+            *[F.expr(f"{call} AS {name}") for name, call in aggs.items()],
+            *[quantiles[c].alias(f"q_{i}") for i, c in enumerate(chunk)],
+        )
         structs = [
-            F.struct(F.lit(c).alias("column"), F.col("total"), *[
-                F.col(f"{fact}_{i}").alias(fact) for fact in ("n", "mean", "std", "min", "max", "g1", "g2", "q")
-            ])
+            {"column": cells.sql_text(c), "total": "total", **{fact: f"{fact}_{i}" for fact in (*_MOMENTS, "q")}}
             for i, c in enumerate(chunk)
         ]
         parts.append(cells.inline_rows(one, structs))
@@ -176,8 +178,7 @@ def missing_by_column(df: DataFrame) -> DataFrame:
         *[F.count_if(cells.is_missing(df, c)).alias(f"m_{i}") for i, c in enumerate(df.columns)],
     )
     long = cells.inline_rows(one, [
-        F.struct(F.lit(i).cast("long").alias("position"), F.lit(c).alias("column"), F.col("total").alias("row_count"),
-                 F.col(f"m_{i}").alias("missing_count"))
+        {"position": f"{i}L", "column": cells.sql_text(c), "row_count": "total", "missing_count": f"m_{i}"}
         for i, c in enumerate(df.columns)
     ])
     share = cells.percent(F.col("missing_count"), F.col("row_count"))
@@ -214,20 +215,18 @@ def temporal_profile(df: DataFrame, columns: list[str] | None = None, settings:
         t = cells.time(df, c)
         aggs += [F.count(t).alias(f"n_{i}"), F.min(t).alias(f"lo_{i}"), F.max(t).alias(f"hi_{i}")]
     one = df.agg(F.count(F.lit(1)).alias("total"), *aggs)
-    structs = [
-        F.struct(
-            F.lit(c).alias("column"),
-            F.col("total").alias("total_count"),
-            F.col(f"n_{i}").alias("valid_dates_count"),
-            (F.col("total") - F.col(f"n_{i}")).alias("missing_count"),
-            F.col(f"lo_{i}").alias("min_date"),
-            F.col(f"hi_{i}").alias("max_date"),
-            F.round(F.timestamp_diff("MICROSECOND", F.col(f"lo_{i}"), F.col(f"hi_{i}")) / 86400e6, 2)
-            .alias("date_range_days"),
-        )
+    long = cells.inline_rows(one, [
+        {"column": cells.sql_text(c), "total_count": "total", "valid_dates_count": f"n_{i}",
+         "min_date": f"lo_{i}", "max_date": f"hi_{i}"}
         for i, c in enumerate(columns)
-    ]
-    return cells.inline_rows(one, structs).filter("valid_dates_count > 0")
+    ])
+    return long.filter("valid_dates_count > 0").select(
+        "column", "total_count", "valid_dates_count",
+        (F.col("total_count") - F.col("valid_dates_count")).alias("missing_count"),
+        "min_date", "max_date",
+        F.round(F.timestamp_diff("MICROSECOND", F.col("min_date"), F.col("max_date")) / 86400e6, 2)
+        .alias("date_range_days"),
+    )
 
 
 def quartiles(
@@ -237,9 +236,10 @@ def quartiles(
     out: dict[str, tuple[int, float | None, float | None]] = {}
     for k in range(0, len(columns), settings.columns_per_aggregate):
         chunk = columns[k:k + settings.columns_per_aggregate]
-        values = {c: cells.number(df, c) for c in chunk}
-        q = quantile_columns(df, values, [0.25, 0.75], settings, rows)
-        row = df.agg(
+        wide = cells.numbers(df, chunk)
+        values = {c: F.col(f"v_{i}") for i, c in enumerate(chunk)}
+        q = quantile_columns(wide, values, [0.25, 0.75], settings, rows)
+        row = wide.agg(
             *[F.count(values[c]).alias(f"n_{i}") for i, c in enumerate(chunk)],
             *[q[c].alias(f"q_{i}") for i, c in enumerate(chunk)],
         ).first()
@@ -278,25 +278,24 @@ def outliers(
     multiplier = settings.iqr_multiplier if multiplier is None else multiplier
     rows = df.count() if rows is None else rows
     known = quartiles(df, columns, settings, rows)
-    aggs, structs = [], []
+    aggs, structs = {}, []
     for i, c in enumerate(columns):
         n, q1, q3 = known[c]
         bounds = fences(n, q1, q3, multiplier)
-        v = cells.number(df, c)
-        if bounds is None:
-            v, q1, q3, bounds = F.lit(None).cast("double"), None, None, (None, None)
-        lo, hi = (F.lit(b).cast("double") for b in bounds)
-        aggs += [
-            F.count_if(v < lo).alias(f"low_{i}"), F.count_if(v > hi).alias(f"high_{i}"),
-            F.min(v).alias(f"min_{i}"), F.max(v).alias(f"max_{i}"), F.count(v).alias(f"n_{i}"),
-        ]
-        q1, q3 = (F.lit(b).cast("double") for b in (q1, q3))
-        structs.append(F.struct(
-            F.lit(c).alias("column"), q1.alias("q1"), q3.alias("q3"), lo.alias("lo"), hi.alias("hi"),
-            *[F.col(f"{fact}_{i}").alias(fact) for fact in ("low", "high", "min", "max", "n")],
-        ))
+        v = f"v_{i}"
+        if bounds is None:  # too few values: no quartiles, no range
+            v, q1, q3, bounds = "CAST(NULL AS DOUBLE)", None, None, (None, None)
+        lo, hi = map(cells.sql_double, bounds)
+        aggs |= {
+            f"low_{i}": f"count_if({v} < {lo})", f"high_{i}": f"count_if({v} > {hi})",
+            f"min_{i}": f"min({v})", f"max_{i}": f"max({v})", f"n_{i}": f"count({v})",
+        }
+        structs.append({
+            "column": cells.sql_text(c), "q1": cells.sql_double(q1), "q3": cells.sql_double(q3), "lo": lo, "hi": hi,
+            **{fact: f"{fact}_{i}" for fact in ("low", "high", "min", "max", "n")},
+        })
     both = F.col("low") + F.col("high")
-    return cells.inline_rows(df.agg(*aggs), structs).select(
+    return cells.inline_rows(cells.aggregate(cells.numbers(df, columns), aggs), structs).select(
         "column",
         cells.rounded(F.col("q1")).alias("q1"),
         cells.rounded(F.col("q3")).alias("q3"),
