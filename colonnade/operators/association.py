@@ -97,7 +97,7 @@ def pair_correlations(
     return out.select(
         "feature_a", "feature_b", "n",
         F.sqrt(F.try_divide(F.col("d_a"), n - 1)).alias("std_a"), F.sqrt(F.try_divide(F.col("d_b"), n - 1)).alias("std_b"),
-        F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("r"))).alias("r"),
+        F.when(F.col("r").isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("r")))).alias("r"),
     )
 
 

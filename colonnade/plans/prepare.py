@@ -113,5 +113,5 @@ def prepare(
     pipeline = features.preparation(routing, numeric_imputation, categorical_imputation, scaling)
     fitted = pipeline.fit(train)
     lineage = features.feature_lineage(fitted, routing)
-    candidates = [c for c in catalog.profiled_columns(df) if c != target]
+    candidates = [c for c in catalog.profiled_columns(df) if c != target and c not in keys]
     return Prepared(folds, fitted, routing, lineage, target, keys, problem_type, strategy, candidates, active)
