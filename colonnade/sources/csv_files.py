@@ -21,7 +21,7 @@ MISSING_WORDS = [
     "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
 ]
 
-CORRUPT = "__corrupt"
+SURPLUS = "__surplus"
 
 
 class EmptyDatasetError(ValueError):
@@ -155,7 +155,9 @@ def read_csv(
 ) -> tuple[DataFrame, IngestionReport]:
     """Read and repair CSV files with a common header.
 
-    Rows with too many fields are skipped and counted, shorter ones are padded with nulls.
+    Rows with too many fields are skipped and counted, shorter ones are padded with nulls. The
+    schema has one column more than the header, so a surplus field shows up there; a row whose
+    surplus fields are all empty is kept.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
     top = spark.read.text(paths).filter(F.trim("value", F.lit(cells.WHITESPACE)) != "").take(1)
@@ -173,25 +175,19 @@ def read_csv(
 
     # Spark's reader is given the JVM's name of the charset.
     options = {"header": True, "sep": delimiter, "encoding": "ISO-8859-1" if encoding == "latin-1" else "UTF-8",
-               "mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT, "escape": '"'}
+               "mode": "PERMISSIVE", "escape": '"'}
     header = top[0]["value"]
     if encoding == "latin-1":
         header = spark.read.option("encoding", "ISO-8859-1").option("sep", "\x00").csv(paths).take(1)[0][0] or header
     header = header.lstrip("﻿")
     names, renamed = repair_header(next(csv.reader([header], delimiter=delimiter)))
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in names] + [T.StructField(CORRUPT, T.StringType())])
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, SURPLUS]])
     raw = spark.read.options(**options).schema(schema).csv(paths)
-
-    unquoted = F.regexp_replace(CORRUPT, '"[^"]*"', "")
-    fields = F.length(unquoted) - F.length(F.replace(unquoted, F.lit(delimiter))) + 1
-    too_long = F.coalesce(fields > len(names), F.lit(False))
+    too_long = F.col(SURPLUS).isNotNull()
     kept = raw.filter(~too_long).select(*[
         F.when(~cells.quoted(n).isin(MISSING_WORDS), cells.quoted(n)).alias(n) for n in names
     ])
-    # The corrupt-record column must be read together with the others.
-    counted = raw.select("*", too_long.alias("skip")).agg(
-        F.count(F.lit(1)).alias("rows"), F.count_if("skip").alias("skipped"), F.max(F.struct(*names)).alias("any")
-    ).first()
+    counted = raw.agg(F.count(F.lit(1)).alias("rows"), F.count_if(too_long).alias("skipped")).first()
     report.skipped_rows = counted["skipped"]
     report.raw_rows = counted["rows"] - counted["skipped"]
     report.raw_columns = len(names)

@@ -1 +1,105 @@
-"""To come."""
+"""Importances and attributions."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from colonnade.operators import explain, split
+from colonnade.plans import explanation
+from workload.registry import LINE_KEYS, query, table, union_all
+from workload.train import segment_run, wealth_run
+
+_KEYS = ", ".join(LINE_KEYS)
+# Weights of the linear model whose attributions are checked, and the means they refer to.
+WEIGHTS = {"l_quantity": 0.8127313, "l_extendedprice": -0.000483719, "l_discount": 121.3737, "l_tax": -41.17129}
+MEANS = {"l_quantity": 25.0, "l_extendedprice": 53000.0, "l_discount": 0.05, "l_tax": 0.04}
+
+PHI = "(" + union_all([
+    f"SELECT {_KEYS}, '{c}' AS feature, {c} AS feature_value, {w!r}::DOUBLE * ({c} - {MEANS[c]!r}::DOUBLE) AS phi FROM lineitem"
+    for c, w in WEIGHTS.items()]) + ")"
+
+
+def phi(spark, sf):
+    return explain.linear_attributions(table(spark, sf, "lineitem"), LINE_KEYS, WEIGHTS, MEANS)
+
+
+def tree_of(run):
+    return next(e["model_id"] for e in run.entries if e["model_name"].startswith("RandomForest"))
+
+
+@query("xai1_native_importance")
+def xai1(spark, sf):
+    run = wealth_run(spark, sf)
+    return explanation.importance(run, tree_of(run))
+
+
+@query("xai2_importance_by_column", f"""SELECT CASE WHEN feature IN ('l_discount', 'l_tax') THEN 'rates' ELSE 'amounts' END AS original_feature,
+  round(sum(importance), 4) AS importance, count(*) AS features
+FROM (SELECT feature, avg(abs(phi)) AS importance FROM {PHI} GROUP BY 1) GROUP BY 1""")
+def xai2(spark, sf):
+    each = phi(spark, sf).groupBy("feature").agg(F.avg(F.abs("phi")).alias("importance"))
+    origin = F.when(F.col("feature").isin("l_discount", "l_tax"), "rates").otherwise("amounts")
+    return explain.by_original_feature(each.withColumn("original_feature", origin))
+
+
+@query("xai3_permutation_importance")
+def xai3(spark, sf):
+    run = wealth_run(spark, sf)
+    return explanation.permutation(run, tree_of(run), 3)
+
+
+@query("xai4_linear_attribution", f"SELECT {_KEYS}, feature, feature_value, round(phi, 6) AS phi FROM {PHI}")
+def xai4(spark, sf):
+    return phi(spark, sf).withColumn("phi", F.round("phi", 6))
+
+
+@query("xai5_sampled_shapley")
+def xai5(spark, sf):
+    run = wealth_run(spark, sf)
+    return explain.global_attribution(explanation.attributions(run, tree_of(run), orders=4))
+
+
+@query("xai6_global_attribution", f"""SELECT feature, round(avg(abs(phi)), 4) AS mean_abs_phi, count(*) AS n FROM {PHI} GROUP BY 1""")
+def xai6(spark, sf):
+    return explain.global_attribution(phi(spark, sf))
+
+
+POINTS = f"""(WITH best AS (SELECT feature FROM {PHI} GROUP BY 1 ORDER BY round(avg(abs(phi)), 4) DESC, feature LIMIT 3),
+p AS (SELECT *, row_number() OVER (PARTITION BY feature ORDER BY md5(concat_ws('|', {_KEYS}, '42')), {_KEYS}) AS r
+  FROM {PHI} WHERE feature IN (SELECT feature FROM best)),
+k AS (SELECT *, min(feature_value) OVER (PARTITION BY feature) AS lo, max(feature_value) OVER (PARTITION BY feature) AS hi
+  FROM p WHERE r <= 100)
+SELECT {_KEYS}, feature, round(phi, 4) AS phi, round(feature_value, 4) AS feature_value,
+  round((feature_value - lo) / CASE WHEN hi - lo > 1e-6 THEN hi - lo ELSE 1.0 END, 3) AS normalized_value FROM k)"""
+
+
+@query("xai7_summary_points", f"SELECT * FROM {POINTS}")
+def xai7(spark, sf):
+    return explain.summary_points(phi(spark, sf), LINE_KEYS, 3)
+
+
+@query("xai8_local_explanation")
+def xai8(spark, sf):
+    run = wealth_run(spark, sf)
+    rows = explain.sample_rows(run.fold(split.TEST), run.prepared.keys, 5, "local")
+    return explanation.local(run, tree_of(run), rows)["contributions"]
+
+
+@query("xai8_strongest_contributions", f"""SELECT {_KEYS}, rank, feature, round(feature_value, 4) AS feature_value, round(phi, 4) AS phi,
+  round(abs(phi), 4) AS abs_phi, CASE WHEN phi >= 0 THEN 'positive' ELSE 'negative' END AS direction FROM (
+SELECT *, row_number() OVER (PARTITION BY {_KEYS} ORDER BY abs(phi) DESC, feature) AS rank FROM {PHI}) WHERE rank <= 2""")
+def xai8_strongest(spark, sf):
+    return explain.local_explanation(phi(spark, sf), LINE_KEYS, 2)
+
+
+@query("xai9_dependence", f"SELECT {_KEYS}, feature, phi, feature_value FROM {POINTS} WHERE feature = 'l_quantity'")
+def xai9(spark, sf):
+    points = explain.summary_points(phi(spark, sf), LINE_KEYS, 3)
+    return explain.dependence(points, "l_quantity").drop("normalized_value")
+
+
+@query("xai9_dependence_by_column")
+def xai9_column(spark, sf):
+    run = segment_run(spark, sf)
+    values = explanation.attributions(run, tree_of(run), orders=2)
+    return explain.dependence(explain.summary_points(values, ["c_custkey"], 5), "c_acctbal")
