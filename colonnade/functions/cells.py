@@ -16,18 +16,14 @@ PROFILED_TYPES = INTEGER_TYPES + FRACTION_TYPES + TIME_TYPES + (T.StringType, T.
 # Characters removed by a whitespace strip.
 WHITESPACE = " \t\n\r\x0b\x0c"
 
-# Date layouts tried after the ISO form, month first as in US text.
-TIME_FORMATS = (
-    "M/d/yyyy",
-    "M/d/yyyy H:mm",
-    "M/d/yyyy H:mm:ss",
-    "yyyy/M/d",
-    "yyyy/M/d H:mm:ss",
-    "d/M/yyyy",
-    "d-MMM-yyyy",
-    "MMM d, yyyy",
-    "MMMM d, yyyy",
-)
+# Shapes of date text and the layouts tried for each, month first as in US text.
+ISO_SHAPE = "^[0-9]{4}(-[0-9]{1,2}){0,2}([ T].*)?$"
+TIME_LAYOUTS = {
+    "^[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}( .*)?$": ["M/d/yyyy", "M/d/yyyy H:mm", "M/d/yyyy H:mm:ss", "d/M/yyyy"],
+    "^[0-9]{4}/[0-9]{1,2}/[0-9]{1,2}( .*)?$": ["yyyy/M/d", "yyyy/M/d H:mm:ss"],
+    "^[0-9]{1,2}-[A-Za-z]{3}-[0-9]{4}$": ["d-MMM-yyyy"],
+    "^[A-Za-z]{3,9} [0-9]{1,2}, [0-9]{4}$": ["MMM d, yyyy", "MMMM d, yyyy"],
+}
 
 
 def type_of(df: DataFrame, name: str) -> T.DataType:
@@ -100,10 +96,7 @@ def ratio(a: Column, b: Column) -> Column:
 
 
 def time(df: DataFrame, name: str) -> Column:
-    """Timestamp without time zone; unreadable text becomes null.
-
-    Text longer than any date, or without a digit, is not offered to the parsers.
-    """
+    """Timestamp without time zone; unreadable text becomes null."""
     dtype = type_of(df, name)
     if isinstance(dtype, TIME_TYPES):
         return quoted(name).cast("timestamp_ntz")
@@ -116,11 +109,14 @@ def time(df: DataFrame, name: str) -> Column:
 def text_as_time(s: str) -> Column:
     """Timestamp from a column of stripped text, by the first layout that fits.
 
-    Wide plans are written as SQL text: one call to the JVM per expression instead of one per operator.
+    Text is offered only to the layouts of its shape. Wide plans are written as SQL text: one
+    call to the JVM per expression instead of one per operator.
     """
-    tries = [f"try_cast({s} AS timestamp_ntz)"]
-    tries += [f"CAST(try_to_timestamp({s}, {sql_text(p)}) AS timestamp_ntz)" for p in TIME_FORMATS]
-    return F.expr(f"CASE WHEN length({s}) <= 40 AND {s} RLIKE '[0-9]' THEN coalesce({', '.join(tries)}) END")
+    cases = [f"WHEN {s} RLIKE {sql_text(ISO_SHAPE)} THEN try_cast({s} AS timestamp_ntz)"]
+    for shape, layouts in TIME_LAYOUTS.items():
+        tries = ", ".join(f"CAST(try_to_timestamp({s}, {sql_text(p)}) AS timestamp_ntz)" for p in layouts)
+        cases.append(f"WHEN {s} RLIKE {sql_text(shape)} THEN coalesce({tries})")
+    return F.expr(f"CASE WHEN length({s}) > 40 THEN NULL {' '.join(cases)} END")
 
 
 def sql_text(value: str) -> str:

@@ -1,0 +1,15 @@
+"""Use of all cores on inputs that arrive in one or two file splits."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+from colonnade.settings import DEFAULTS, Settings
+
+
+def spread(df: DataFrame, rows: int, settings: Settings = DEFAULTS) -> DataFrame:
+    """Deal the rows of a small table to all cores; a large one already has enough splits and is left alone."""
+    if rows > settings.one_task_rows:
+        return df
+    parts = min(df.sparkSession.sparkContext.defaultParallelism, rows // settings.rows_per_core)
+    return df.repartition(parts) if parts > 1 else df

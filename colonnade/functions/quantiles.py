@@ -41,30 +41,31 @@ def _brackets(spark, open_targets: list[dict]) -> tuple[DataFrame, DataFrame]:
 
 
 def order_statistics(
-    long: DataFrame, probs: Iterable[float], settings: Settings = DEFAULTS
+    long: DataFrame, probs: Iterable[float], settings: Settings = DEFAULTS,
+    heads: dict[str, tuple[int, float, float]] | None = None,
 ) -> dict[str, list[float | None]]:
     """Quantiles per group of a `(grp string, v double)` table, by bracket narrowing.
 
     The number of groups is bounded by the caller (columns, models or top categories);
-    the driver sees one row per group and two ranks per quantile.
+    the driver sees one row per group and two ranks per quantile. `heads` gives count and
+    range per group where the caller knows them.
     """
     spark = long.sparkSession
     probs = list(probs)
     long = long.filter(F.col("v").isNotNull())
-    heads = long.groupBy("grp").agg(
-        F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")
-    ).collect()
+    if heads is None:
+        found = long.groupBy("grp").agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+        heads = {r["grp"]: (r["n"], r["lo"], r["hi"]) for r in found.collect()}
+    heads = {grp: head for grp, head in heads.items() if head[0]}
 
     targets: list[dict] = []
     shares: dict[tuple[str, int], tuple[int, int, float]] = {}
-    for h in heads:
+    for grp, (n, lo, hi) in heads.items():
         for i, p in enumerate(probs):
-            low, high, frac = _positions(h["n"], p)
+            low, high, frac = _positions(n, p)
             for k in (low, high):
-                targets.append(
-                    {"id": len(targets), "grp": h["grp"], "k": k, "lo": h["lo"], "hi": h["hi"], "n": h["n"]}
-                )
-            shares[(h["grp"], i)] = (len(targets) - 2, len(targets) - 1, frac)
+                targets.append({"id": len(targets), "grp": grp, "k": k, "lo": lo, "hi": hi, "n": n})
+            shares[(grp, i)] = (len(targets) - 2, len(targets) - 1, frac)
 
     while True:
         open_targets = [t for t in targets if t["lo"] < t["hi"]]
@@ -94,41 +95,34 @@ def order_statistics(
             t.update(k=t["k"] - r["before"], n=r["n"], lo=r["lo"], hi=r["hi"])
 
     out: dict[str, list[float | None]] = {}
-    for h in heads:
+    for grp in heads:
         values = []
         for i in range(len(probs)):
-            a, b, frac = shares[(h["grp"], i)]
+            a, b, frac = shares[(grp, i)]
             va, vb = targets[a]["lo"], targets[b]["lo"]
             values.append(va + (vb - va) * frac)
-        out[h["grp"]] = values
+        out[grp] = values
     return out
 
 
 def is_small(df: DataFrame, settings: Settings, rows: int | None = None) -> bool:
     """Whether the table is proven small enough for a one-task aggregate."""
-    return (df.count() if rows is None else rows) <= settings.one_task_rows
+    return (df.count() if rows is None else rows) <= settings.exact_percentile_rows
 
 
-def quantile_columns(
-    df: DataFrame,
-    values: dict[str, Column],
-    probs: list[float],
-    settings: Settings = DEFAULTS,
-    rows: int | None = None,
-) -> dict[str, Column]:
-    """Per name, an array column of quantiles to be used inside a global `agg`.
-
-    Small tables get the built-in aggregate, so the quantiles ride along in the caller's
-    pass. Larger ones are solved first and come back as literals.
-    """
-    if is_small(df, settings, rows):
-        return {n: F.percentile(c, F.array(*map(F.lit, probs))) for n, c in values.items()}
-    names = list(values)
-    wide = df.select(*[values[n].alias(f"v{i}") for i, n in enumerate(names)])
-    pairs = F.array(*[F.struct(F.lit(n).alias("grp"), F.col(f"v{i}").alias("v")) for i, n in enumerate(names)])
-    solved = order_statistics(wide.select(F.inline(pairs)), probs, settings)
+def column_quantiles(
+    df: DataFrame, names: list[str], probs: list[float], settings: Settings = DEFAULTS, rows: int | None = None,
+    heads: dict[str, tuple[int, float, float]] | None = None,
+) -> dict[str, list[float | None]]:
+    """Quantiles of the named double columns, on the driver."""
     empty: list[float | None] = [None] * len(probs)
-    return {n: F.array(*[F.lit(v).cast("double") for v in solved.get(n, empty)]) for n in names}
+    if is_small(df, settings, rows):
+        wanted = ", ".join(f"{p}D" for p in probs)
+        row = df.agg(*[F.expr(f"percentile({n}, array({wanted}))").alias(n) for n in names]).first()
+        return {n: row[n] or empty for n in names}
+    pairs = F.expr("inline(array(" + ", ".join(f"named_struct('grp', '{n}', 'v', {n})" for n in names) + "))")
+    solved = order_statistics(df.select(pairs), probs, settings, heads)
+    return {n: solved.get(n, empty) for n in names}
 
 
 def grouped_quantiles(

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from colonnade.functions import cells
 from colonnade.operators import catalog
-from colonnade.operators.statistics import _empty, _numeric, _union
+from colonnade.operators.statistics import _empty, _numeric, _union, column_ranges
 from colonnade.settings import DEFAULTS, Settings
 
 
@@ -35,21 +35,6 @@ def select_columns(
     return [r["column"] for r in top]
 
 
-def _column_facts(df: DataFrame, columns: list[str]) -> dict[str, dict]:
-    """Count, mean and range per column on the driver; they centre the sums of the second pass."""
-    aggs = {"total": "count(1)"}
-    for i in range(len(columns)):
-        aggs |= {f"n_{i}": f"count(v_{i})", f"m_{i}": f"avg(v_{i})", f"lo_{i}": f"min(v_{i})", f"hi_{i}": f"max(v_{i})"}
-    row = cells.aggregate(cells.numbers(df, columns), aggs).first()
-    return {
-        c: {
-            "complete": row[f"n_{i}"] == row["total"], "mean": row[f"m_{i}"] or 0.0,
-            "constant": row[f"lo_{i}"] == row[f"hi_{i}"], "size": max(abs(row[f"lo_{i}"] or 0), abs(row[f"hi_{i}"] or 0)),
-        }
-        for i, c in enumerate(columns)
-    }
-
-
 def pair_correlations(
     df: DataFrame, pairs: list[tuple[str, str]], settings: Settings = DEFAULTS
 ) -> DataFrame:
@@ -59,17 +44,20 @@ def pair_correlations(
     single column are shared by all pairs of columns without gaps.
     """
     columns = list(dict.fromkeys(c for p in pairs for c in p))
-    facts = _column_facts(df, columns)
+    ranges = column_ranges(df, columns, settings)
+    complete = {c: r["n"] == r["total"] for c, r in ranges.items()}
     # Squared deviation per row below which a column counts as constant: rounding of its largest value.
-    floor = {c: math.inf if f["constant"] else (1e-13 * f["size"]) ** 2 for c, f in facts.items()}
+    floor = {
+        c: math.inf if r["min"] == r["max"] else (1e-13 * max(abs(r["min"]), abs(r["max"]))) ** 2 for c, r in ranges.items()
+    }
     at = {c: i for i, c in enumerate(columns)}
-    wide = df.select(*[(cells.number(df, c) - F.lit(facts[c]["mean"])).alias(f"x_{i}") for c, i in at.items()])
+    wide = df.select(*[(cells.number(df, c) - F.lit(ranges[c]["mean"] or 0.0)).alias(f"x_{i}") for c, i in at.items()])
     parts = []
     for k in range(0, len(pairs), settings.pairs_per_aggregate):
         sums, rows = {"rows": "count(1)"}, []
         for i, (a, b) in enumerate(pairs[k:k + settings.pairs_per_aggregate]):
             x, y = f"x_{at[a]}", f"x_{at[b]}"
-            whole = facts[a]["complete"] and facts[b]["complete"]
+            whole = complete[a] and complete[b]
             sides = {}
             for side, c, v, other in (("a", a, x, y), ("b", b, y, x)):
                 key = f"c{at[c]}" if whole else f"p{i}{side}"

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from colonnade.functions import cells
+from colonnade.functions.partitions import spread
 from colonnade.settings import DEFAULTS, Settings
 
 NUMERIC = ("integer", "float")
@@ -56,11 +57,11 @@ def _fact_aggregates(df: DataFrame, name: str, i: int, with_distinct: bool) -> d
         v = f"CAST({r} AS DOUBLE)"
         aggs |= {f"max_{i}": f"max({v})", f"whole_{i}": f"bool_and({v} = rint({v}))"}
     elif isinstance(dtype, T.StringType):
-        n = f"try_cast({s} AS DOUBLE)"
+        n = f"CASE WHEN length({s}) <= 400 THEN try_cast({s} AS DOUBLE) END"
         present = f"FILTER (WHERE {s} IS NOT NULL)"
         words = ", ".join(map(cells.sql_text, BOOLEAN_WORDS))
         aggs |= {
-            f"flags_{i}": f"bool_and(lower({s}) IN ({words}))",
+            f"flags_{i}": f"bool_and(length({s}) <= 5 AND lower({s}) IN ({words}))",
             f"dated_{i}": f"count_if({s} RLIKE '[-/:]')",
             f"times_{i}": F.bool_and(F.when(F.col(s).isNotNull(), cells.text_as_time(s).isNotNull())),
             f"numbers_{i}": f"bool_and({n} IS NOT NULL) {present}",
@@ -116,6 +117,7 @@ def column_types(df: DataFrame, settings: Settings = DEFAULTS) -> dict[str, str]
     """
     out: dict[str, str] = {}
     names = profiled_columns(df)
+    df = spread(df, df.count(), settings)
     for chunk in _chunks(names, settings.columns_per_aggregate):
         facts = _facts(df, chunk, False)
         long = [
@@ -148,6 +150,7 @@ def column_summary(df: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     """One row per column: types, missing and distinct facts, constant and high-cardinality flags."""
     names = profiled_columns(df)
     place = {c: k for k, c in enumerate(names)}
+    df = spread(df, df.count(), settings)
     parts = []
     for chunk in _chunks(names, settings.columns_per_aggregate):
         facts = _facts(df, chunk, True)

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from colonnade.functions import cells
-from colonnade.functions.quantiles import grouped_quantiles, quantile_columns
+from colonnade.functions.partitions import spread
+from colonnade.functions.quantiles import grouped_quantiles
 from colonnade.functions.ranking import running_totals
 from colonnade.operators import association, catalog, statistics
 from colonnade.settings import DEFAULTS, Settings
@@ -63,19 +64,16 @@ def box_numbers(
     """Quartiles, whisker ends (last value inside the fences) and outlier count per column."""
     catalog.require_columns(df, *columns)
     multiplier = settings.iqr_multiplier if multiplier is None else multiplier
-    rows = df.count()
+    narrow = df.select(*[cells.quoted(c) for c in columns])
+    narrow = spread(narrow, df.count(), settings)
+    ranges = statistics.column_ranges(narrow, columns, settings)
+    quarts = statistics.quantiles_of(narrow, columns, ranges, [0.25, 0.5, 0.75], settings)
+    wide = cells.numbers(narrow, columns)
     aggs, structs = {}, []
-    wide = cells.numbers(df, columns)
-    values = {c: F.col(f"v_{i}") for i, c in enumerate(columns)}
-    q = quantile_columns(wide, values, [0.25, 0.5, 0.75], settings, rows)
-    known = wide.agg(
-        *[F.count(values[c]).alias(f"n_{i}") for i, c in enumerate(columns)],
-        *[q[c].alias(f"q_{i}") for i, c in enumerate(columns)],
-    ).first()
     for i, c in enumerate(columns):
-        if not known[f"n_{i}"]:
+        if not ranges[c]["n"]:
             continue
-        q1, q2, q3 = known[f"q_{i}"]
+        q1, q2, q3 = quarts[c]
         reach = multiplier * (q3 - q1)
         inside = f"v_{i} BETWEEN {cells.sql_double(q1 - reach)} AND {cells.sql_double(q3 + reach)}"
         aggs |= {

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from colonnade.functions import cells
-from colonnade.functions.quantiles import quantile_columns
+from colonnade.functions.quantiles import column_quantiles
 from colonnade.operators.regression import numeric_pairs
 from colonnade.settings import DEFAULTS, Settings
 
@@ -60,12 +60,12 @@ def error_summary(predictions: DataFrame, keys: list[str], settings: Settings =
     """Mean, median and largest absolute error, and the mean of the five largest."""
     df = numeric_pairs(predictions)
     size = F.abs(F.col("residual"))
-    median = quantile_columns(df, {"m": size}, [0.5], settings, rows)["m"]
+    median = column_quantiles(df.select(size.alias("m")), ["m"], [0.5], settings, rows)["m"][0]
     worst = df.select(size.alias("size"), *keys).orderBy(F.desc("size"), *keys).limit(5)
     top5 = worst.agg(F.round(F.avg("size"), 4).alias("top5_mean")).first()["top5_mean"]
     return df.agg(
         F.count("*").alias("total"), F.round(F.avg(size), 4).alias("mae"),
-        F.round(median[0], 4).alias("median_absolute_error"), F.round(F.max(size), 4).alias("max_absolute_error"),
+        F.round(F.lit(median).cast("double"), 4).alias("median_absolute_error"), F.round(F.max(size), 4).alias("max_absolute_error"),
         F.lit(top5).cast("double").alias("top5_mean"),
     )
 

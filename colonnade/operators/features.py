@@ -17,8 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from colonnade.functions import cells
-from colonnade.functions.quantiles import quantile_columns
-from colonnade.operators import catalog
+from colonnade.operators import catalog, statistics
 from colonnade.settings import DEFAULTS, Settings
 
 DATE_PARTS = ("year", "month", "day", "dayofweek")
@@ -124,28 +123,25 @@ class NumberPrep(Estimator, _Stage):
         if how == "most_frequent":
             fills = _most_frequent(df, values)
         elif how in ("median", "mean"):
-            fills = {}
-            for k in range(0, len(names), DEFAULTS.columns_per_aggregate):
-                chunk = {c: values[c] for c in names[k:k + DEFAULTS.columns_per_aggregate]}
-                if how == "mean":
-                    found = {c: F.avg(v) for c, v in chunk.items()}
-                else:
-                    found = {c: q[0] for c, q in quantile_columns(df, chunk, [0.5]).items()}
-                row = df.agg(F.count(F.lit(1)), *[v.alias(f"f_{i}") for i, v in enumerate(found.values())]).first()
-                fills.update({c: row[f"f_{i}"] for i, c in enumerate(found)})
+            ranges = statistics.column_ranges(df, names)
+            if how == "mean":
+                fills = {c: r["mean"] for c, r in ranges.items()}
+            else:
+                fills = {c: q[0] for c, q in statistics.quantiles_of(df, names, ranges, [0.5]).items()}
         else:
             raise ValueError(f"unknown imputation {how!r}")
         fills = {c: float(fills[c]) if fills.get(c) is not None else 0.0 for c in names}
         shift, scale = {c: 0.0 for c in names}, {c: 1.0 for c in names}
         if self.value("scaling") == "standard" and names:
-            full = [F.coalesce(values[c], F.lit(fills[c])) for c in names]
-            row = df.agg(
-                *[F.avg(v).alias(f"a_{i}") for i, v in enumerate(full)],
-                *[F.stddev_pop(v).alias(f"s_{i}") for i, v in enumerate(full)],
-                *[(F.min(v) == F.max(v)).alias(f"c_{i}") for i, v in enumerate(full)],
-            ).first()
-            shift = {c: row[f"a_{i}"] or 0.0 for i, c in enumerate(names)}
-            scale = {c: 1.0 if row[f"c_{i}"] else (row[f"s_{i}"] or 1.0) for i, c in enumerate(names)}
+            for k in range(0, len(names), DEFAULTS.columns_per_aggregate):
+                chunk = names[k:k + DEFAULTS.columns_per_aggregate]
+                full = df.select(*[F.coalesce(values[c], F.lit(fills[c])).alias(f"v_{i}") for i, c in enumerate(chunk)])
+                aggs = {}
+                for i in range(len(chunk)):
+                    aggs |= {f"a_{i}": f"avg(v_{i})", f"s_{i}": f"stddev_pop(v_{i})", f"c_{i}": f"min(v_{i}) = max(v_{i})"}
+                row = cells.aggregate(full, aggs).first()
+                shift |= {c: row[f"a_{i}"] or 0.0 for i, c in enumerate(chunk)}
+                scale |= {c: 1.0 if row[f"c_{i}"] else (row[f"s_{i}"] or 1.0) for i, c in enumerate(chunk)}
         return NumberPrepModel(columns=names, fills=fills, shift=shift, scale=scale)
 
 

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from colonnade.functions import cells
-from colonnade.functions.quantiles import quantile_columns
+from colonnade.functions.partitions import spread
+from colonnade.functions.quantiles import column_quantiles
 from colonnade.operators import catalog
 from colonnade.settings import DEFAULTS, Settings
 
@@ -42,58 +43,92 @@ NUMERIC_SCHEMA = (
 )
 
 
-_MOMENTS = {
-    "n": "count", "mean": "avg", "std": "stddev_samp", "min": "min", "max": "max", "g1": "skewness", "g2": "kurtosis",
-}
+def column_ranges(df: DataFrame, columns: list[str], settings: Settings = DEFAULTS) -> dict[str, dict]:
+    """Row total, valid count, mean and range per column on the driver: the first pass of most numeric operators."""
+    out: dict[str, dict] = {}
+    for k in range(0, len(columns), settings.columns_per_aggregate):
+        chunk = columns[k:k + settings.columns_per_aggregate]
+        aggs = {"total": "count(1)"}
+        for i in range(len(chunk)):
+            aggs |= {f"n_{i}": f"count(v_{i})", f"mean_{i}": f"avg(v_{i})", f"min_{i}": f"min(v_{i})", f"max_{i}": f"max(v_{i})"}
+        row = cells.aggregate(cells.numbers(df, chunk), aggs).first()
+        for i, c in enumerate(chunk):
+            out[c] = {"total": row["total"], **{fact: row[f"{fact}_{i}"] for fact in ("n", "mean", "min", "max")}}
+    return out
 
 
 def numeric_profile(
     df: DataFrame, columns: list[str] | None = None, settings: Settings = DEFAULTS, rows: int | None = None
 ) -> DataFrame:
-    """One row per numeric column; infinities and unreadable cells count as missing."""
+    """One row per numeric column; infinities and unreadable cells count as missing.
+
+    First pass: count, mean and range. Second: exact quantiles. Third: sums of powers of the
+    deviations from the mean, which give spread and shape without cancellation.
+    """
     columns = _numeric(df, columns, settings)
+    if not columns:
+        return _empty(df, NUMERIC_SCHEMA)
+    narrow = df.select(*[cells.quoted(c) for c in columns])
+    narrow = spread(narrow, df.count() if rows is None else rows, settings)
+    ranges = column_ranges(narrow, columns, settings)
+    quarts = quantiles_of(narrow, columns, ranges, [0.25, 0.5, 0.75], settings)
     parts = []
     for k in range(0, len(columns), settings.columns_per_aggregate):
         chunk = columns[k:k + settings.columns_per_aggregate]
-        wide = cells.numbers(df, chunk)
-        values = {c: F.col(f"v_{i}") for i, c in enumerate(chunk)}
-        quantiles = quantile_columns(wide, values, [0.25, 0.5, 0.75], settings, rows)
-        aggs = {"total": "count(1)"}
-        for i in range(len(chunk)):
-            aggs |= {f"{fact}_{i}": f"{call}(v_{i})" for fact, call in _MOMENTS.items()}
-        one = wide.agg(
-            *[F.expr(f"{call} AS {name}") for name, call in aggs.items()],
-            *[quantiles[c].alias(f"q_{i}") for i, c in enumerate(chunk)],
-        )
-        structs = [
-            {"column": cells.sql_text(c), "total": "total", **{fact: f"{fact}_{i}" for fact in (*_MOMENTS, "q")}}
-            for i, c in enumerate(chunk)
-        ]
-        parts.append(cells.inline_rows(one, structs))
-    if not parts:
-        return _empty(df, NUMERIC_SCHEMA)
-    n, q = F.col("n"), F.col("q")
-    std = F.when(n == 1, 0.0).otherwise(F.col("std"))
-    shaped = (n >= 3) & (std > 1e-9)
-    return _union(parts).select(
+        aggs, structs = {}, []
+        for i, c in enumerate(chunk):
+            d = f"(v_{i} - {cells.sql_double(ranges[c]['mean'] or 0.0)})"
+            aggs |= {f"p{power}_{i}": f"sum({' * '.join([d] * power)})" for power in (2, 3, 4)}
+            q1, q2, q3 = map(cells.sql_double, quarts[c])
+            structs.append({
+                "column": cells.sql_text(c), "total": f"{ranges[c]['total']}L", "n": f"{ranges[c]['n']}L",
+                **{fact: cells.sql_double(ranges[c][fact]) for fact in ("mean", "min", "max")},
+                "q1": q1, "q2": q2, "q3": q3, **{f"p{power}": f"p{power}_{i}" for power in (2, 3, 4)},
+            })
+        parts.append(cells.inline_rows(cells.aggregate(cells.numbers(narrow, chunk), aggs), structs))
+    n, flat = F.col("n"), F.col("min") == F.col("max")
+    variance = F.when(flat, 0.0).otherwise(F.col("p2") / F.nullif(n, F.lit(0)))
+    facts = _union(parts).withColumns({
+        "variance": variance,
+        "std": F.when((n == 1) | (flat & (n > 0)), 0.0).otherwise(F.sqrt(F.col("p2") / F.nullif(n - 1, F.lit(0)))),
+    })
+    shaped = (n >= 3) & (F.col("std") > 1e-9)
+    g1 = F.col("p3") / n / F.pow(F.nullif("variance", F.lit(0.0)), F.lit(1.5))
+    g2 = F.col("p4") / n / F.pow(F.nullif("variance", F.lit(0.0)), F.lit(2.0)) - 3.0
+    return facts.select(
         "column",
         F.col("total").alias("count"),
         n.alias("valid_count"),
         (F.col("total") - n).alias("missing_count"),
         cells.percent(F.col("total") - n, F.col("total")).alias("missing_percentage"),
         cells.rounded(F.col("mean")).alias("mean"),
-        cells.rounded(q[1]).alias("median"),
-        cells.rounded(std).alias("std"),
+        cells.rounded(F.col("q2")).alias("median"),
+        cells.rounded(F.col("std")).alias("std"),
         cells.rounded(F.col("min")).alias("min"),
         cells.rounded(F.col("max")).alias("max"),
-        cells.rounded(q[0]).alias("q1"),
-        cells.rounded(q[2]).alias("q3"),
-        cells.rounded(q[2] - q[0]).alias("iqr"),
-        cells.rounded(F.when(shaped, unbiased_skewness(F.col("g1"), n))).alias("skewness"),
-        cells.rounded(F.when(shaped, unbiased_kurtosis(F.col("g2"), n))).alias("kurtosis"),
+        cells.rounded(F.col("q1")).alias("q1"),
+        cells.rounded(F.col("q3")).alias("q3"),
+        cells.rounded(F.col("q3") - F.col("q1")).alias("iqr"),
+        cells.rounded(F.when(shaped, unbiased_skewness(g1, n))).alias("skewness"),
+        cells.rounded(F.when(shaped, unbiased_kurtosis(g2, n))).alias("kurtosis"),
     )
 
 
+def quantiles_of(
+    df: DataFrame, columns: list[str], ranges: dict[str, dict], probs: list[float], settings: Settings = DEFAULTS
+) -> dict[str, list[float | None]]:
+    """Exact quantiles per column, given the counts and ranges of the first pass."""
+    out: dict[str, list[float | None]] = {}
+    for k in range(0, len(columns), settings.columns_per_aggregate):
+        chunk = columns[k:k + settings.columns_per_aggregate]
+        names = [f"v_{i}" for i in range(len(chunk))]
+        heads = {f"v_{i}": (ranges[c]["n"], ranges[c]["min"], ranges[c]["max"]) for i, c in enumerate(chunk)}
+        rows = max(r["total"] for r in ranges.values())
+        found = column_quantiles(cells.numbers(df, chunk), names, probs, settings, rows, heads)
+        out |= {c: found[f"v_{i}"] for i, c in enumerate(chunk)}
+    return out
+
+
 def _union(parts: list[DataFrame]) -> DataFrame:
     out = parts[0]
     for p in parts[1:]:
@@ -229,26 +264,6 @@ def temporal_profile(df: DataFrame, columns: list[str] | None = None, settings:
     )
 
 
-def quartiles(
-    df: DataFrame, columns: list[str], settings: Settings = DEFAULTS, rows: int | None = None
-) -> dict[str, tuple[int, float | None, float | None]]:
-    """Valid count and quartiles per column, read on the driver to become literals of a second pass."""
-    out: dict[str, tuple[int, float | None, float | None]] = {}
-    for k in range(0, len(columns), settings.columns_per_aggregate):
-        chunk = columns[k:k + settings.columns_per_aggregate]
-        wide = cells.numbers(df, chunk)
-        values = {c: F.col(f"v_{i}") for i, c in enumerate(chunk)}
-        q = quantile_columns(wide, values, [0.25, 0.75], settings, rows)
-        row = wide.agg(
-            *[F.count(values[c]).alias(f"n_{i}") for i, c in enumerate(chunk)],
-            *[q[c].alias(f"q_{i}") for i, c in enumerate(chunk)],
-        ).first()
-        for i, c in enumerate(chunk):
-            q1, q3 = row[f"q_{i}"] or (None, None)
-            out[c] = (row[f"n_{i}"], q1, q3)
-    return out
-
-
 def fences(n: int, q1: float | None, q3: float | None, multiplier: float):
     """Lower and upper fence; None for fewer than four values."""
     if n < 4 or q1 is None or q3 is None:
@@ -276,26 +291,29 @@ def outliers(
     if not columns:
         return _empty(df, OUTLIER_SCHEMA)
     multiplier = settings.iqr_multiplier if multiplier is None else multiplier
-    rows = df.count() if rows is None else rows
-    known = quartiles(df, columns, settings, rows)
-    aggs, structs = {}, []
-    for i, c in enumerate(columns):
-        n, q1, q3 = known[c]
-        bounds = fences(n, q1, q3, multiplier)
-        v = f"v_{i}"
-        if bounds is None:  # too few values: no quartiles, no range
-            v, q1, q3, bounds = "CAST(NULL AS DOUBLE)", None, None, (None, None)
-        lo, hi = map(cells.sql_double, bounds)
-        aggs |= {
-            f"low_{i}": f"count_if({v} < {lo})", f"high_{i}": f"count_if({v} > {hi})",
-            f"min_{i}": f"min({v})", f"max_{i}": f"max({v})", f"n_{i}": f"count({v})",
-        }
-        structs.append({
-            "column": cells.sql_text(c), "q1": cells.sql_double(q1), "q3": cells.sql_double(q3), "lo": lo, "hi": hi,
-            **{fact: f"{fact}_{i}" for fact in ("low", "high", "min", "max", "n")},
-        })
+    narrow = df.select(*[cells.quoted(c) for c in columns])
+    narrow = spread(narrow, df.count() if rows is None else rows, settings)
+    ranges = column_ranges(narrow, columns, settings)
+    quarts = quantiles_of(narrow, columns, ranges, [0.25, 0.75], settings)
+    parts = []
+    for k in range(0, len(columns), settings.columns_per_aggregate):
+        aggs, structs = {}, []
+        chunk = columns[k:k + settings.columns_per_aggregate]
+        for i, c in enumerate(chunk):
+            r, (q1, q3) = ranges[c], quarts[c]
+            bounds = fences(r["n"], q1, q3, multiplier)
+            known = bounds is not None  # too few values: no quartiles, no range
+            lo, hi = map(cells.sql_double, bounds or (None, None))
+            aggs |= {f"low_{i}": f"count_if(v_{i} < {lo})", f"high_{i}": f"count_if(v_{i} > {hi})"}
+            structs.append({
+                "column": cells.sql_text(c), "q1": cells.sql_double(q1 if known else None),
+                "q3": cells.sql_double(q3 if known else None), "lo": lo, "hi": hi, "n": f"{r['n']}L",
+                "min": cells.sql_double(r["min"] if known else None), "max": cells.sql_double(r["max"] if known else None),
+                "low": f"low_{i}", "high": f"high_{i}",
+            })
+        parts.append(cells.inline_rows(cells.aggregate(cells.numbers(narrow, chunk), aggs), structs))
     both = F.col("low") + F.col("high")
-    return cells.inline_rows(cells.aggregate(cells.numbers(df, columns), aggs), structs).select(
+    return _union(parts).select(
         "column",
         cells.rounded(F.col("q1")).alias("q1"),
         cells.rounded(F.col("q3")).alias("q3"),

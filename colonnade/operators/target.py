@@ -109,13 +109,8 @@ def regression_target_profile(df: DataFrame, target: str, settings: Settings = D
     catalog.require_columns(df, target)
     rows = df.count()
     profile = statistics.numeric_profile(df, [target], settings, rows)
-    n, q1, q3 = statistics.quartiles(df, [target], settings, rows)[target]
-    beyond = F.lit(0)
-    if n:
-        reach = 1.5 * (q3 - q1)
-        v = cells.number(df, target)
-        beyond = F.count_if((v < F.lit(q1 - reach)) | (v > F.lit(q3 + reach)))
-    extremes = df.agg(F.lit(target).alias("column"), beyond.cast("long").alias("extreme_count"))
+    beyond = statistics.outliers(df, [target], 1.5, settings, rows)
+    extremes = beyond.select("column", F.col("outliers_count").alias("extreme_count"))
     return profile.select("column", "mean", "median", "std", "min", "max", "q1", "q3", "iqr").join(
         F.broadcast(extremes), "column"
     )

@@ -42,10 +42,11 @@ class Settings:
 
     # Physical limits. Work above these bounds takes the distributed form.
     one_task_rows: int = 2_000_000      # rows one task may sort or hold as distinct values
-    broadcast_rows: int = 100_000       # rows of a table that may carry a broadcast hint
+    exact_percentile_rows: int = 100_000  # rows whose distinct values the built-in percentile may hold
+    rows_per_core: int = 20_000         # rows worth a core of their own in a small table
     quantile_bins: int = 4096           # histogram bins per order-statistic pass
     hash_digits: int = 4                # hex digits of md5 used as order buckets
-    columns_per_aggregate: int = 24
+    columns_per_aggregate: int = 8      # keeps generated methods small enough to be compiled
     pairs_per_aggregate: int = 30
 
     @classmethod

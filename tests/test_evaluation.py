@@ -7,7 +7,7 @@ from colonnade.operators import classification as c
 from colonnade.operators import diagnosis, errors, regression
 from colonnade.settings import Settings
 
-SMALL = Settings(one_task_rows=10, quantile_bins=8)
+SMALL = Settings(one_task_rows=10, exact_percentile_rows=10, quantile_bins=8)
 
 
 def outcomes(spark, true, pred, prob=None):

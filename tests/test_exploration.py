@@ -11,7 +11,7 @@ from colonnade.plans.explore import explore
 from colonnade.settings import Settings
 
 NAN, INF = float("nan"), float("inf")
-SMALL = Settings(one_task_rows=10, quantile_bins=8)
+SMALL = Settings(one_task_rows=10, exact_percentile_rows=10, quantile_bins=8)
 
 
 def column(spark, values, kind="double"):

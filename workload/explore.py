@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from colonnade.operators import association, distribution, statistics
 from workload.profile import WIDE, WIDE_SQL, wide_documents
 from workload.registry import (
-    GAPPED_CLEAN, LABELLED, LARGE, gapped, labelled, pct, query, table, union_all,
+    GAPPED_CLEAN, LABELLED, LARGE, TINY, gapped, labelled, pct, query, table, union_all,
 )
 
 ITEM_NUMBERS = ["l_quantity", "l_extendedprice", "discount", "tax", "price_per_tax"]
@@ -185,9 +185,7 @@ def eda10(spark, sf):
 
 @query("eda10_iqr_outliers_large", outlier_sql(["n_chars", "quality"], LABELLED))
 def eda10_large(spark, sf):
-    from colonnade.settings import Settings
-
-    return statistics.outliers(labelled(spark, sf), ["n_chars", "quality"], settings=Settings(one_task_rows=100, quantile_bins=16))
+    return statistics.outliers(labelled(spark, sf), ["n_chars", "quality"], settings=TINY)
 
 
 @query("eda11_numeric_distribution", profile_sql(["n_chars"], "documents"))

@@ -13,7 +13,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 # Limits small enough to send the test tables through the forms meant for large ones.
-LARGE = Settings(one_task_rows=2_000, quantile_bins=64)
+LARGE = Settings(one_task_rows=2_000, exact_percentile_rows=2_000, quantile_bins=64)
+TINY = Settings(one_task_rows=100, exact_percentile_rows=100, quantile_bins=16)
 
 LINE_KEYS = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
 
