@@ -51,10 +51,18 @@ def as_number(c: Column, dtype: T.DataType) -> Column:
     if isinstance(dtype, INTEGER_TYPES + (T.BooleanType, T.DecimalType)):
         return c.cast("double")
     if isinstance(dtype, T.StringType):
-        return finite(F.trim(c, F.lit(WHITESPACE)).try_cast("double"))
+        s = stripped(c)
+        # Plain words are turned away by their first letter: a failed parse costs an exception per cell.
+        return finite(F.when(F.ascii(s).between(43, 57), s.try_cast("double")))
     return finite(c.cast("double"))
 
 
+def text_as_double(s: str) -> str:
+    """SQL text for the double in a column of stripped text, infinities and NaN included, else null."""
+    return (f"CASE WHEN length({s}) <= 400 AND (ascii({s}) BETWEEN 43 AND 57 OR lower({s}) RLIKE '^(inf|nan)')"
+            f" THEN try_cast({s} AS DOUBLE) END")
+
+
 def number(df: DataFrame, name: str) -> Column:
     return as_number(quoted(name), type_of(df, name))
 
@@ -109,14 +117,14 @@ def time(df: DataFrame, name: str) -> Column:
 def text_as_time(s: str) -> Column:
     """Timestamp from a column of stripped text, by the first layout that fits.
 
-    Text is offered only to the layouts of its shape. Wide plans are written as SQL text: one
+    Text is offered only to the layouts of its shape; every layout has a four-digit year. Wide plans are written as SQL text: one
     call to the JVM per expression instead of one per operator.
     """
     cases = [f"WHEN {s} RLIKE {sql_text(ISO_SHAPE)} THEN try_cast({s} AS timestamp_ntz)"]
     for shape, layouts in TIME_LAYOUTS.items():
         tries = ", ".join(f"CAST(try_to_timestamp({s}, {sql_text(p)}) AS timestamp_ntz)" for p in layouts)
         cases.append(f"WHEN {s} RLIKE {sql_text(shape)} THEN coalesce({tries})")
-    return F.expr(f"CASE WHEN length({s}) > 40 THEN NULL {' '.join(cases)} END")
+    return F.expr(f"CASE WHEN length({s}) NOT BETWEEN 4 AND 40 OR NOT {s} RLIKE '[0-9]{{4}}' THEN NULL {' '.join(cases)} END")
 
 
 def sql_text(value: str) -> str:

@@ -45,24 +45,22 @@ def _fact_inputs(df: DataFrame, names: list[str]) -> DataFrame:
     return df.select(*columns)
 
 
-def _fact_aggregates(df: DataFrame, name: str, i: int, with_distinct: bool) -> dict[str, str | Column]:
+def _fact_aggregates(df: DataFrame, name: str, i: int) -> dict[str, str | Column]:
     dtype = cells.type_of(df, name)
     r, s = f"r_{i}", f"s_{i}"
     aggs: dict[str, str | Column] = {f"missing_{i}": f"count_if(m_{i})"}
-    if with_distinct:
-        aggs[f"distinct_{i}"] = F.count_distinct(cells.distinct_key(F.col(r), dtype))
     if isinstance(dtype, cells.INTEGER_TYPES):
         aggs |= {f"min_{i}": f"min({r})", f"max_{i}": f"max({r})"}
     elif isinstance(dtype, cells.FRACTION_TYPES):
         v = f"CAST({r} AS DOUBLE)"
         aggs |= {f"max_{i}": f"max({v})", f"whole_{i}": f"bool_and({v} = rint({v}))"}
     elif isinstance(dtype, T.StringType):
-        n = f"CASE WHEN length({s}) <= 400 THEN try_cast({s} AS DOUBLE) END"
+        n = cells.text_as_double(s)
         present = f"FILTER (WHERE {s} IS NOT NULL)"
         words = ", ".join(map(cells.sql_text, BOOLEAN_WORDS))
         aggs |= {
             f"flags_{i}": f"bool_and(length({s}) <= 5 AND lower({s}) IN ({words}))",
-            f"dated_{i}": f"count_if({s} RLIKE '[-/:]')",
+            f"dated_{i}": f"count_if(contains({s}, '-') OR contains({s}, '/') OR contains({s}, ':'))",
             f"times_{i}": F.bool_and(F.when(F.col(s).isNotNull(), cells.text_as_time(s).isNotNull())),
             f"numbers_{i}": f"bool_and({n} IS NOT NULL) {present}",
             f"whole_{i}": f"bool_and({n} = rint({n}))",
@@ -71,38 +69,34 @@ def _fact_aggregates(df: DataFrame, name: str, i: int, with_distinct: bool) -> d
     return aggs
 
 
-def _facts(df: DataFrame, names: list[str], with_distinct: bool) -> DataFrame:
+def _facts(df: DataFrame, names: list[str]) -> DataFrame:
     """One row: the row count `n` and every fact of every named column."""
     aggs: dict[str, str | Column] = {"n": "count(1)"}
     for i, c in enumerate(names):
-        aggs |= _fact_aggregates(df, c, i, with_distinct)
+        aggs |= _fact_aggregates(df, c, i)
     return _fact_inputs(df, names).agg(
         *[(F.expr(v) if isinstance(v, str) else v).alias(k) for k, v in aggs.items()]
     )
 
 
-def _logical_type(df: DataFrame, name: str, i: int) -> Column:
-    """Logical type from the aggregated facts; null where the distinct count decides and is not at hand."""
+def _logical_type(df: DataFrame, name: str, i: int) -> str:
+    """Logical type from the aggregated facts, as SQL text; long distinct text still counts as categorical."""
     dtype = cells.type_of(df, name)
-    present = F.col("n") - F.col(f"missing_{i}")
     if isinstance(dtype, T.BooleanType):
-        return F.lit("boolean")
+        return "'boolean'"
     if isinstance(dtype, cells.TIME_TYPES):
-        return F.lit("datetime-like")
+        return "'datetime-like'"
     if isinstance(dtype, cells.INTEGER_TYPES):
-        return F.when((F.col(f"min_{i}") >= 0) & (F.col(f"max_{i}") <= 1), "boolean").otherwise("integer")
+        return f"CASE WHEN min_{i} >= 0 AND max_{i} <= 1 THEN 'boolean' ELSE 'integer' END"
     if isinstance(dtype, cells.FRACTION_TYPES):
-        return F.when(F.col(f"whole_{i}") & (F.col(f"max_{i}") < 1e12), "integer").otherwise("float")
-    whole_word = F.when(F.col(f"whole_{i}"), "integer").otherwise("float")
-    varied = F.col(f"distinct_{i}") / F.greatest(F.col("n"), F.lit(1)) > 0.70
-    return (
-        F.when(present == 0, "mixed")
-        .when(F.col(f"flags_{i}"), "boolean")
-        .when((F.col(f"dated_{i}") >= present * 0.8) & F.col(f"times_{i}"), "datetime-like")
-        .when(F.col(f"numbers_{i}"), whole_word)
-        .when((F.col(f"length_{i}") > 60) & varied, "text")
-        .otherwise("categorical")
-    )
+        return f"CASE WHEN whole_{i} AND max_{i} < 1e12D THEN 'integer' ELSE 'float' END"
+    return f"""CASE WHEN n = missing_{i} THEN 'mixed' WHEN flags_{i} THEN 'boolean'
+        WHEN dated_{i} >= (n - missing_{i}) * 0.8D AND times_{i} THEN 'datetime-like'
+        WHEN numbers_{i} THEN CASE WHEN whole_{i} THEN 'integer' ELSE 'float' END ELSE 'categorical' END"""
+
+
+def _is_long(df: DataFrame, name: str, i: int) -> str:
+    return f"coalesce(length_{i} > 60, false)" if isinstance(cells.type_of(df, name), T.StringType) else "false"
 
 
 def _chunks(names: list[str], size: int) -> list[list[str]]:
@@ -116,32 +110,52 @@ def column_types(df: DataFrame, settings: Settings = DEFAULTS) -> dict[str, str]
     for long strings, where they separate text from categories.
     """
     out: dict[str, str] = {}
+    unsure: list[str] = []
     names = profiled_columns(df)
     df = spread(df, df.count(), settings)
     for chunk in _chunks(names, settings.columns_per_aggregate):
-        facts = _facts(df, chunk, False)
-        long = [
-            i for i, c in enumerate(chunk) if isinstance(cells.type_of(df, c), T.StringType)
-        ]
-        kinds = facts.withColumns({f"distinct_{i}": F.lit(0) for i in long}).select(
-            *[_logical_type(df, c, i).alias(f"k_{i}") for i, c in enumerate(chunk)],
-            *[F.col(f"length_{i}") for i in long],
+        facts = _facts(df, chunk).select(
+            *[F.expr(f"{_logical_type(df, c, i)} AS k_{i}") for i, c in enumerate(chunk)],
+            *[F.expr(f"{_is_long(df, c, i)} AS long_{i}") for i, c in enumerate(chunk)],
         ).first()
         for i, c in enumerate(chunk):
-            out[c] = kinds[f"k_{i}"]
-        unsure = [c for i, c in enumerate(chunk) if i in long and out[c] == "categorical" and kinds[f"length_{i}"] > 60]
-        if unsure:
-            counts = df.agg(
-                F.count(F.lit(1)).alias("n"),
-                *[F.count_distinct(cells.distinct_key(cells.quoted(c), T.StringType())).alias(f"d_{j}")
-                  for j, c in enumerate(unsure)],
-            ).first()
-            for j, c in enumerate(unsure):
-                if counts[f"d_{j}"] / max(counts["n"], 1) > 0.70:
-                    out[c] = "text"
+            out[c] = facts[f"k_{i}"]
+            if facts[f"long_{i}"] and out[c] == "categorical":
+                unsure.append(c)
+    if unsure:
+        rows = df.count()
+        for r in distinct_counts(df, unsure).collect():
+            if r["unique_count"] / max(rows, 1) > 0.70:
+                out[unsure[r["position"]]] = "text"
     return out
 
 
+def distinct_counts(df: DataFrame, names: list[str]) -> DataFrame:
+    """(position, unique_count) of the named columns, by position in the list; absent where nothing is present.
+
+    All columns go through one shuffle of narrow (column, value) rows, combined per map task;
+    a value that fills a third of a column is one row per task.
+    """
+    structs = []
+    for i, c in enumerate(names):
+        dtype = cells.type_of(df, c)
+        v = cells.distinct_key(cells.quoted(c), dtype)
+        whole, fraction, text = (F.lit(None).cast(t) for t in ("bigint", "double", "string"))
+        if isinstance(dtype, cells.INTEGER_TYPES + (T.BooleanType,)):
+            whole = v.cast("bigint")
+        elif isinstance(dtype, cells.TIME_TYPES):
+            epoch = F.lit("1970-01-01").cast("timestamp_ntz")
+            whole = F.timestamp_diff("MICROSECOND", epoch, v.cast("timestamp_ntz"))
+        elif cells.is_floating(dtype):
+            fraction = v.cast("double")
+        else:
+            text = v.cast("string")
+        structs.append(F.struct(F.lit(i).cast("long").alias("position"), whole.alias("w"), fraction.alias("f"), text.alias("t")))
+    long = df.select(F.inline(F.array(*structs))).filter("w IS NOT NULL OR f IS NOT NULL OR t IS NOT NULL")
+    once = long.groupBy("position", "w", "f", "t").agg(F.lit(1).alias("one"))
+    return once.groupBy("position").agg(F.count("*").alias("unique_count"))
+
+
 def columns_of(types: dict[str, str], *kinds: str) -> list[str]:
     return [c for c, k in types.items() if k in kinds]
 
@@ -153,19 +167,27 @@ def column_summary(df: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     df = spread(df, df.count(), settings)
     parts = []
     for chunk in _chunks(names, settings.columns_per_aggregate):
-        facts = _facts(df, chunk, True)
-        typed = facts.withColumns({f"kind_{i}": _logical_type(df, c, i) for i, c in enumerate(chunk)})
-        parts.append(cells.inline_rows(typed, [
+        facts = _facts(df, chunk)
+        parts.append(cells.inline_rows(facts, [
             {
                 "position": f"{place[c]}L", "column": cells.sql_text(c),
-                "raw_dtype": cells.sql_text(cells.type_of(df, c).simpleString()), "inferred_dtype": f"kind_{i}",
-                "row_count": "n", "missing_count": f"missing_{i}", "unique_count": f"distinct_{i}",
+                "raw_dtype": cells.sql_text(cells.type_of(df, c).simpleString()), "kind": _logical_type(df, c, i),
+                "long": _is_long(df, c, i), "row_count": "n", "missing_count": f"missing_{i}",
             }
             for i, c in enumerate(chunk)
         ]))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
+    # One row per column of the table on either side.
+    out = out.join(F.broadcast(distinct_counts(df, names)), "position", "left")
+    unique = F.coalesce("unique_count", F.lit(0)).cast("long")
+    varied = unique / F.greatest(F.col("row_count"), F.lit(1)) > 0.70
+    kind = F.when((F.col("kind") == "categorical") & F.col("long") & varied, "text").otherwise(F.col("kind"))
+    out = out.select(
+        "position", "column", "raw_dtype", kind.alias("inferred_dtype"), "row_count", "missing_count",
+        unique.alias("unique_count"),
+    )
     share = F.col("unique_count") / F.greatest(F.col("row_count"), F.lit(1))
     return out.select(
         "*",

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from colonnade.functions import cells
-from colonnade.functions.partitions import spread
 from colonnade.functions.quantiles import grouped_quantiles
 from colonnade.functions.ranking import running_totals
 from colonnade.operators import association, catalog, statistics
@@ -65,7 +64,6 @@ def box_numbers(
     catalog.require_columns(df, *columns)
     multiplier = settings.iqr_multiplier if multiplier is None else multiplier
     narrow = df.select(*[cells.quoted(c) for c in columns])
-    narrow = spread(narrow, df.count(), settings)
     ranges = statistics.column_ranges(narrow, columns, settings)
     quarts = statistics.quantiles_of(narrow, columns, ranges, [0.25, 0.5, 0.75], settings)
     wide = cells.numbers(narrow, columns)

@@ -107,9 +107,8 @@ def class_balance(df: DataFrame, target: str) -> DataFrame:
 def regression_target_profile(df: DataFrame, target: str, settings: Settings = DEFAULTS) -> DataFrame:
     """Location, spread and the number of values beyond the 1.5 IQR fences."""
     catalog.require_columns(df, target)
-    rows = df.count()
-    profile = statistics.numeric_profile(df, [target], settings, rows)
-    beyond = statistics.outliers(df, [target], 1.5, settings, rows)
+    profile = statistics.numeric_profile(df, [target], settings)
+    beyond = statistics.outliers(df, [target], 1.5, settings)
     extremes = beyond.select("column", F.col("outliers_count").alias("extreme_count"))
     return profile.select("column", "mean", "median", "std", "min", "max", "q1", "q3", "iqr").join(
         F.broadcast(extremes), "column"

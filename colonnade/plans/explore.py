@@ -13,7 +13,6 @@ def explore(df: DataFrame, settings: Settings = DEFAULTS) -> dict[str, DataFrame
     numeric = catalog.columns_of(types, *catalog.NUMERIC)
     categories = catalog.columns_of(types, *catalog.CATEGORY_LIKE)
     dates = catalog.columns_of(types, "datetime-like")
-    rows = df.count()
     missing = statistics.missing_by_column(df)
     out = {
         "missing": missing,
@@ -23,8 +22,8 @@ def explore(df: DataFrame, settings: Settings = DEFAULTS) -> dict[str, DataFrame
     if numeric:
         matrix = association.correlation_matrix(df, numeric, settings)
         out |= {
-            "numeric": statistics.numeric_profile(df, numeric, settings, rows),
-            "outliers": statistics.outliers(df, numeric, settings=settings, rows=rows),
+            "numeric": statistics.numeric_profile(df, numeric, settings),
+            "outliers": statistics.outliers(df, numeric, settings=settings),
             "correlation": matrix,
             "strong_pairs": association.strong_pairs(matrix, settings=settings),
         }
