@@ -17,7 +17,7 @@ def order_buckets(df: DataFrame, position: str, rows: int, settings: Settings) -
     The cut points are a bounded array from the built-in quantile sketch; any cut points
     give the same totals, so the sketch's error does not reach the result.
     """
-    parts = math.ceil(rows / settings.one_task_rows)
+    parts = min(math.ceil(rows / settings.one_task_rows), settings.order_buckets)
     if parts <= 1:
         return df.withColumn("bucket", F.lit(0.0))
     probs = [i / parts for i in range(1, parts)]

@@ -147,10 +147,8 @@ def score_table(
         F.sum(1 - F.col("is_positive").cast("long")).alias("neg"),
     ).withColumn("one", F.lit(1).cast("long"))
     placed = running_totals(groups, by, "score", ["pos", "neg", "one"], rows, settings, descending=True)
-    sizes = scored.groupBy(*by).agg(
-        F.sum(F.col("is_positive").cast("long")).alias("all_pos"),
-        F.sum(1 - F.col("is_positive").cast("long")).alias("all_neg"),
-        F.count_distinct(F.col("score").cast("double")).alias("points"),
+    sizes = groups.groupBy(*by).agg(
+        F.sum("pos").alias("all_pos"), F.sum("neg").alias("all_neg"), F.count("*").alias("points"),
     )
     # One row per model and fold on the right.
     if by:

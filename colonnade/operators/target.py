@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from colonnade.functions import cells
@@ -96,12 +96,14 @@ def class_balance(df: DataFrame, target: str) -> DataFrame:
     catalog.require_columns(df, target)
     value = cells.without_nan(cells.quoted(target), cells.type_of(df, target)).cast("string")
     counts = df.select(value.alias("class_label")).dropna().groupBy("class_label").agg(F.count("*").alias("n"))
-    # The window runs over the class table: one row per class.
-    every = Window.partitionBy()
-    share = cells.percent(F.col("n"), F.sum("n").over(every))
-    shares = counts.withColumn("percentage", share)
-    low = F.min("percentage").over(every)
-    return shares.withColumn("minority_percentage", low).withColumn("is_imbalanced", F.col("minority_percentage") < 15.0)
+    # One row of totals, read first: a target with very many values never meets in one task.
+    whole = counts.agg(F.sum("n").alias("rows"), F.min("n").alias("low")).first()
+    rows, low = whole["rows"] or 0, whole["low"] or 0
+    least = cells.percent(F.lit(low), F.lit(rows))
+    return counts.select(
+        "class_label", "n", cells.percent(F.col("n"), F.lit(rows)).alias("percentage"),
+        least.alias("minority_percentage"), (least < 15.0).alias("is_imbalanced"),
+    )
 
 
 def regression_target_profile(df: DataFrame, target: str, settings: Settings = DEFAULTS) -> DataFrame:

@@ -44,6 +44,7 @@ class Settings:
     one_task_rows: int = 2_000_000      # rows one task may sort or hold as distinct values
     exact_percentile_rows: int = 100_000  # rows whose distinct values the built-in percentile may hold
     rows_per_core: int = 20_000         # rows worth a core of their own in a small table
+    order_buckets: int = 5_000          # most ranges a global order is cut into; each is sorted with spilling
     quantile_bins: int = 4096           # histogram bins per order-statistic pass
     hash_digits: int = 4                # hex digits of md5 used as order buckets
     columns_per_aggregate: int = 8      # keeps generated methods small enough to be compiled
