@@ -15,15 +15,19 @@ def scorer(run: Run, model_id: str):
     return lambda df: run.models[model_id].transform(df)
 
 
-def explained_output(run: Run, model_id: str, sample: DataFrame) -> Column:
-    """What is attributed: probability of the last class for two classes, of the predicted one for more,
-    the prediction itself for numbers."""
+def explained_outputs(run: Run, model_id: str, sample: DataFrame, per_class: bool = False) -> list[Column]:
+    """What is attributed: the prediction for numbers, the probability of the last class for two classes.
+
+    For more classes it is the probability of the predicted class, or of each class in turn.
+    """
     if not run.labels:
-        return F.col("prediction")
+        return [F.col("prediction")]
     probs = models.class_probabilities(run.models[model_id], run.models[model_id].transform(sample), len(run.labels))
     if probs is None:
-        return F.col("prediction")
-    return probs[1] if len(run.labels) == 2 else F.array_max(probs)
+        return [F.col("prediction")]
+    if len(run.labels) == 2:
+        return [probs[1]]
+    return [probs[i] for i in range(len(run.labels))] if per_class else [F.array_max(probs)]
 
 
 def importance(run: Run, model_id: str) -> DataFrame | None:
@@ -38,25 +42,39 @@ def permutation(run: Run, model_id: str, repeats: int | None = None) -> DataFram
     )
 
 
-def attributions(run: Run, model_id: str, rows: DataFrame | None = None, orders: int | None = None) -> DataFrame:
-    """Sampled Shapley values of a sample of validation rows, or of the given rows."""
+def attributions(
+    run: Run, model_id: str, rows: DataFrame | None = None, orders: int | None = None, per_class: bool = True
+) -> DataFrame:
+    """Sampled Shapley values of a sample of validation rows, or of the given rows.
+
+    With more than two classes `phi` is the mean absolute value over the classes, or, without
+    `per_class`, the signed value for the predicted class.
+    """
     s, keys = run.settings, run.prepared.keys
     pool = run.fold(VALIDATION)
     rows = explain.sample_rows(pool, keys, s.shap_sample, s.seed) if rows is None else rows
     back = explain.sample_rows(pool, keys, s.shap_background, f"{s.seed}-background")
     background = [r["x"] for r in back.select(vector_to_array("features").alias("x")).collect()]
-    return explain.sampled_shapley(
-        rows, background, keys, scorer(run, model_id), explained_output(run, model_id, pool),
-        run.prepared.lineage, orders, s,
+    parts = [
+        explain.sampled_shapley(rows, background, keys, scorer(run, model_id), output, run.prepared.lineage, orders, s)
+        for output in explained_outputs(run, model_id, pool, per_class)
+    ]
+    if len(parts) == 1:
+        return parts[0]
+    stacked = parts[0]
+    for p in parts[1:]:
+        stacked = stacked.unionByName(p)
+    return stacked.groupBy(*keys, "feature", "original_feature").agg(
+        F.first("feature_value").alias("feature_value"), F.avg(F.abs("phi")).alias("phi")
     )
 
 
 def local(run: Run, model_id: str, rows: DataFrame, top: int = 15) -> dict[str, DataFrame]:
     """Prediction, probability and base value of given rows, and their strongest contributions."""
-    phi = attributions(run, model_id, rows)
+    phi = attributions(run, model_id, rows, per_class=False)
     keep = [*run.prepared.keys, "fold"]
     scored = models.score(run.models[model_id], rows, keep, run.labels)
-    base = explained_output(run, model_id, rows)
+    base = explained_outputs(run, model_id, rows)[0]
     pool = explain.sample_rows(run.fold(VALIDATION), run.prepared.keys, run.settings.shap_background,
                                f"{run.settings.seed}-background")
     mean = run.models[model_id].transform(pool).agg(F.avg(base)).first()[0]

@@ -159,6 +159,11 @@ def test_multiclass_boosting_and_auc(spark):
     assert e["status"] == "success" and e["validation_metrics"]["f1_macro"] > 0.9 and e["validation_metrics"]["roc_auc"] > 0.9
     probs = run.predictions("model_01", "validation").select(F.aggregate("probs", F.lit(0.0), lambda a, x: a + x).alias("s"))
     assert probs.filter("abs(s - 1) > 1e-9").count() == 0
+    rows = run.fold("test").orderBy("k").limit(3)
+    phi = explanation.attributions(run, "model_01", rows, orders=2)
+    assert phi.count() == 3 and phi.filter("phi < 0").count() == 0
+    local = explanation.local(run, "model_01", rows)
+    assert local["contributions"].count() == 3 and local["prediction"].count() == 3
 
 
 def test_exact_shapley_of_a_linear_model(spark):
