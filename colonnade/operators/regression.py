@@ -70,11 +70,18 @@ def regression_metrics(
         F.count(rel).alias("rated"),
         *[F.avg(F.when(rel.isNotNull(), F.when(rel <= t, 100.0).otherwise(0.0))).alias(f"rel_{int(t * 100)}") for t in (0.1, 0.2)],
     )
+    # One row per group, read now: it tells the row count and whether the fallback shares are needed at all.
+    known = sums.collect()
+    sums = df.sparkSession.createDataFrame(known, sums.schema)
+    rows = sum(r["n"] for r in known) if rows is None else rows
     medians = quantiles_by(df, by, F.abs(e), [0.5], settings, rows).select(*by, F.col("q")[0].alias("median"))
     joined = sums.join(F.broadcast(medians), by) if by else sums.withColumn("median", F.lit(medians.first()["median"]))
-    flat = _flat_shares(df, by, sums)
-    joined = joined.join(F.broadcast(flat), by, "left") if by else joined.withColumns(
-        {c: F.lit(v).cast("double") for c, v in flat.first().asDict().items()})
+    if all(r["rated"] for r in known):
+        joined = joined.withColumns({c: F.lit(None).cast("double") for c in ("flat_10", "flat_20")})
+    else:
+        flat = _flat_shares(df, by, sums)
+        joined = joined.join(F.broadcast(flat), by, "left") if by else joined.withColumns(
+            {c: F.lit(v).cast("double") for c, v in flat.first().asDict().items()})
     r2 = F.round(_determination(F.col("mse"), F.col("var_y")), 4)
     share = lambda k: F.round(F.when(F.col("rated") > 0, F.col(f"rel_{k}")).otherwise(F.col(f"flat_{k}")), 1)
     return joined.select(
