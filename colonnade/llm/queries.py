@@ -27,7 +27,33 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-@query("op1_fingerprints")
+OP1 = r"""WITH docs AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+led AS (SELECT *, coalesce(lead(text) OVER o, first_value(text) OVER o) AS next_text FROM docs
+  WINDOW o AS (ORDER BY doc_id NULLS FIRST, md5(text) ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+edits AS (SELECT *, length(text) // 2 AS half,
+  substr(text, 1, length(text) - length(text) // 2) || substr(next_text, 1, length(text) // 2) AS edited FROM led),
+bodies AS (SELECT DISTINCT text AS body FROM docs UNION SELECT edited FROM edits),
+words AS (SELECT body, list_filter(string_split_regex(body, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM bodies),
+runs AS (SELECT body, CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: md5(array_to_string(w[i:i + 4], ' ')))
+  WHEN len(w) > 0 THEN [md5(array_to_string(w, ' '))] ELSE [] END AS h FROM words),
+prints AS (SELECT body, CASE WHEN len(h) <= 128 THEN '1:' || coalesce(array_to_string(list_sort(list_distinct(list_transform(h, lambda x: x[1:16]))), ','), '')
+  ELSE '8:' || coalesce(array_to_string(list_sort(list_distinct(list_transform(list_filter(h, lambda x: x < '2'), lambda x: x[1:16]))), ','), '') END AS fp FROM runs),
+three AS (SELECT doc_id, length(text) AS n_chars, sha256(edited) AS edited_sha256, a.fp AS x, b.fp AS y, c.fp AS z FROM edits
+  JOIN prints a ON a.body = text JOIN prints b ON b.body = edited JOIN prints c ON c.body = next_text),
+lists AS (SELECT *, list_filter(string_split(x[3:], ','), lambda h: h <> '') AS hx, list_filter(string_split(y[3:], ','), lambda h: h <> '') AS hy,
+  list_filter(string_split(z[3:], ','), lambda h: h <> '') AS hz FROM three),
+cut AS (SELECT *, CASE WHEN x[1] = '1' AND y[1] = '1' THEN hx ELSE list_filter(hx, lambda h: h < '2') END AS ex, CASE WHEN x[1] = '1' AND y[1] = '1' THEN hy ELSE list_filter(hy, lambda h: h < '2') END AS ey,
+  CASE WHEN x[1] = '1' AND z[1] = '1' THEN hx ELSE list_filter(hx, lambda h: h < '2') END AS nx, CASE WHEN x[1] = '1' AND z[1] = '1' THEN hz ELSE list_filter(hz, lambda h: h < '2') END AS nz FROM lists),
+sized AS (SELECT *, len(list_intersect(ex, ey)) AS es, least(len(ex), len(ey)) AS em, len(ex) + len(ey) AS eb,
+  len(list_intersect(nx, nz)) AS ns, least(len(nx), len(nz)) AS nm, len(nx) + len(nz) AS nb FROM cut)
+SELECT doc_id, n_chars, edited_sha256, x AS fingerprint, y AS edited_fingerprint,
+  CASE WHEN x = y THEN 1.0::DOUBLE WHEN em = 0 THEN 0.0::DOUBLE ELSE es::DOUBLE / em END AS near_edited,
+  CASE WHEN x = z THEN 1.0::DOUBLE WHEN nm = 0 THEN 0.0::DOUBLE ELSE ns::DOUBLE / nm END AS near_next,
+  CASE WHEN x = y THEN 1.0::DOUBLE WHEN em = 0 THEN 0.0::DOUBLE ELSE es::DOUBLE / (eb - es) END AS resemblance_edited,
+  CASE WHEN x = z THEN 1.0::DOUBLE WHEN nm = 0 THEN 0.0::DOUBLE ELSE ns::DOUBLE / (nb - ns) END AS resemblance_next FROM sized"""
+
+
+@query("op1_fingerprints", OP1)
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_table(table(spark, sf_dir, "documents"))
 
@@ -47,7 +73,27 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_path("byte_bpe_50k.json"))
 
 
-@query("op5_curriculum_mix")
+OP5 = r"""WITH docs AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+  md5(coalesce(doc_id::VARCHAR, '')) AS o, md5(coalesce(text, '')) AS tie FROM documents),
+sizes AS (SELECT source, sum(size)::BIGINT AS source_size FROM docs GROUP BY source),
+ranked AS (SELECT *, row_number() OVER (ORDER BY source IS NULL, source) - 1 AS rk FROM sizes),
+weighted AS (SELECT *, rk % 3 + 1 AS weight, 3 * source_size AS cap FROM ranked),
+levels AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER w, 0))::DOUBLE / (sum(weight) OVER () - coalesce(sum(weight) OVER w, 0))::DOUBLE AS level
+  FROM weighted WINDOW w AS (ORDER BY cap::DOUBLE / weight, rk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+common AS (SELECT level FROM levels WHERE cap >= level * weight ORDER BY cap::DOUBLE / weight, rk LIMIT 1),
+aims AS (SELECT source, source_size, rk % 3 AS cycle, CASE WHEN source_size = 0 THEN 0.0::DOUBLE
+  ELSE least(cap::DOUBLE, weight * coalesce((SELECT level FROM common), 0.0::DOUBLE)) END AS target FROM weighted),
+lined AS (SELECT d.*, a.source_size, a.cycle, a.target, round(a.target)::BIGINT AS whole,
+  coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY o, tie ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before
+  FROM docs d JOIN aims a ON d.source IS NOT DISTINCT FROM a.source),
+shares AS (SELECT *, CASE WHEN target > 0 THEN before::DOUBLE / target END AS share FROM lined)
+SELECT doc_id, source, size, source_size, target,
+  CASE WHEN source_size > 0 THEN (whole // source_size) * size + greatest(0, least(size, whole - (whole // source_size) * source_size - before)) ELSE 0 END::BIGINT AS taken,
+  coalesce(least(1.0::DOUBLE, greatest(0.0::DOUBLE, CASE cycle WHEN 0 THEN (sqrt(greatest(0.0::DOUBLE, 2.25::DOUBLE + -2.0::DOUBLE * share)) - 1.5::DOUBLE) / -1.0::DOUBLE
+    WHEN 1 THEN share / 1.0::DOUBLE ELSE (sqrt(greatest(0.0::DOUBLE, 0.25::DOUBLE + 2.0::DOUBLE * share)) - 0.5::DOUBLE) / 1.0::DOUBLE END)), 0.0::DOUBLE) AS position FROM shares"""
+
+
+@query("op5_curriculum_mix", OP5)
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture(table(spark, sf_dir, "documents"))
 

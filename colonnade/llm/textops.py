@@ -193,13 +193,11 @@ def counts(block: Block, starts: np.ndarray, ends: np.ndarray, texts: np.ndarray
     n_symbols = byte_sums(block, SYMBOLS)
     # lines with a word: between borders and line feeds
     breaks = np.flatnonzero(block.data == 10)
-    cuts = np.unique(np.concatenate([breaks, block.borders]))
-    line_start = np.unique(np.concatenate([breaks + 1, block.borders[:-1]])) if n else np.zeros(0, np.int64)
+    line_start = np.unique(np.concatenate([breaks + 1, block.borders[:-1]]))
     line_start = line_start[line_start < len(block.data)]
-    place = np.searchsorted(cuts, line_start, side="left")
-    line_end = cuts[np.minimum(place, len(cuts) - 1)] if len(line_start) else line_start
     line_text = np.searchsorted(block.borders, line_start, side="right") - 1
-    line_end = np.minimum(line_end, block.borders[line_text + 1]) if len(line_start) else line_end
+    ends_at = np.append(breaks, len(block.data))
+    line_end = np.minimum(ends_at[np.searchsorted(breaks, line_start)], block.borders[line_text + 1])
     if len(starts) and len(line_start):
         k = np.searchsorted(starts, line_start, side="left")
         has = (k < len(starts)) & (starts[np.minimum(k, len(starts) - 1)] < line_end)

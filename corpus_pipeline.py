@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from colonnade.llm import near_copies, pairwise_quality, rules
+from colonnade.llm import mixing, near_copies, packing, pairwise_quality, rules
 from colonnade.llm.runtime import stored
+from colonnade.llm.tokens import public_path
 
 
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,10 +28,22 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return near_copies.one_of_each(docs)
 
 
+def curriculum(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The copies of documents that the mix of sources takes, in training order."""
+    return mixing.training_order(docs)
+
+
+def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all copies, packed into sequences."""
+    return packing.packed(docs, public_path("word_bpe_49k.json"))
+
+
 STAGES = [
     ("quality_classifier", quality_classifier),
     ("quality_rules", quality_rules),
     ("near_duplicates", near_duplicates),
+    ("curriculum", curriculum),
+    ("sequences", sequences),
 ]
 
 #: The classifiers and the tokenizer have no SQL.
