@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,10 +17,13 @@ PROFILED_TYPES = INTEGER_TYPES + FRACTION_TYPES + TIME_TYPES + (T.StringType, T.
 # Characters removed by a whitespace strip.
 WHITESPACE = " \t\n\r\x0b\x0c"
 
+# Fixed value: the shape of a decimal number in text; a letter after it, as in `12d`, makes it a code.
+NUMBER_SHAPE = r"^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$"
+
 # Shapes of date text and the layouts tried for each, month first as in US text.
 ISO_SHAPE = "^[0-9]{4}(-[0-9]{1,2}){0,2}([ T].*)?$"
 TIME_LAYOUTS = {
-    "^[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}( .*)?$": ["M/d/yyyy", "M/d/yyyy H:mm", "M/d/yyyy H:mm:ss", "d/M/yyyy"],
+    "^[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}( .*)?$": ["M/d/yyyy", "M/d/yyyy H:mm", "M/d/yyyy H:mm:ss"],
     "^[0-9]{4}/[0-9]{1,2}/[0-9]{1,2}( .*)?$": ["yyyy/M/d", "yyyy/M/d H:mm:ss"],
     "^[0-9]{1,2}-[A-Za-z]{3}-[0-9]{4}$": ["d-MMM-yyyy"],
     "^[A-Za-z]{3,9} [0-9]{1,2}, [0-9]{4}$": ["MMM d, yyyy", "MMMM d, yyyy"],
@@ -52,14 +56,13 @@ def as_number(c: Column, dtype: T.DataType) -> Column:
         return c.cast("double")
     if isinstance(dtype, T.StringType):
         s = stripped(c)
-        # Plain words are turned away by their first letter: a failed parse costs an exception per cell.
-        return finite(F.when(F.ascii(s).between(43, 57), s.try_cast("double")))
+        return finite(F.when(s.rlike(NUMBER_SHAPE), s.try_cast("double")))
     return finite(c.cast("double"))
 
 
 def text_as_double(s: str) -> str:
     """SQL text for the double in a column of stripped text, infinities and NaN included, else null."""
-    return (f"CASE WHEN length({s}) <= 400 AND (ascii({s}) BETWEEN 43 AND 57 OR lower({s}) RLIKE '^(inf|nan)')"
+    return (f"CASE WHEN {s} RLIKE {sql_text(NUMBER_SHAPE)} OR lower({s}) RLIKE '^([+-]?inf(inity)?|nan)$'"
             f" THEN try_cast({s} AS DOUBLE) END")
 
 
@@ -103,25 +106,39 @@ def ratio(a: Column, b: Column) -> Column:
     return F.try_divide(a.cast("double"), b.cast("double"))
 
 
-def time(df: DataFrame, name: str) -> Column:
-    """Timestamp without time zone; unreadable text becomes null."""
+def day_first(df: DataFrame, name: str) -> bool:
+    """Whether a text column writes `day/month/year`: more cells are readable only so than only month first.
+
+    Decided over all rows, so that one column is never read in two ways. Native columns need no look.
+    """
+    if not isinstance(type_of(df, name), T.StringType):
+        return False
+    shape = r"^([0-9]{1,2})/([0-9]{1,2})/[0-9]{4}( .*)?$"
+    first, second = (F.regexp_extract(stripped(quoted(name)), shape, i).try_cast("int") for i in (1, 2))
+    seen = df.agg(F.count_if((first > 12) & (second <= 12)).alias("day"), F.count_if((second > 12) & (first <= 12)).alias("month")).first()
+    return seen["day"] > seen["month"]
+
+
+def time(df: DataFrame, name: str, days_lead: bool | None = None) -> Column:
+    """Timestamp without time zone; unreadable text becomes null. days_lead: the column's `day_first`, if it is known."""
     dtype = type_of(df, name)
     if isinstance(dtype, TIME_TYPES):
         return quoted(name).cast("timestamp_ntz")
     if not isinstance(dtype, T.StringType):
         return F.lit(None).cast("timestamp_ntz")
     blanks = sql_text(WHITESPACE)
-    return text_as_time(f"trim(BOTH {blanks} FROM {sql_name(name)})")
+    return text_as_time(f"trim(BOTH {blanks} FROM {sql_name(name)})", day_first(df, name) if days_lead is None else days_lead)
 
 
-def text_as_time(s: str) -> Column:
-    """Timestamp from a column of stripped text, by the first layout that fits.
+def text_as_time(s: str, days_lead: bool = False) -> Column:
+    """Timestamp from a column of stripped text, by the first layout that fits; slashed dates lead with the day or the month.
 
     Text is offered only to the layouts of its shape; every layout has a four-digit year. Wide plans are written as SQL text: one
     call to the JVM per expression instead of one per operator.
     """
     cases = [f"WHEN {s} RLIKE {sql_text(ISO_SHAPE)} THEN try_cast({s} AS timestamp_ntz)"]
     for shape, layouts in TIME_LAYOUTS.items():
+        layouts = [p.replace("M/d/yyyy", "d/M/yyyy") if days_lead and p.startswith("M/d/") else p for p in layouts]
         tries = ", ".join(f"CAST(try_to_timestamp({s}, {sql_text(p)}) AS timestamp_ntz)" for p in layouts)
         cases.append(f"WHEN {s} RLIKE {sql_text(shape)} THEN coalesce({tries})")
     return F.expr(f"CASE WHEN length({s}) NOT BETWEEN 4 AND 40 OR NOT {s} RLIKE '[0-9]{{4}}' THEN NULL {' '.join(cases)} END")
@@ -160,9 +177,29 @@ def complete_rows(df: DataFrame, *names: str) -> DataFrame:
     return df.filter(keep)
 
 
+def row_text(columns: list[Column]) -> Column:
+    """Text that differs for different rows of cells: each cell with its length, `n` for null."""
+    parts = [F.coalesce(F.concat(F.length(c.cast("string")).cast("string"), F.lit(":"), c.cast("string")), F.lit("n")) for c in columns]
+    return F.concat(*parts) if parts else F.lit("")
+
+
 def hash_order(keys: list[str], salt) -> Column:
     """Reproducible random order of rows: md5 of the row key and a salt, as lower-case hex text."""
-    return F.md5(F.concat_ws("|", *[quoted(k).cast("string") for k in keys], F.lit(str(salt))))
+    return F.md5(F.concat(row_text([quoted(k) for k in keys]), F.lit(f"|{salt}")))
+
+
+def label_order(labels: list[str]) -> list[str]:
+    """Ascending: by number where all labels are numbers, else by text."""
+    if labels and all(re.fullmatch(NUMBER_SHAPE[1:-1], x.strip(WHITESPACE)) for x in labels):
+        return sorted(labels, key=lambda x: (float(x), x))
+    return sorted(labels)
+
+
+def join_by(left: DataFrame, right: DataFrame, by: list[str], how: str = "inner") -> DataFrame:
+    """Join on the grouping columns; a null group meets the null group."""
+    named = {b: f"__right_{b}" for b in by}
+    same = [quoted(b).eqNullSafe(quoted(r)) for b, r in named.items()]
+    return left.join(right.withColumnsRenamed(named), same, how).drop(*named.values())
 
 
 def numbers(df: DataFrame, names: list[str], keep: list[str] | None = None) -> DataFrame:

@@ -14,6 +14,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from colonnade.functions import cells
 from colonnade.settings import DEFAULTS, Settings
 
 LONG_SCHEMA = "bracket long, grp string, lo double, hi double, width double, scale double"
@@ -72,7 +73,7 @@ def order_statistics(
         if not open_targets:
             break
         brackets, wanted = _brackets(spark, open_targets)
-        inside = long.join(brackets, "grp").filter((F.col("v") >= F.col("lo")) & (F.col("v") <= F.col("hi")))
+        inside = cells.join_by(long, brackets, ["grp"]).filter((F.col("v") >= F.col("lo")) & (F.col("v") <= F.col("hi")))
         held = {t["bracket"]: t["n"] for t in open_targets}
         if sum(held.values()) <= settings.one_task_rows:
             bins = F.col("v")
@@ -90,6 +91,8 @@ def order_statistics(
             .select("id", "before", "n", "lo", "hi")
             .collect()
         )
+        if len(found) < len(open_targets):
+            raise RuntimeError(f"{len(open_targets) - len(found)} of {len(open_targets)} ranks lie in no bracket")
         for r in found:
             t = targets[r["id"]]
             t.update(k=t["k"] - r["before"], n=r["n"], lo=r["lo"], hi=r["hi"])
@@ -138,5 +141,6 @@ def grouped_quantiles(
         return df.groupBy(group).agg(F.percentile(value, F.array(*map(F.lit, probs))).alias("q"))
     long = df.select(F.col(group).cast("string").alias("grp"), value.cast("double").alias("v"))
     solved = order_statistics(long, probs, settings)
-    schema = f"`{group}` string, q array<double>"
-    return df.sparkSession.createDataFrame([(g, [float(v) for v in q]) for g, q in solved.items()], schema)
+    rows_ = [(g, [float(v) for v in q]) for g, q in solved.items()]
+    named = df.sparkSession.createDataFrame(rows_, "__group string, q array<double>")
+    return named.select(F.col("__group").cast(df.schema[group].dataType).alias(group), "q")

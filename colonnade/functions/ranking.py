@@ -8,6 +8,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from colonnade.functions import cells
 from colonnade.settings import DEFAULTS, Settings
 
 
@@ -17,7 +18,7 @@ def order_buckets(df: DataFrame, position: str, rows: int, settings: Settings) -
     The cut points are a bounded array from the built-in quantile sketch; any cut points
     give the same totals, so the sketch's error does not reach the result.
     """
-    parts = min(math.ceil(rows / settings.one_task_rows), settings.order_buckets)
+    parts = min(math.ceil(rows / settings.range_rows), settings.order_buckets)
     if parts <= 1:
         return df.withColumn("bucket", F.lit(0.0))
     probs = [i / parts for i in range(1, parts)]
@@ -41,13 +42,10 @@ def running_totals(
     """Add `<sum>_before`, the total of all rows of the same keys that come earlier.
 
     `df` holds one row per (keys, position, ties); `position` is a double and `rows` an
-    upper bound of the row count. Totals per bucket are summed first (bounded table, broadcast),
-    then each bucket is summed on its own.
+    upper bound of the row count. Totals per bucket are summed first (a small table), then each
+    bucket is summed on its own, at every size.
     """
     order = [F.col(position).desc() if descending else F.col(position).asc()] + (ties or [])
-    if rows <= settings.one_task_rows:
-        w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-        return df.withColumns({f"{s}_before": F.coalesce(F.sum(s).over(w), F.lit(0)) for s in sums})
     bucketed = order_buckets(df, position, rows, settings)
     totals = bucketed.groupBy(*keys, "bucket").agg(*[F.sum(s).alias(s) for s in sums])
     bucket_order = F.col("bucket").desc() if descending else F.col("bucket").asc()
@@ -57,6 +55,6 @@ def running_totals(
     )
     inner = Window.partitionBy(*keys, "bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     summed = bucketed.withColumns({f"{s}_inner": F.coalesce(F.sum(s).over(inner), F.lit(0)) for s in sums})
-    joined = summed.join(F.broadcast(offsets), [*keys, "bucket"])
+    joined = cells.join_by(summed, offsets, [*keys, "bucket"])
     out = joined.withColumns({f"{s}_before": F.col(f"{s}_offset") + F.col(f"{s}_inner") for s in sums})
     return out.drop("bucket", *[f"{s}_{x}" for s in sums for x in ("offset", "inner")])

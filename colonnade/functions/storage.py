@@ -6,7 +6,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.storagelevel import StorageLevel
 
 
 def shared_folder(spark: SparkSession) -> str | None:
@@ -15,8 +14,12 @@ def shared_folder(spark: SparkSession) -> str | None:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path under the shared folder; a local one only where the session names none (tests)."""
-    base = shared_folder(spark) or tempfile.mkdtemp(prefix="colonnade-")
+    """A fresh path under the shared folder; a local one only where the session names none and runs on one machine."""
+    base = shared_folder(spark)
+    if base is None:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="colonnade-")
     return f"{base.rstrip('/')}/colonnade-{uuid.uuid4().hex}/{name}"
 
 
@@ -24,11 +27,8 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """A table that later jobs read many times.
 
     Written once to the shared folder, so a lost executor costs a re-read and not a recomputation.
-    Without a shared folder (local tests) it is kept in memory and on disk.
     """
     spark = df.sparkSession
-    if shared_folder(spark) is None:
-        return df.persist(StorageLevel.MEMORY_AND_DISK)
     path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.parquet(path)

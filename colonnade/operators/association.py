@@ -93,10 +93,15 @@ CELL_SCHEMA = "position_a long, position_b long, feature_a string, feature_b str
 
 
 def correlation_matrix(
-    df: DataFrame, columns: list[str] | None = None, settings: Settings = DEFAULTS
+    df: DataFrame, columns: list[str] | None = None, settings: Settings = DEFAULTS, limit: int | None = None
 ) -> DataFrame:
-    """All cells of the matrix; an undefined correlation is 0.0, also on the diagonal."""
-    columns = select_columns(df, _numeric(df, columns, settings), settings.max_correlation_columns, settings)
+    """All cells of the matrix; an undefined correlation is 0.0, also on the diagonal.
+
+    Every numeric column takes part, or every given one. A `limit` keeps the most spread of the columns found here;
+    `rank_by_spread` tells which those are.
+    """
+    found = _numeric(df, columns, settings)
+    columns = found if limit is None or columns is not None else select_columns(df, found, limit, settings)
     if len(columns) < 2:
         return _empty(df, CELL_SCHEMA)
     at = {c: i for i, c in enumerate(columns)}

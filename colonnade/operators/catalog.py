@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from colonnade.functions import cells
-from colonnade.functions.partitions import spread
 from colonnade.settings import DEFAULTS, Settings
 
 NUMERIC = ("integer", "float")
@@ -61,7 +60,8 @@ def _fact_aggregates(df: DataFrame, name: str, i: int) -> dict[str, str | Column
         aggs |= {
             f"flags_{i}": f"bool_and(length({s}) <= 5 AND lower({s}) IN ({words}))",
             f"dated_{i}": f"count_if(contains({s}, '-') OR contains({s}, '/') OR contains({s}, ':'))",
-            f"times_{i}": F.bool_and(F.when(F.col(s).isNotNull(), cells.text_as_time(s).isNotNull())),
+            f"times_{i}": F.bool_and(F.when(F.col(s).isNotNull(), cells.text_as_time(s).isNotNull()))
+            | F.bool_and(F.when(F.col(s).isNotNull(), cells.text_as_time(s, True).isNotNull())),
             f"numbers_{i}": f"bool_and({n} IS NOT NULL) {present}",
             f"whole_{i}": f"bool_and({n} = rint({n}))",
             f"length_{i}": f"avg(length({s}))",
@@ -112,7 +112,6 @@ def column_types(df: DataFrame, settings: Settings = DEFAULTS) -> dict[str, str]
     out: dict[str, str] = {}
     unsure: list[str] = []
     names = profiled_columns(df)
-    df = spread(df, df.count(), settings)
     for chunk in _chunks(names, settings.columns_per_aggregate):
         facts = _facts(df, chunk).select(
             *[F.expr(f"{_logical_type(df, c, i)} AS k_{i}") for i, c in enumerate(chunk)],
@@ -164,7 +163,6 @@ def column_summary(df: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     """One row per column: types, missing and distinct facts, constant and high-cardinality flags."""
     names = profiled_columns(df)
     place = {c: k for k, c in enumerate(names)}
-    df = spread(df, df.count(), settings)
     parts = []
     for chunk in _chunks(names, settings.columns_per_aggregate):
         facts = _facts(df, chunk)

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from colonnade.functions import cells
 from colonnade.functions.ranking import running_totals
@@ -21,6 +22,12 @@ def _safe(a: Column, b: Column) -> Column:
     return F.coalesce(cells.ratio(a, b), F.lit(0.0))
 
 
+def largest(value, label: Column) -> Column:
+    """Aggregate: the value at the largest label, by number where all labels are numbers, else by text."""
+    number = cells.as_number(label, T.StringType())
+    return F.when(F.count(label) == F.count(number), F.max_by(value, number)).otherwise(F.max_by(value, label))
+
+
 def outcome_counts(predictions: DataFrame, by: list[str]) -> DataFrame:
     """`(by, y_true, y_pred, n)`: the only pass over the predictions; everything else works on it."""
     return predictions.groupBy(*by, F.col("y_true").cast("string").alias("y_true"),
@@ -68,7 +75,7 @@ def summary_metrics(counts: DataFrame, by: list[str], binary: bool) -> DataFrame
 
     def pick(c):
         """Value of the positive class for binary problems, plain mean over labels otherwise."""
-        return F.max_by(c, true_label) if binary else F.avg(c)
+        return largest(c, true_label) if binary else F.avg(c)
 
     rates = table.groupBy(*by).agg(
         (F.sum("hits") / F.sum("support")).alias("accuracy"),
@@ -101,11 +108,12 @@ def confusion_matrix(counts: DataFrame, by: list[str]) -> DataFrame:
     """
     counts = counts.withColumn("labels", F.lit(True))
     true_labels = counts.groupBy(*by).agg(F.array_sort(F.collect_set("y_true")).alias("labels"))
+    # classes only ever predicted have no row or column, as in the per-class table
     grid = (
         true_labels.select(*by, F.explode("labels").alias("y_true"), "labels")
         .select(*by, "y_true", F.explode("labels").alias("y_pred"))
     )
-    cellsum = grid.join(counts.drop("labels"), [*by, "y_true", "y_pred"], "left").withColumn(
+    cellsum = cells.join_by(grid, counts.drop("labels"), [*by, "y_true", "y_pred"], "left").withColumn(
         "n", F.coalesce("n", F.lit(0)).cast("long")
     )
     row = F.sum("n").over(Window.partitionBy(*by, "y_true"))
@@ -114,8 +122,8 @@ def confusion_matrix(counts: DataFrame, by: list[str]) -> DataFrame:
 
 def binary_breakdown(counts: DataFrame, by: list[str]) -> DataFrame:
     """TN, FP, FN, TP, specificity and sensitivity; the larger label is positive."""
-    top = counts.groupBy(*by).agg(F.max("y_true").alias("positive")) if by else counts.agg(F.max("y_true").alias("positive"))
-    marked = counts.join(F.broadcast(top), by) if by else counts.withColumn(
+    top = counts.groupBy(*by).agg(largest("y_true", F.col("y_true")).alias("positive"))
+    marked = cells.join_by(counts, top, by) if by else counts.withColumn(
         "positive", F.lit(top.first()["positive"])
     )
     is_pos, said_pos = F.col("y_true") == F.col("positive"), F.col("y_pred") == F.col("positive")
@@ -152,7 +160,7 @@ def score_table(
     )
     # One row per model and fold on the right.
     if by:
-        return placed.join(F.broadcast(sizes), by)
+        return cells.join_by(placed, sizes, by)
     size = sizes.first()
     return placed.withColumns({c: F.lit(size[c]).cast("long") for c in ("all_pos", "all_neg", "points")})
 

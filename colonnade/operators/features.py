@@ -61,31 +61,33 @@ class DateParts(Estimator, _Stage):
     def _fit(self, df):
         names = self.value("columns")
         parts = [(c, p) for c in names for p in DATE_PARTS]
+        lead = {c: cells.day_first(df, c) for c in names}
         # A calendar part has few distinct values, so the exact aggregate holds few of them.
         aggs = [
-            F.percentile(date_part(cells.time(df, c), p), F.lit(0.5)).alias(f"m_{i}") for i, (c, p) in enumerate(parts)
+            F.percentile(date_part(cells.time(df, c, lead[c]), p), F.lit(0.5)).alias(f"m_{i}") for i, (c, p) in enumerate(parts)
         ]
         row = df.agg(*aggs).first() if aggs else {}
         medians: dict[str, dict[str, int]] = {c: {} for c in names}
         for i, (c, p) in enumerate(parts):
             m = row[f"m_{i}"]
             medians[c][p] = DATE_DEFAULTS[p] if m is None else int(m)
-        return DatePartsModel(columns=names, medians=medians)
+        return DatePartsModel(columns=names, medians=medians, days_lead=[c for c in names if lead[c]])
 
 
 class DatePartsModel(Model, _Stage):
     columns = _param("columns", "datetime columns")
     medians = _param("medians", "column -> part -> fallback")
+    days_lead = _param("days_lead", "columns that write the day before the month")
 
     @keyword_only
-    def __init__(self, *, columns=None, medians=None):
+    def __init__(self, *, columns=None, medians=None, days_lead=None):
         super().__init__()
-        self._take(columns=columns, medians=medians)
+        self._take(columns=columns, medians=medians, days_lead=days_lead)
 
     def _transform(self, df):
-        names, medians = self.value("columns"), self.value("medians")
+        names, medians, lead = self.value("columns"), self.value("medians"), self.value("days_lead")
         new = {
-            f"{c}_{p}": F.coalesce(date_part(cells.time(df, c), p), F.lit(medians[c][p])).cast("int")
+            f"{c}_{p}": F.coalesce(date_part(cells.time(df, c, c in lead), p), F.lit(medians[c][p])).cast("int")
             for c in names for p in DATE_PARTS
         }
         return df.withColumns(new).drop(*names) if names else df
@@ -286,8 +288,8 @@ def one_hot_table(df: DataFrame, column: str, levels: list[str], keep: list[str]
 
 def feature_preview(prepared: DataFrame, names: list[str], keys: list[str], limit: int = 20,
                     vector: str = "features") -> DataFrame:
-    """First rows in key order with one rounded column per feature (the first 50 features)."""
+    """First rows in key order with one rounded column per feature."""
     from pyspark.ml.functions import vector_to_array
 
     first = prepared.orderBy(*keys).limit(limit).withColumn("__values", vector_to_array(vector))
-    return first.select(*keys, *[cells.rounded(F.col("__values")[i]).alias(n) for i, n in enumerate(names[:50])])
+    return first.select(*keys, *[cells.rounded(F.col("__values")[i]).alias(n) for i, n in enumerate(names)])

@@ -18,7 +18,7 @@ from pyspark.ml.classification import (
     OneVsRestModel,
     RandomForestClassifier,
 )
-from pyspark.ml.feature import IndexToString, StringIndexer
+from pyspark.ml.feature import IndexToString, StringIndexerModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame
@@ -74,9 +74,26 @@ class NaiveBaselineModel(Model, _Stage):
         return df.withColumn("prediction", F.lit(self.value("answer")))
 
 
-def label_indexer(target: str) -> StringIndexer:
-    """Class labels to 0..k-1 in sorted order."""
-    return StringIndexer(inputCol=target, outputCol="label", stringOrderType="alphabetAsc", handleInvalid="error")
+MOST_CLASSES = 1000
+
+
+class LabelIndexer:
+    """Class labels to 0..k-1 in ascending order: by number where all labels are numbers, else by text."""
+
+    def __init__(self, target: str):
+        self.target = target
+
+    def fit(self, df: DataFrame) -> StringIndexerModel:
+        label = cells.quoted(self.target).cast("string")
+        found = df.select(label.alias("label")).filter("label IS NOT NULL").distinct().limit(MOST_CLASSES + 1)
+        labels = [r["label"] for r in found.collect()]
+        if len(labels) > MOST_CLASSES:
+            raise ValueError(f"{self.target!r} has more than {MOST_CLASSES} classes")
+        return StringIndexerModel.from_labels(cells.label_order(labels), inputCol=self.target, outputCol="label", handleInvalid="error")
+
+
+def label_indexer(target: str) -> LabelIndexer:
+    return LabelIndexer(target)
 
 
 def label_back(labels: list[str], column: str = "prediction", output: str = "y_pred") -> IndexToString:
@@ -101,7 +118,7 @@ def first_round(problem_type: str, rows: int, classes: int, settings: Settings =
     seed = settings.seed
     if problem_type.endswith("classification"):
         return [
-            Candidate("NaiveBaseline (Majority Class)", "naive", lambda: NaiveBaseline(classes=classes), naive=True),
+            Candidate("majority class", "naive", lambda: NaiveBaseline(classes=classes), naive=True),
             Candidate("LogisticRegression", "mllib", lambda: linear_classifier(rows, classes)),
             Candidate("RandomForestClassifier", "mllib",
                       lambda: RandomForestClassifier(numTrees=100, maxDepth=10, seed=seed)),
@@ -109,7 +126,7 @@ def first_round(problem_type: str, rows: int, classes: int, settings: Settings =
                       lambda: boosted_classifier(classes, maxIter=20, maxDepth=5, stepSize=0.1, seed=seed)),
         ]
     return [
-        Candidate("NaiveBaseline (Mean Predictor)", "naive", lambda: NaiveBaseline(classes=0), naive=True),
+        Candidate("mean of the target", "naive", lambda: NaiveBaseline(classes=0), naive=True),
         Candidate("LinearRegression", "mllib", lambda: LinearRegression(solver="normal")),
         Candidate("RandomForestRegressor", "mllib", lambda: RandomForestRegressor(numTrees=100, maxDepth=10, seed=seed)),
         Candidate("GradientBoostedTreesRegressor", "mllib",
@@ -119,7 +136,7 @@ def first_round(problem_type: str, rows: int, classes: int, settings: Settings =
 
 def second_round(problem_type: str, classes: int, settings: Settings = DEFAULTS) -> list[Candidate]:
     """Deeper trees with a smaller step, and a deeper and a wider forest."""
-    seed, stage = settings.seed, "Hyperparameter Optimization"
+    seed, stage = settings.seed, "tuned trees"
     deep = {"maxIter": 100, "stepSize": 0.04, "maxDepth": 6, "seed": seed, "minInstancesPerNode": 10}
     forest = {"numTrees": 100, "maxDepth": 15, "minInstancesPerNode": 2, "seed": seed, "featureSubsetStrategy": "sqrt"}
     wide = {"numTrees": 150, "maxDepth": 12, "minInstancesPerNode": 2, "seed": seed + 1, "featureSubsetStrategy": "all",
@@ -205,4 +222,5 @@ def check_lengths(predictions: DataFrame, expected: int) -> None:
 
 
 def regression_label(df: DataFrame, target: str) -> Column:
-    return F.coalesce(cells.number(df, target), F.lit(0.0))
+    """The target as a number; rows where it is none are left out before the split."""
+    return cells.number(df, target)

@@ -10,7 +10,6 @@ from colonnade.functions.quantiles import is_small, order_statistics
 from colonnade.settings import DEFAULTS, Settings
 
 # Group separators used to carry composite group keys through the quantile passes.
-_SEP = "\x1f"
 
 
 def numeric_pairs(predictions: DataFrame) -> DataFrame:
@@ -26,7 +25,7 @@ def quantiles_by(
     """`(by, q)`; groups are models and folds, so there are few of them."""
     if is_small(df, settings, rows):
         return df.groupBy(*by).agg(F.percentile(value, F.array(*map(F.lit, probs))).alias("q"))
-    key = F.concat_ws(_SEP, F.lit(""), *[F.col(b).cast("string") for b in by])
+    key = cells.row_text([F.col(b) for b in by])
     solved = order_statistics(df.select(key.alias("grp"), value.alias("v")), probs, settings)
     table = df.sparkSession.createDataFrame([(k, [float(x) for x in q]) for k, q in solved.items()], "k string, q array<double>")
     heads = df.groupBy(*by).agg(F.lit(1).alias("one")) if by else table.limit(1).select(F.lit(1).alias("one"))
@@ -36,7 +35,7 @@ def quantiles_by(
 def _with_group(df: DataFrame, by: list[str], heads: DataFrame) -> DataFrame:
     """Attach one-row-per-group figures to every row."""
     if by:
-        return df.join(F.broadcast(heads), by)
+        return cells.join_by(df, heads, by)
     one = heads.first()
     return df.withColumns({
         f.name: F.lit(one[f.name]).cast(f.dataType) for f in heads.schema.fields
@@ -75,12 +74,12 @@ def regression_metrics(
     sums = df.sparkSession.createDataFrame(known, sums.schema)
     rows = sum(r["n"] for r in known) if rows is None else rows
     medians = quantiles_by(df, by, F.abs(e), [0.5], settings, rows).select(*by, F.col("q")[0].alias("median"))
-    joined = sums.join(F.broadcast(medians), by) if by else sums.withColumn("median", F.lit(medians.first()["median"]))
+    joined = cells.join_by(sums, medians, by) if by else sums.withColumn("median", F.lit(medians.first()["median"]))
     if all(r["rated"] for r in known):
         joined = joined.withColumns({c: F.lit(None).cast("double") for c in ("flat_10", "flat_20")})
     else:
         flat = _flat_shares(df, by, sums)
-        joined = joined.join(F.broadcast(flat), by, "left") if by else joined.withColumns(
+        joined = cells.join_by(joined, flat, by, "left") if by else joined.withColumns(
             {c: F.lit(v).cast("double") for c, v in flat.first().asDict().items()})
     r2 = F.round(_determination(F.col("mse"), F.col("var_y")), 4)
     share = lambda k: F.round(F.when(F.col("rated") > 0, F.col(f"rel_{k}")).otherwise(F.col(f"flat_{k}")), 1)

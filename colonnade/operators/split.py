@@ -109,6 +109,8 @@ def train_test_split(
     if not 0 < test_size < 1:
         raise SplitError("test_size must lie between 0 and 1")
     valid = with_target(df, target)
+    if not problem_type.endswith("classification"):
+        valid = valid.filter(cells.number(df, target).isNotNull())  # text that is no number and infinities are no target
     classes = problem_type.endswith("classification") and can_stratify(valid, target)
     held = hold_out(valid, keys, test_size, seed, target if classes else None, settings)
     tagged = valid.withColumn("fold", F.when(held, TEST).otherwise(TRAIN))

@@ -60,7 +60,7 @@ def fold_metrics(
                 area = classification.auc(classification.score_table(scored, by, settings, rows), by).drop("pr_auc")
             else:
                 area = classification.multiclass_auc(predictions, by, labels, settings, rows)
-            found = found.join(F.broadcast(area), by)
+            found = cells.join_by(found, area, by)
             names["roc_auc"] = "roc_auc"
     entries = F.map_from_arrays(
         F.array(*[F.lit(k) for k in names]), F.array(*[F.col(c).cast("double") for c in names.values()])
@@ -173,6 +173,9 @@ def start_run(
         table = table.withColumn("label", models.regression_label(table, target))
     table = stored(table.select(*keys, "fold", "label", "features"), "prepared")
     rows = {r["fold"]: r["n"] for r in check_folds(table).collect()}
+    repeated = sum(rows.values()) - table.select(*keys).distinct().count()
+    if repeated:
+        raise TrainingError(f"{repeated} rows repeat the key of another row; keys must identify rows")
     metric = diagnosis.default_metric(problem_type, low) if primary_metric == "auto" else primary_metric
     run_id = run_id or time.strftime("run_%Y%m%d_%H%M%S")
     return Run(run_id, prepared, table, rows, problem_type, metric, labels, settings)
@@ -193,7 +196,7 @@ def try_candidate(run: Run, candidate: models.Candidate) -> dict:
         entry["training_time_seconds"] = round(time.perf_counter() - began, 3)
         _add_scores(run, entry)
     except Exception as e:  # a learner that cannot fit must not end the run
-        entry["error"] = str(e)[:500]
+        entry["error"] = str(e)
         entry.setdefault("training_time_seconds", round(time.perf_counter() - began, 3))
     run.entries.append(entry)
     return entry
@@ -222,16 +225,16 @@ def add_blend(run: Run, top: int = 3) -> dict | None:
     if len(pool) < 2:
         return None
     entry = {
-        "run_id": run.run_id, "model_id": "model_blend", "model_name": "Ensemble Blend", "engine": "ensemble_blend",
+        "run_id": run.run_id, "model_id": "model_blend", "model_name": "blend of the best", "engine": "ensemble_blend",
         "problem_type": run.problem_type, "is_naive_baseline": False, "primary_metric": run.primary_metric,
-        "tuning_round": 3, "tuning_stage": "Ensemble Blending", "status": "failed", "error": None,
+        "tuning_round": 3, "tuning_stage": "blend", "status": "failed", "error": None,
     }
     run.members["model_blend"] = [e["model_id"] for e in pool[:top]]
     began = time.perf_counter()
     try:
         _add_scores(run, entry)
     except Exception as e:
-        entry["error"] = str(e)[:500]
+        entry["error"] = str(e)
     entry["training_time_seconds"] = round(time.perf_counter() - began, 3)
     run.entries.append(entry)
     return entry
@@ -239,32 +242,41 @@ def add_blend(run: Run, top: int = 3) -> dict | None:
 
 def tune(run: Run) -> DataFrame:
     """Rounds towards the target score: as trained, tuned trees, blend. Stops when it is reached."""
-    _note(run, 1, "Baseline & Gradient Boost Explorations")
+    _note(run, 1, "first models")
     if run.achieved():
         return run.tuning_history()
     for candidate in models.second_round(run.problem_type, len(run.labels or []), run.settings):
         try_candidate(run, candidate)
-    _note(run, 2, "Hyperparameter Optimization")
+    _note(run, 2, "tuned trees")
     if run.achieved():
         return run.tuning_history()
     add_blend(run)
-    _note(run, 3, "Ensemble Blending")
+    _note(run, 3, "blend")
     return run.tuning_history()
 
 
+def _not_tried(run: Run, label: str) -> None:
+    run.entries.append({
+        "run_id": run.run_id, "model_id": f"model_{len(run.entries) + 1:02d}", "model_name": label, "engine": "search", "problem_type": run.problem_type,
+        "is_naive_baseline": False, "primary_metric": run.primary_metric, "tuning_round": 1, "tuning_stage": "search", "status": "not_tried",
+        "error": None, "training_time_seconds": 0.0,
+    })
+
+
 def search(run: Run, grids: dict[str, tuple], seconds: float) -> list[dict]:
-    """Try every parameter combination on the fixed folds until the time is up.
+    """Try every parameter combination on the fixed folds until the time is up; the rest is listed as `not_tried`.
 
     `grids` maps a name to (estimator class, {param: values}); the clock is read between fits.
     """
     began, tried = time.monotonic(), []
     for name, (build, grid) in grids.items():
         for values in itertools.product(*grid.values()):
-            if time.monotonic() - began > seconds:
-                return tried
             params = dict(zip(grid, values))
             label = f"{name} " + " ".join(f"{k}={v}" for k, v in params.items())
-            candidate = models.Candidate(label, "search", lambda b=build, p=params: b(**p), stage="Search", params=params)
+            if time.monotonic() - began > seconds:
+                _not_tried(run, label)
+                continue
+            candidate = models.Candidate(label, "search", lambda b=build, p=params: b(**p), stage="search", params=params)
             tried.append(try_candidate(run, candidate))
     return tried
 

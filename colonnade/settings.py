@@ -23,7 +23,6 @@ class Settings:
     preview_rows_max: int = 100
     top_categories: int = 10
     chart_categories: int = 8
-    max_correlation_columns: int = 20
     top_correlation_pairs: int = 10
     strong_correlation: float = 0.5
     iqr_multiplier: float = 1.5
@@ -41,9 +40,9 @@ class Settings:
     permutation_repeats: int = 5
 
     # Physical limits. Work above these bounds takes the distributed form.
-    one_task_rows: int = 2_000_000      # rows one task may sort or hold as distinct values
+    one_task_rows: int = 2_000_000      # rows one task may hold as distinct values
+    range_rows: int = 250_000           # rows of a range of a global order, sorted by one task
     exact_percentile_rows: int = 100_000  # rows whose distinct values the built-in percentile may hold
-    rows_per_core: int = 20_000         # rows worth a core of their own in a small table
     order_buckets: int = 5_000          # most ranges a global order is cut into; each is sorted with spilling
     quantile_bins: int = 4096           # histogram bins per order-statistic pass
     hash_digits: int = 4                # hex digits of md5 used as order buckets

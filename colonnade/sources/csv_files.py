@@ -143,11 +143,19 @@ def _physical_types(df: DataFrame, names: list[str]) -> dict[str, str]:
 
 
 def is_row_index(df: DataFrame, name: str) -> bool:
-    """Whether the first 100 present values are whole numbers stepping by one."""
+    """Whether the present values are whole numbers that step by one: as many distinct ones as their range holds."""
     if not isinstance(cells.type_of(df, name), cells.INTEGER_TYPES + cells.FRACTION_TYPES):
         return False
-    head = [r[0] for r in df.select(cells.quoted(name)).dropna().take(100)]
-    return bool(head) and all(v == int(v) for v in head) and all(b - a == 1 for a, b in zip(head, head[1:]))
+    v = cells.quoted(name)
+    row = df.agg(F.count(v).alias("n"), F.count_distinct(v).alias("d"), F.min(v).alias("lo"), F.max(v).alias("hi"),
+                 F.bool_and(v == F.floor(v)).alias("whole")).first()
+    return bool(row["n"] and row["whole"]) and row["n"] == row["d"] == row["hi"] - row["lo"] + 1
+
+
+def has_torn_records(spark: SparkSession, paths: list[str]) -> bool:
+    """Whether some line holds an odd number of quotes, so a quoted field goes on in the next line."""
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"')))
+    return bool(spark.read.text(paths).agg(F.bool_or(quotes % 2 == 1)).first()[0])
 
 
 def read_csv(
@@ -176,6 +184,9 @@ def read_csv(
     # Spark's reader is given the JVM's name of the charset.
     options = {"header": True, "sep": delimiter, "encoding": "ISO-8859-1" if encoding == "latin-1" else "UTF-8",
                "mode": "PERMISSIVE", "escape": '"'}
+    if has_torn_records(spark, paths):
+        options["multiLine"] = True
+        report.add("multi_line_records", "quoted fields hold line breaks; each file is read by one task")
     header = top[0]["value"]
     if encoding == "latin-1":
         header = spark.read.option("encoding", "ISO-8859-1").option("sep", "\x00").csv(paths).take(1)[0][0] or header

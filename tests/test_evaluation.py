@@ -7,7 +7,7 @@ from colonnade.operators import classification as c
 from colonnade.operators import diagnosis, errors, regression
 from colonnade.settings import Settings
 
-SMALL = Settings(one_task_rows=10, exact_percentile_rows=10, quantile_bins=8)
+SMALL = Settings(one_task_rows=10, range_rows=10, exact_percentile_rows=10, quantile_bins=8)
 
 
 def outcomes(spark, true, pred, prob=None):
@@ -56,7 +56,7 @@ def test_binary_evaluation(spark):
     at = one(c.nearest_threshold(c.threshold_table(df, []), [], 0.52))
     assert at["threshold"] == 0.5 and at["true_positives"] == 4
     # 23 pairs ordered, one tie at 0.4, one pair the wrong way round
-    for settings in (Settings(), Settings(one_task_rows=3)):
+    for settings in (Settings(), Settings(range_rows=3)):
         assert one(c.auc(c.score_table(df, [], settings), []))["roc_auc"] == round(24.5 / 25, 4)
     assert one(c.brier_score(df, []))["brier_score"] == round(float(np.mean([(p - t) ** 2 for p, t in zip(
         [.1, .2, .3, .2, .4, .9, .8, .7, .4, .6], [0] * 5 + [1] * 5)])), 4)

@@ -11,7 +11,7 @@ from colonnade.plans.explore import explore
 from colonnade.settings import Settings
 
 NAN, INF = float("nan"), float("inf")
-SMALL = Settings(one_task_rows=10, exact_percentile_rows=10, quantile_bins=8)
+SMALL = Settings(one_task_rows=10, range_rows=10, exact_percentile_rows=10, quantile_bins=8)
 
 
 def column(spark, values, kind="double"):
@@ -77,7 +77,7 @@ def test_running_totals_match_a_plain_scan(spark, descending):
     rows = [(k, float(p), rng.randint(0, 5)) for k in "ab" for p in rng.sample(range(1000), 120)]
     df = spark.createDataFrame(rows, "k string, p double, n int")
     for limit in (1000, 25):
-        out = running_totals(df, ["k"], "p", ["n"], len(rows), Settings(one_task_rows=limit), descending)
+        out = running_totals(df, ["k"], "p", ["n"], len(rows), Settings(range_rows=limit), descending)
         got = {(r["k"], r["p"]): r["n_before"] for r in out.collect()}
         assert len(got) == len(rows)
         for k, p, _ in rows:
@@ -129,7 +129,7 @@ def test_correlation_matches_numpy_with_gaps(spark):
 def test_column_selection_above_the_limit(spark):
     df = spark.createDataFrame([(float(i), 100.0 + i, float(i * i)) for i in range(10)], "a double, b double, c double")
     assert association.select_columns(df, ["a", "b", "c"], 2) == ["c", "a"]
-    m = association.correlation_matrix(df, ["a", "b", "c"], Settings(max_correlation_columns=2))
+    m = association.correlation_matrix(df, limit=2)
     assert m.count() == 4
 
 
@@ -198,7 +198,7 @@ def test_trend_needs_three_points_and_a_spread(spark):
 def test_time_series_positions_with_a_hot_time(spark, limit_rows):
     rows = [(i, "2024-01-01" if i % 3 == 0 else f"2024-02-{1 + i % 28:02d}", float(i)) for i in range(900)]
     df = spark.createDataFrame(rows, "k int, t string, v double")
-    out = charts.time_series(df, "t", "v", ["k"], 100, Settings(one_task_rows=limit_rows))
+    out = charts.time_series(df, "t", "v", ["k"], 100, Settings(range_rows=limit_rows, one_task_rows=limit_rows))
     assert out.count() == 100  # 900 // 100 = 9, every ninth of 900
     again = charts.time_series(df.repartition(7), "t", "v", ["k"], 100)
     assert set(out.collect()) == set(again.collect())

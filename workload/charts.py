@@ -5,10 +5,9 @@ from __future__ import annotations
 from colonnade.operators import catalog, charts, statistics
 from workload.explore import ITEM_NUMBERS, NET, NET_NUMBERS, correlation_cells_sql, missing_sql, net_items
 from workload.profile import ORDERS, WIDE, WIDE_SQL, summary_sql, wide_documents
-from workload.registry import GAPPED_CLEAN, LARGE, LINE_KEYS, gapped, query, table, union_all
+from workload.registry import GAPPED_CLEAN, LARGE, LINE_KEYS, gapped, hash_sql, query, table, union_all
 
 _KEYS = ", ".join(LINE_KEYS)
-_HASH = "md5(concat_ws('|', {keys}, '42'))"
 
 
 @query("cht1_missingness_bars", f"""SELECT position, "column", missing_count, missing_percentage,
@@ -70,7 +69,7 @@ def cht6(spark, sf):
 @query("cht7_scatter_sample", f"""SELECT {_KEYS}, round(l_quantity, 4) AS x, round(price_per_tax, 4) AS y,
   (SELECT count(*) FROM {GAPPED_CLEAN} WHERE price_per_tax IS NOT NULL) > 2000 AS sampled,
   (SELECT count(*) FROM {GAPPED_CLEAN} WHERE price_per_tax IS NOT NULL) AS total_points
-FROM {GAPPED_CLEAN} WHERE price_per_tax IS NOT NULL ORDER BY {_HASH.format(keys=_KEYS)}, {_KEYS} LIMIT 2000""")
+FROM {GAPPED_CLEAN} WHERE price_per_tax IS NOT NULL ORDER BY {hash_sql(_KEYS, 42)}, {_KEYS} LIMIT 2000""")
 def cht7(spark, sf):
     return charts.scatter_sample(gapped(spark, sf), "l_quantity", "price_per_tax", LINE_KEYS)
 
@@ -85,7 +84,7 @@ def cht8(spark, sf):
 
 def series_sql(t: str, v: str, key: str, source: str) -> str:
     return f"""WITH o AS (SELECT {t} AS t, round({v}, 4) AS v, {key}, count(*) OVER () AS total,
-  row_number() OVER (ORDER BY {t}, {_HASH.format(keys=key)}, {key}) - 1 AS pos FROM {source})
+  row_number() OVER (ORDER BY {t}, {hash_sql(key, 42)}, {key}) - 1 AS pos FROM {source})
 SELECT t, v, {key} FROM o WHERE total <= 2000 OR pos % greatest(total // 2000, 1) = 0"""
 
 

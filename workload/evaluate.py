@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from colonnade.functions import cells
 from colonnade.operators import classification, diagnosis, errors, regression
-from workload.registry import LARGE, LINE_KEYS, query, table, union_all
+from workload.registry import LARGE, LINE_KEYS, hash_sql, query, table, union_all
 
 BY = ["model", "fold"]
 _KEYS = ", ".join(LINE_KEYS)
@@ -102,6 +102,32 @@ def evc1(spark, sf):
     return classification.summary_metrics(classification.outcome_counts(binary(spark, sf), BY), BY, True)
 
 
+NUMBERED = f"""(SELECT *, CASE WHEN y_true = 'high' THEN 9 ELSE 10 END AS t, CASE WHEN y_pred = 'high' THEN 9 ELSE 10 END AS p FROM {BINARY_CLASSES})"""
+
+
+@query("evc1_numbered_labels", summary_sql(f"(SELECT model, fold, t AS y_true, p AS y_pred FROM {NUMBERED})", "model, fold", True))
+def evc1_numbered(spark, sf):
+    ten = {c: F.when(F.col(c) == "high", 9).otherwise(10) for c in ("y_true", "y_pred")}
+    return classification.summary_metrics(classification.outcome_counts(binary(spark, sf).withColumns(ten), BY), BY, True)
+
+
+@query("evc3_null_groups", f"""WITH q AS (SELECT NULLIF(fold, 'F') AS fold, t, p FROM {NUMBERED}), n AS (SELECT fold, count(*) FILTER (WHERE t = 9 AND p = 9) AS tn,
+  count(*) FILTER (WHERE t = 9 AND p = 10) AS fp, count(*) FILTER (WHERE t = 10 AND p = 9) AS fn, count(*) FILTER (WHERE t = 10 AND p = 10) AS tp FROM q GROUP BY fold)
+SELECT fold, tn AS true_negatives, fp AS false_positives, fn AS false_negatives, tp AS true_positives,
+  round({_div('tn', 'tn + fp')}, 4) AS specificity, round({_div('tp', 'tp + fn')}, 4) AS sensitivity FROM n""")
+def evc3_null(spark, sf):
+    ten = {c: F.when(F.col(c) == "high", 9).otherwise(10) for c in ("y_true", "y_pred")}
+    gaps = binary(spark, sf).withColumns(ten).withColumn("fold", F.expr("nullif(fold, 'F')"))
+    return classification.binary_breakdown(classification.outcome_counts(gaps, ["fold"]), ["fold"])
+
+
+@query("evr1_null_groups", f"""SELECT NULLIF(fold, 'F') AS fold, count(*) AS n, round(avg(abs(e)), 4) AS mae,
+  round(median(abs(e)), 4) AS median_absolute_error FROM {REGRESSION} WHERE model = 'flat' GROUP BY 1""")
+def evr1_null(spark, sf):
+    gaps = numbers(spark, sf).filter("model = 'flat'").withColumn("fold", F.expr("nullif(fold, 'F')"))
+    return regression.regression_metrics(gaps, ["fold"]).select("fold", "n", "mae", "median_absolute_error")
+
+
 @query("evc1_summary_multiclass", summary_sql(MULTI, "model", False))
 def evc1_multi(spark, sf):
     return classification.summary_metrics(classification.outcome_counts(multi(spark, sf), ["model"]), ["model"], False)
@@ -305,7 +331,7 @@ def evr6(spark, sf):
 
 
 _FLAT = f"(SELECT * FROM {REGRESSION} WHERE model = 'flat')"
-_H = f"md5(concat_ws('|', {_KEYS}, '42'))"
+_H = hash_sql(_KEYS, 42)
 
 
 @query("evr7_actual_vs_predicted", f"""WITH f AS {_FLAT},

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from colonnade.operators import explain, split
 from colonnade.plans import explanation
-from workload.registry import LINE_KEYS, query, table, union_all
+from workload.registry import LINE_KEYS, hash_sql, query, table, union_all
 from workload.train import segment_run, wealth_run
 
 _KEYS = ", ".join(LINE_KEYS)
@@ -65,7 +65,7 @@ def xai6(spark, sf):
 
 
 POINTS = f"""(WITH best AS (SELECT feature FROM {PHI} GROUP BY 1 ORDER BY round(avg(abs(phi)), 4) DESC, feature LIMIT 3),
-p AS (SELECT *, row_number() OVER (PARTITION BY feature ORDER BY md5(concat_ws('|', {_KEYS}, '42')), {_KEYS}) AS r
+p AS (SELECT *, row_number() OVER (PARTITION BY feature ORDER BY {hash_sql(_KEYS, 42)}, {_KEYS}) AS r
   FROM {PHI} WHERE feature IN (SELECT feature FROM best)),
 k AS (SELECT *, min(feature_value) OVER (PARTITION BY feature) AS lo, max(feature_value) OVER (PARTITION BY feature) AS hi
   FROM p WHERE r <= 100)

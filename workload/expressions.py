@@ -71,6 +71,25 @@ def exp7(spark, sf):
                     cells.time(o, "o_orderpriority").alias("bad"))
 
 
+@query("exp1_codes_are_text", """
+SELECT o_orderkey, NULL::DOUBLE AS code, NULL::DOUBLE AS flag, o_custkey * 1000.0::DOUBLE AS number FROM orders""")
+def exp1_codes(spark, sf):
+    o = table(spark, sf, "orders").select("o_orderkey", *[
+        F.concat(F.col("o_custkey").cast("string"), F.lit(end)).alias(name) for name, end in (("code", "d"), ("flag", "F"), ("number", "e3"))])
+    return o.select("o_orderkey", *[cells.number(o, c).alias(c) for c in ("code", "flag", "number")])
+
+
+@query("exp7_day_leads", """
+SELECT o_orderkey, o_orderdate AS parsed, CASE WHEN day(o_orderdate) <= 12 OR o_orderkey % 50 > 0 THEN o_orderdate END AS mixed FROM orders""")
+def exp7_days(spark, sf):
+    d = F.col("o_orderdate")
+    # in `mixed` a few dates lead with the day; those that fit only so are unreadable in a column that leads with the month
+    swapped = (F.col("o_orderkey") % 50 == 0) & (F.dayofmonth(d) > 12)
+    o = table(spark, sf, "orders").select("o_orderkey", F.date_format(d, "dd/MM/yyyy").alias("parsed"), F.when(
+        swapped, F.date_format(d, "dd/MM/yyyy")).otherwise(F.date_format(d, "MM/dd/yyyy")).alias("mixed"))
+    return o.select("o_orderkey", *[cells.time(o, c).alias(c) for c in ("parsed", "mixed")])
+
+
 @query("exp8_row_filters", """
 WITH top AS (SELECT source FROM documents GROUP BY source ORDER BY count(*) DESC, source LIMIT 3)
 SELECT doc_id, source, quality FROM documents JOIN labels USING (doc_id) WHERE source IN (SELECT source FROM top)""")

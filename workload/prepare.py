@@ -10,7 +10,7 @@ from colonnade.operators import target as targets
 from colonnade.plans.prepare import prepare
 from workload.explore import profile_sql
 from workload.profile import summary_sql
-from workload.registry import LABELLED, labelled, pct, query, table, union_all
+from workload.registry import LABELLED, hash_sql, labelled, pct, query, table, union_all
 
 PART = [
     ("p_partkey", "int", "bigint"), ("p_name", "text", "string"), ("p_brand", "text", "string"),
@@ -166,7 +166,7 @@ def sui1(spark, sf):
 def hold_out_sql(rows: str, share: float, salt: str, stratified: bool, key: str = "o_orderkey", cls: str = "o_orderstatus") -> str:
     """Rows of `rows` with `held`, by ranking every row: a plain statement of what the split must give."""
     label = cls if stratified else "'all'"
-    return f"""(WITH t AS (SELECT *, {label}::VARCHAR AS cls_, md5(concat_ws('|', {key}, '{salt}')) AS h_ FROM {rows}),
+    return f"""(WITH t AS (SELECT *, {label}::VARCHAR AS cls_, {hash_sql(key, salt)} AS h_ FROM {rows}),
 c AS (SELECT cls_, count(*) AS n FROM t GROUP BY 1),
 a AS (SELECT cls_, n, sum(n) OVER () AS total, sum(n) OVER () - ceil({share}::DOUBLE * sum(n) OVER ()) AS keep FROM c),
 b AS (SELECT cls_, n, keep, keep::DOUBLE * n / total AS exact FROM a),

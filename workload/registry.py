@@ -13,8 +13,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 # Limits small enough to send the test tables through the forms meant for large ones.
-LARGE = Settings(one_task_rows=2_000, exact_percentile_rows=2_000, quantile_bins=64)
-TINY = Settings(one_task_rows=100, exact_percentile_rows=100, quantile_bins=16)
+LARGE = Settings(one_task_rows=2_000, range_rows=2_000, exact_percentile_rows=2_000, quantile_bins=64)
+TINY = Settings(one_task_rows=100, range_rows=100, exact_percentile_rows=100, quantile_bins=16)
 
 LINE_KEYS = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
 
@@ -66,6 +66,13 @@ LABELLED = """(SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars, l.quality,
   FROM documents d LEFT JOIN labels l USING (doc_id))"""
 
 
+def hash_sql(keys: list[str] | str, salt) -> str:
+    """The row order of `cells.hash_order` in SQL."""
+    names = keys.split(", ") if isinstance(keys, str) else keys
+    parts = " || ".join(f"coalesce(length({k}::VARCHAR) || ':' || {k}::VARCHAR, 'n')" for k in names)
+    return f"md5({parts} || '|{salt}')"
+
+
 def pct(n: str, d: str, places: int = 2) -> str:
     return f"round(({n})::DOUBLE / greatest({d}, 1)::DOUBLE * 100.0::DOUBLE, {places})"
 

@@ -27,6 +27,15 @@ def src1(spark, sf):
     return csv_files.read_csv(spark, _orders_csv(spark, sf, sep=";"))[0]
 
 
+@query("src1_csv_line_breaks", "SELECT doc_id, 'n' || n_chars AS code, '| ' || text || ' |' AS body FROM documents")
+def src1_breaks(spark, sf):
+    path = scratch_path(spark, "texts_csv")
+    texts = table(spark, sf, "documents").select(
+        "doc_id", F.concat(F.lit("n"), "n_chars").alias("code"), F.concat(F.lit("| "), "text", F.lit(" |")).alias("body"))
+    texts.write.csv(path, header=True, quoteAll=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    return csv_files.read_csv(spark, path, delimiter=",")[0]
+
+
 @query("src2_parquet_scan", "SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_extendedprice FROM lineitem")
 def src2(spark, sf):
     return tables.read_table(spark, f"{sf}/lineitem.parquet", [
@@ -71,6 +80,15 @@ def src5(spark, sf):
     return csv_files.read_csv(spark, _orders_csv(spark, sf, rename="index"))[0]
 
 
+@query("src5_index_column_kept", """
+SELECT CASE WHEN o_orderkey <= 100 THEN o_orderkey ELSE o_orderkey * 2 END AS "index", o_custkey FROM orders""")
+def src5_kept(spark, sf):
+    path = scratch_path(spark, "gaps_csv")
+    key = F.when(F.col("o_orderkey") <= 100, F.col("o_orderkey")).otherwise(F.col("o_orderkey") * 2)
+    table(spark, sf, "orders").select(key.alias("index"), "o_custkey").orderBy("index").write.csv(path, header=True)
+    return csv_files.read_csv(spark, path)[0]
+
+
 @query("src6_ingestion_report", """
 SELECT 1::BIGINT AS files, 'utf-8' AS encoding, '|' AS delimiter, count(*) AS raw_rows, 6::BIGINT AS raw_columns,
   0::BIGINT AS skipped_rows FROM orders""")
