@@ -201,7 +201,7 @@ def _fresh(pairs: DataFrame, tried: DataFrame | None) -> DataFrame:
 
 
 def unresolved(met: DataFrame, hubs: DataFrame, tried: DataFrame, roots: DataFrame) -> DataFrame:
-    """Members of buckets that hold several classes: bucket, vertex, root (its class), main (the hub's class), jp and j
+    """Members of buckets that hold several classes: bucket, hub, vertex, root (its class), main (the hub's class), jp and j
     (similarity with the hub), n (members of the bucket)."""
     both = tried.unionByName(tried.select(F.col("b").alias("a"), F.col("a").alias("b"), "jp", "j")).withColumnsRenamed({"a": "hub", "b": "vertex"})
     one = F.when(F.col("vertex") == F.col("hub"), F.lit(1.0))
@@ -210,7 +210,7 @@ def unresolved(met: DataFrame, hubs: DataFrame, tried: DataFrame, roots: DataFra
     known = (placed.join(roots, "vertex", "left").withColumn("root", F.coalesce("root", "vertex"))
              .join(roots.withColumnsRenamed({"vertex": "hub", "root": "main"}), "hub", "left").withColumn("main", F.coalesce("main", "hub")))
     mixed = known.groupBy("bucket").agg(F.count("*").alias("n"), F.bool_or(F.col("root") != F.col("main")).alias("mixed")).filter("mixed").drop("mixed")
-    return known.drop("hub").join(mixed, "bucket")
+    return known.join(mixed, "bucket")
 
 
 def few(members: DataFrame, tried: DataFrame) -> DataFrame:
@@ -233,19 +233,19 @@ def few(members: DataFrame, tried: DataFrame) -> DataFrame:
 def many(members: DataFrame, bodies: DataFrame) -> DataFrame:
     """The links (a, b) between classes in large buckets.
 
-    The members outside the hub's class meet all members in squares of at most about `SIDE` times `SIDE` texts, one
-    square a group, so no task holds a whole bucket and only links leave it.
+    Buckets of one hub hold much the same texts, so they are compared as one group. In it the texts outside the hub's
+    class meet all texts in squares of at most about `SIDE` times `SIDE`, one square a task's group, so no task holds a
+    whole group and only links leave it.
     """
-    large = members.filter(F.col("n") > FEW)
-    sized = large.groupBy("bucket").agg(F.ceil(F.count("*") / SIDE).cast("int").alias("ys"),
-                                        F.ceil(F.count_if(F.col("root") != F.col("main")) / SIDE).cast("int").alias("xs"))
-    dealt = large.join(sized, "bucket")
+    large = members.filter(F.col("n") > FEW).select("hub", "vertex", "root", "main", "jp", "j").distinct()
+    sized = large.groupBy("hub").agg(F.ceil(F.count("*") / SIDE).cast("int").alias("ys"), F.ceil(F.count_if(F.col("root") != F.col("main")) / SIDE).cast("int").alias("xs"))
+    dealt = large.join(sized, "hub")
     own = lambda n: F.pmod(F.hash("vertex"), F.col(n))
     over = lambda n: F.explode(F.expr(f"sequence(0, {n} - 1)"))
-    x = dealt.filter("root <> main").select("bucket", own("xs").alias("xb"), over("ys").alias("yb"), F.lit(True).alias("outside"), "vertex", "root", "jp", "j")
-    y = dealt.select("bucket", over("xs").alias("xb"), own("ys").alias("yb"), F.lit(False).alias("outside"), "vertex", "root", "jp", "j")
+    x = dealt.filter("root <> main").select("hub", own("xs").alias("xb"), over("ys").alias("yb"), F.lit(True).alias("outside"), "vertex", "root", "jp", "j")
+    y = dealt.select("hub", over("xs").alias("xb"), own("ys").alias("yb"), F.lit(False).alias("outside"), "vertex", "root", "jp", "j")
     squares = x.unionByName(y).join(bodies, "vertex")
-    return squares.groupBy("bucket", "xb", "yb").applyInArrow(_square, "a long, b long").distinct()
+    return squares.groupBy("hub", "xb", "yb").applyInArrow(_square, "a long, b long").distinct()
 
 
 def _square(table: pa.Table) -> pa.Table:
@@ -315,8 +315,8 @@ def near_copies(docs: DataFrame) -> DataFrame:
     roots = components(_linked(tried), "a", "b")
     members = stored(unresolved(met, hubs, tried, roots), "members")
     last = _linked(verified(stored(few(members, tried), "few"), bodies)).select("a", "b").unionByName(many(members, bodies))
-    links = stored(_linked(tried).select("a", "b").unionByName(last).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
-    roots = components(links, "a", "b")
+    # the classes so far are stars already; what the last links add joins some of them
+    roots = components(roots.select(F.col("vertex").alias("a"), F.col("root").alias("b")).unionByName(last), "a", "b")
     return rows.join(roots, "vertex", "left").select("doc_id", F.coalesce("root", "vertex").alias("class_id"), F.col("vertex").alias("text_id"))
 
 
