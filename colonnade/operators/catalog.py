@@ -202,29 +202,27 @@ def column_summary(df: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
 def sample_values(df: DataFrame, keys: list[str], n: int = 5) -> DataFrame:
     """Up to n present example values per column, as text, the first ones in key order.
 
-    A top-n per column: each map task keeps at most n rows per column before the exchange.
+    One bounded top-n per column, which reads that column and the keys and sorts nothing else.
     """
-    names = profiled_columns(df)
-    key = F.struct(*[cells.quoted(k) for k in keys]).alias("key")
-    wide = df.select(key, *[cells.without_nan(cells.quoted(c), cells.type_of(df, c)).cast("string").alias(c)
-                            for c in names])
-    pairs = F.array(*[F.struct(F.lit(c).alias("column"), cells.quoted(c).alias("value")) for c in names])
-    long = wide.select("key", F.inline(pairs)).filter(F.col("value").isNotNull())
-    return _first_per_group(long, ["column"], [F.col("key")], n).select("column", "rank", "value")
-
-
-def _first_per_group(df: DataFrame, keys: list[str], order: list[Column], n: int) -> DataFrame:
     from pyspark.sql import Window
 
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
+    key = F.struct(*[cells.quoted(k) for k in keys]).alias("key")
+    out = None
+    for c in profiled_columns(df):
+        value = cells.without_nan(cells.quoted(c), cells.type_of(df, c)).cast("string").alias("value")
+        first = df.select(F.lit(c).alias("column"), key, value).filter(F.col("value").isNotNull()).orderBy("key").limit(n)
+        out = first if out is None else out.unionByName(first)
+    return out.select("column", F.row_number().over(Window.partitionBy("column").orderBy("key")).alias("rank"), "value")
 
 
 def duplicate_rows(df: DataFrame) -> DataFrame:
-    """Rows beyond the first of each identical group, and their share."""
-    named = [cells.without_nan(cells.quoted(c), cells.type_of(df, c)).alias(f"c{i}")
-             for i, c in enumerate(df.columns)]
-    groups = df.select(*named).groupBy(*[f"c{i}" for i in range(len(named))]).agg(F.count("*").alias("n"))
+    """Rows beyond the first of each identical group, and their share. Rows cross the network as digests."""
+    named = []
+    for c in df.columns:
+        dtype = cells.type_of(df, c)
+        value = cells.without_nan(cells.quoted(c), dtype)
+        named.append(value + F.lit(0.0).cast(dtype) if cells.is_floating(dtype) else value)
+    groups = df.select(F.md5(cells.row_text(named)).alias("row")).groupBy("row").agg(F.count("*").alias("n"))
     counted = groups.agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("row_count"),
         F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicate_rows"),

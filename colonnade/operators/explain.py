@@ -157,9 +157,10 @@ def sampled_shapley(
         *keys, "x", "draw", F.transform(shuffled, lambda s: s["i"]).alias("turns"),
         F.element_at(reference, pick).alias("b"),
     )
+    # each feature's turn, found once per order, so a step only compares numbers
+    ready = ready.withColumn("place", F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.array_position("turns", i)))
     steps = ready.withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(width))))
-    taken = F.slice("turns", F.lit(1), F.col("step"))
-    hybrid = F.transform("b", lambda v, i: F.when(F.array_contains(taken, i), F.element_at("x", i + 1)).otherwise(v))
+    hybrid = F.transform("b", lambda v, i: F.when(F.element_at("place", i + 1) <= F.col("step"), F.element_at("x", i + 1)).otherwise(v))
     stacked = steps.withColumn("features", array_to_vector(hybrid))
     valued = score(stacked).withColumn("v", output)
     # The output after step k counts for the k-th feature in turn and against the next one.
@@ -194,9 +195,9 @@ def summary_points(phi: DataFrame, keys: list[str], top: int, points: int = 100,
     """
     best = [r["feature"] for r in global_attribution(phi, top).collect()]
     kept = phi.filter(F.col("feature").isin(best))
-    # The rank limit runs before the exchange, so a task forwards at most `points` rows per feature.
-    w = Window.partitionBy("feature").orderBy(cells.hash_order(keys, settings.seed), *keys)
-    few = kept.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= points)
+    # Every row has every feature, so a bounded top-n over one of them names the rows.
+    chosen = sample_rows(kept.filter(F.col("feature") == F.lit(best[0] if best else None)), keys, points, settings.seed).select(*keys)
+    few = cells.join_by(kept, F.broadcast(chosen), keys)
     every = Window.partitionBy("feature")
     low, high = F.min("feature_value").over(every), F.max("feature_value").over(every)
     span = F.when(high - low > 1e-6, high - low).otherwise(1.0)

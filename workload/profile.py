@@ -100,12 +100,12 @@ query("prf2_column_summary", _SUMMARIES)(_three(catalog.column_summary, ("orders
 
 @query("prf2_sample_values", """
 WITH l AS (SELECT doc_id, 'lang' AS c, lang AS v FROM documents UNION ALL SELECT doc_id, 'source', source FROM documents
-  UNION ALL SELECT doc_id, 'doc_id', doc_id::VARCHAR FROM documents)
+  UNION ALL SELECT doc_id, 'doc_id', doc_id::VARCHAR FROM documents UNION ALL SELECT doc_id, 'text', text FROM documents
+  UNION ALL SELECT doc_id, 'n_chars', n_chars::VARCHAR FROM documents)
 SELECT c AS "column", r AS rank, v AS value FROM (SELECT c, v, row_number() OVER (PARTITION BY c ORDER BY doc_id) AS r FROM l)
 WHERE r <= 5""")
 def prf2_samples(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", "lang", "source")
-    return catalog.sample_values(d, ["doc_id"]).select("column", F.col("rank").cast("long").alias("rank"), "value")
+    return catalog.sample_values(table(spark, sf, "documents"), ["doc_id"]).select("column", F.col("rank").cast("long").alias("rank"), "value")
 
 
 @query("prf3_duplicate_rows", union_all([

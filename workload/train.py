@@ -16,7 +16,7 @@ from colonnade.operators import target as targets
 from colonnade.plans import evaluation, training
 from colonnade.sources import sinks
 from workload.prepare import balance_sql, folds_sql
-from workload.registry import LABELLED, labelled, query, table
+from workload.registry import LABELLED, LINE_KEYS, labelled, query, table
 
 _RUNS: dict[tuple, training.Run] = {}
 
@@ -161,6 +161,23 @@ def trn11(spark, sf):
     return run.predictions("model_blend", split.VALIDATION).select("c_custkey", "fold", "y_true", "y_pred", F.round(F.col("probs")[1], 4).alias("p"))
 
 
+@query("trn11_formula_blend", """
+WITH m AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity / 50 AS a, l_extendedprice / 210000 AS b,
+  CASE WHEN l_quantity > 24 THEN 1 ELSE 0 END AS y FROM lineitem)
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN y = 1 THEN 'yes' ELSE 'no' END AS y_true,
+  CASE WHEN a + b > 1 THEN 'yes' ELSE 'no' END AS y_pred, (a + b) / 2 AS p FROM m""")
+def trn11_formula(spark, sf):
+    """Two formula models over the lines, blended by the mean of their probabilities."""
+    lines = table(spark, sf, "lineitem").withColumn("label", (F.col("l_quantity") > 24).cast("double"))
+    members = []
+    for p in (F.col("l_quantity") / 50, F.col("l_extendedprice") / 210000):
+        yes = F.when(F.col("label") == 1, "yes").otherwise("no")
+        members.append(lines.select(*LINE_KEYS, "label", (p > 0.5).cast("double").alias("prediction"), F.array(1 - p, p).alias("probs"),
+                                    yes.alias("y_true"), F.when(p > 0.5, "yes").otherwise("no").alias("y_pred")))
+    out = models.blend(members, LINE_KEYS, LINE_KEYS, ["no", "yes"])
+    return out.select(*LINE_KEYS, "y_true", "y_pred", F.col("probs")[1].alias("p"))
+
+
 @query("trn17_batch_scoring", "SELECT count(*) AS rows, count(*) AS scored FROM orders JOIN customer ON c_custkey = o_custkey")
 def trn17(spark, sf):
     run = wealth_run(spark, sf)
