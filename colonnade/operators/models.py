@@ -134,6 +134,14 @@ def first_round(problem_type: str, rows: int, classes: int, settings: Settings =
     ]
 
 
+def search_grids(problem_type: str, settings: Settings = DEFAULTS) -> dict[str, tuple]:
+    """The parameter combinations that a run searches by itself: penalties of the linear model, sizes of the forest."""
+    forest = {"maxDepth": (5, 8), "numTrees": (40,), "seed": (settings.seed,)}
+    if problem_type.endswith("classification"):
+        return {"logistic regression": (LogisticRegression, {"regParam": (0.001, 0.1)}), "forest": (RandomForestClassifier, forest)}
+    return {"linear regression": (LinearRegression, {"regParam": (0.01, 1.0)}), "forest": (RandomForestRegressor, forest)}
+
+
 def second_round(problem_type: str, classes: int, settings: Settings = DEFAULTS) -> list[Candidate]:
     """Deeper trees with a smaller step, and a deeper and a wider forest."""
     seed, stage = settings.seed, "tuned trees"

@@ -296,11 +296,15 @@ def train(
     df: DataFrame, target: str, keys: list[str], problem_type: str, mode: str = "quick", tuning: bool = True,
     grids: dict[str, tuple] | None = None, settings: Settings = DEFAULTS, **options,
 ) -> Run:
-    """A whole run: first round, optional search, tuning rounds, ranking, held-out check."""
+    """A whole run: first round, search, tuning rounds, ranking, held-out check.
+
+    The search takes `grids`, or `models.search_grids` where none are given; an empty dictionary leaves it out.
+    """
     limit = TIME_LIMITS[mode]
     run = start_run(df, target, keys, problem_type, settings=settings, **options)
     for candidate in models.first_round(problem_type, run.rows[TRAIN], len(run.labels or []), settings):
         try_candidate(run, candidate)
+    grids = models.search_grids(problem_type, settings) if grids is None else grids
     if grids:
         search(run, grids, min(max(limit / 3, 15), 120))
     if tuning:

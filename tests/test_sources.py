@@ -108,3 +108,29 @@ def test_ingest_and_profile(spark, tmp_path):
     kinds = by(parts["summary"], "column")
     assert kinds["gender"]["inferred_dtype"] == "categorical" and kinds["ratio"]["inferred_dtype"] == "float"
     assert parts["checks"].count() == 5 and parts["preview"].count() == 20 and parts["samples"].count() == 20
+
+
+def test_line_breaks_in_quotes(spark, tmp_path):
+    path = tmp_path / "notes.csv"
+    path.write_text('id,note,code\n1,"two\nlines, ""quoted""",12d\n2,plain,3f\n')
+    df, report = csv_files.read_csv(spark, str(path))
+    assert [tuple(r) for r in df.orderBy("id").collect()] == [(1, 'two\nlines, "quoted"', "12d"), (2, "plain", "3f")]
+    assert report.skipped_rows == 0 and "multi_line_records" in [a[0] for a in report.actions]
+
+
+def test_index_column_looks_at_all_rows(spark, tmp_path):
+    path = tmp_path / "gaps.csv"
+    path.write_text("index,v\n" + "".join(f"{i if i < 120 else i * 7},{i}\n" for i in range(130)))
+    assert csv_files.read_csv(spark, str(path))[0].columns == ["index", "v"]
+
+
+def test_storage_needs_a_shared_folder_on_a_cluster(spark, monkeypatch):
+    class Context:
+        master = "spark://somewhere:7077"
+
+    class Session:
+        sparkContext = Context()
+
+    monkeypatch.setattr(storage, "shared_folder", lambda s: None)
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        storage.scratch_path(Session(), "x")

@@ -191,3 +191,19 @@ def test_unsuitable_table_is_refused(spark):
     with pytest.raises(training.TrainingError):
         training.start_run(df, "y", ["k"], target.BINARY)
     assert Settings.from_env().seed == 42
+
+
+def test_numbered_classes_and_repeated_keys(spark):
+    rows = [(i, float(i % 20), 9 if i % 20 < 10 else 10) for i in range(60)]
+    df = spark.createDataFrame(rows, "k int, x double, grade int")
+    assert training.start_run(df, "grade", ["k"], target.BINARY, run_id="r").labels == ["9", "10"]
+    with pytest.raises(training.TrainingError, match="60 rows repeat"):
+        training.start_run(df.unionByName(df), "grade", ["k"], target.BINARY, run_id="r")
+
+
+def test_unusable_targets_and_untried_combinations(spark):
+    rows = [(i, float(i), float("inf") if i % 10 == 0 else 2.0 * i) for i in range(50)]
+    run = training.start_run(spark.createDataFrame(rows, "k int, x double, y double"), "y", ["k"], target.REGRESSION, run_id="r")
+    assert sum(run.rows.values()) == 45 and run.table.filter("label = 0").count() == 0
+    training.search(run, models.search_grids(target.REGRESSION), 0.0)
+    assert [e["status"] for e in run.entries] == ["not_tried"] * 4
