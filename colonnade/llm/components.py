@@ -27,6 +27,16 @@ def _small_star(edges: DataFrame) -> DataFrame:
         joined.select("a", F.col("m").alias("b"))).filter("a <> b").distinct()
 
 
+def reached(links: DataFrame, rounds: int) -> DataFrame:
+    """(vertex, root): the smallest vertex within `rounds` links (a, b) of each. Vertices of one root are connected."""
+    both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    roots = both.select(F.col("a").alias("vertex"), F.col("a").alias("root")).distinct()
+    for _ in range(rounds):
+        near = both.join(roots, F.col("b") == F.col("vertex")).groupBy("a").agg(F.min("root").alias("near"))
+        roots = roots.join(near, F.col("vertex") == F.col("a")).select("vertex", F.least("root", "near").alias("root"))
+    return roots
+
+
 def components(links: DataFrame, a: str, b: str) -> DataFrame:
     """(vertex, root) of every vertex with a link, root being the smallest vertex of its component.
 

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from colonnade.llm import textops as T
-from colonnade.llm.components import components
+from colonnade.llm.components import components, reached
 from colonnade.llm.runtime import beside, stored, text_of
 
 RUN, SIMILARITY = 5, 0.8
@@ -312,11 +312,10 @@ def near_copies(docs: DataFrame) -> DataFrame:
     hubs = stored(ranked.select("bucket", (-F.col("best.col2")).alias("hub")), "hubs")
     again = stored(verified(_fresh(met.join(hubs, "bucket").select(F.col("hub").alias("a"), F.col("vertex").alias("b")), tried), bodies), "tried")
     tried = tried.unionByName(again)
-    roots = components(_linked(tried), "a", "b")
+    roots = stored(reached(_linked(tried), 3), "roots")
     members = stored(unresolved(met, hubs, tried, roots), "members")
     last = _linked(verified(stored(few(members, tried), "few"), bodies)).select("a", "b").unionByName(many(members, bodies))
-    # the classes so far are stars already; what the last links add joins some of them
-    roots = components(roots.select(F.col("vertex").alias("a"), F.col("root").alias("b")).unionByName(last), "a", "b")
+    roots = components(_linked(tried).select("a", "b").unionByName(last), "a", "b")
     return rows.join(roots, "vertex", "left").select("doc_id", F.coalesce("root", "vertex").alias("class_id"), F.col("vertex").alias("text_id"))
 
 

@@ -88,7 +88,7 @@ def _grams_of(batches):
                                              ["doc_id", "quality", "bucket", "value"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, bound: int = 3000, steps: int = 80) -> Classifier:
+def fit(docs: DataFrame, labels: DataFrame, bound: int = 2000, steps: int = 80) -> Classifier:
     """Fits on at most `bound` labelled documents; every fourth of them calibrates instead.
 
     Without documents of both labels every text gets probability 1.
@@ -104,27 +104,42 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = 3000, steps: int = 80)
     return fit_arrays(cut, bucket.values.to_numpy(), value.values.to_numpy(), good, steps)
 
 
-def fit_arrays(cut: np.ndarray, bucket: np.ndarray, value: np.ndarray, good: np.ndarray, steps: int = 80, rate: float = 0.5, penalty: float = 1e-4) -> Classifier:
+def fit_arrays(cut: np.ndarray, bucket: np.ndarray, value: np.ndarray, good: np.ndarray, steps: int = 80, rate: float = 0.05, penalty: float = 1e-4) -> Classifier:
     """Adagrad on the mean logistic loss, both labels weighing alike; then a line through the logits of the rest."""
     n = len(good)
     train = np.arange(n) % 4 != 3
     if n < 8 or good[train].min() == good[train].max():
         return Classifier(np.zeros(2 * BUCKETS), 0.0, 0.0, 30.0 if not n or good.mean() >= 0.5 else -30.0)
-    row = np.repeat(np.arange(n), np.diff(cut))
-    bucket, value = bucket[cut[0]:cut[-1]], value[cut[0]:cut[-1]].astype(np.float64)
+    # texts of about a million n-grams at a time, so that only their products are held besides the rows themselves
+    parts, i = [], 0
+    while i < n:
+        k = max(i + 1, int(np.searchsorted(cut, cut[i] + (1 << 20), side="right")) - 1)
+        parts.append((i, k))
+        i = k
+
+    def dot(w):
+        z = np.zeros(n)
+        for i, k in parts:
+            own = np.repeat(np.arange(k - i), np.diff(cut[i:k + 1]))
+            z[i:k] = np.bincount(own, weights=w[bucket[cut[i]:cut[k]]] * value[cut[i]:cut[k]], minlength=k - i)
+        return z
+
+    def back(e):
+        out = np.zeros(2 * BUCKETS)
+        for i, k in parts:
+            out += np.bincount(bucket[cut[i]:cut[k]], weights=np.repeat(e[i:k], np.diff(cut[i:k + 1])) * value[cut[i]:cut[k]], minlength=2 * BUCKETS)
+        return out
+
     share = np.where(train, np.where(good == 1, 0.5 / max(good[train].sum(), 1), 0.5 / max((1 - good[train]).sum(), 1)), 0.0)
-    used = train[row]
-    urow, ubucket, uvalue = row[used], bucket[used], value[used]
     w, b, gw, gb = np.zeros(2 * BUCKETS), 0.0, np.full(2 * BUCKETS, 1e-6), 1e-6
     for _ in range(steps):
-        z = b + np.bincount(urow, weights=w[ubucket] * uvalue, minlength=n)
-        e = share * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - good)
-        slope = np.bincount(ubucket, weights=e[urow] * uvalue, minlength=2 * BUCKETS) + penalty * w
+        e = share * (1 / (1 + np.exp(-np.clip(b + dot(w), -30, 30))) - good)
+        slope = back(e) + penalty * w
         gw += slope ** 2
         gb += e.sum() ** 2
-        w -= 0.05 * slope / np.sqrt(gw)
-        b -= 0.05 * e.sum() / np.sqrt(gb)
-    z = b + np.bincount(row, weights=w[bucket] * value, minlength=n)
+        w -= rate * slope / np.sqrt(gw)
+        b -= rate * e.sum() / np.sqrt(gb)
+    z = b + dot(w)
     rest = ~train if (~train).sum() >= 4 and good[~train].min() != good[~train].max() else np.ones(n, bool)
     return Classifier(w, b, *_line(z[rest], good[rest]))
 
@@ -174,10 +189,10 @@ def judge(docs: DataFrame, model: Classifier, prefix: str = "") -> DataFrame:
     return beside(docs, [(prefix + n.removeprefix(prefix), kind) for n, kind in added], start)
 
 
-def rules_table(docs: DataFrame, labels: DataFrame, bound: int = 3000) -> DataFrame:
+def rules_table(docs: DataFrame, labels: DataFrame, bound: int = 2000) -> DataFrame:
     return judge(docs.select("doc_id", "text"), fit(docs, labels, bound)).select("doc_id", *BASE_COLUMNS, "base_failed", "probability", "kept")
 
 
-def kept(docs: DataFrame, labels: DataFrame, bound: int = 3000) -> DataFrame:
+def kept(docs: DataFrame, labels: DataFrame, bound: int = 2000) -> DataFrame:
     """The documents that pass the rules and the classifier, with their columns."""
     return judge(docs, fit(docs, labels, bound), "__").filter("__kept").select(*[F.col(quoted(c)) for c in docs.columns])

@@ -10,7 +10,7 @@ import numpy as np
 
 from colonnade.llm import textops as T
 
-MOST_PIECES = 1_500_000
+MOST_PIECES, AT_ONCE = 1_000_000, 4096
 _VISIBLE = np.zeros(256, dtype=bool)
 _VISIBLE[0x21:0x7F] = True
 
@@ -84,10 +84,13 @@ class PieceTable:
         if len(new):
             raw = block.data.tobytes()
             texts = [raw[starts[i]:ends[i]].decode("utf-8") for i in where[new]]
-            found = [e.ids for e in self.encode(texts, add_special_tokens=False)]
-            size = np.array([len(x) for x in found], dtype=np.int64)
+            size, flat = np.zeros(len(new), np.int64), [self.ids]
+            for first in range(0, len(new), AT_ONCE):
+                found = [e.ids for e in self.encode(texts[first:first + AT_ONCE], add_special_tokens=False)]
+                size[first:first + len(found)] = [len(x) for x in found]
+                flat.append(np.array([i for x in found for i in x], dtype=np.uint32))
             begin = len(self.ids) + np.cumsum(size) - size
-            self.ids = np.concatenate([self.ids, np.array([i for x in found for i in x], dtype=np.uint32)])
+            self.ids = np.concatenate(flat)
             self.first = np.insert(self.first, at[new], begin)
             self.length = np.insert(self.length, at[new], size)
             self.keys = np.insert(self.keys, at[new], hashes[new])
