@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
 from colonnade.operators import explain, split
@@ -48,6 +49,24 @@ def xai3(spark, sf):
     return explanation.permutation(run, tree_of(run), 3)
 
 
+# One group of rows up to 10,000 customers; each takes the value of the next one in hash order, the last that of the first.
+_DRAW = " UNION ALL ".join(f"""SELECT {r} AS draw, c_acctbal > 4000 AS label, coalesce(lead(c_acctbal) OVER w, first_value(c_acctbal) OVER w) > 4000 AS said
+  FROM customer WINDOW w AS (ORDER BY {hash_sql("c_custkey", f"42-repeat-{r}")}, c_custkey ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"""
+                           for r in range(5))
+
+
+@query("xai3_fixed_scorer", f"""
+WITH lost AS (SELECT draw, 1.0::DOUBLE - avg((label = said)::INT::DOUBLE) AS drop_ FROM ({_DRAW}) GROUP BY draw)
+SELECT 'balance' AS feature, 'c_acctbal' AS original_feature, round(avg(drop_), 4) AS importance_mean, round(stddev_pop(drop_), 4) AS importance_std FROM lost
+UNION ALL SELECT 'nation', 'c_nationkey', 0.0::DOUBLE, 0.0::DOUBLE""")
+def xai3_fixed(spark, sf):
+    """A scorer that looks at the balance alone and is right about it."""
+    rows = table(spark, sf, "customer").select("c_custkey", (F.col("c_acctbal") > 4000).cast("double").alias("label"),
+                                               array_to_vector(F.array(F.col("c_acctbal").cast("double"), F.col("c_nationkey").cast("double"))).alias("features"))
+    said = (vector_to_array("features")[0] > 4000).cast("double")
+    return explain.permutation_importance(rows, ["c_custkey"], lambda d: d.withColumn("prediction", said), [("balance", "c_acctbal"), ("nation", "c_nationkey")], True)
+
+
 @query("xai4_linear_attribution", f"SELECT {_KEYS}, feature, feature_value, round(phi, 6) AS phi FROM {PHI}")
 def xai4(spark, sf):
     return phi(spark, sf).withColumn("phi", F.round("phi", 6))
@@ -59,6 +78,17 @@ def xai5(spark, sf):
     return explain.global_attribution(explanation.attributions(run, tree_of(run), orders=4))
 
 
+@query("xai5_linear_scorer", union_all([
+    f"SELECT {_KEYS}, '{c}' AS feature, {c} AS feature_value, round({w!r}::DOUBLE * ({c} - {MEANS[c]!r}::DOUBLE), 4) AS phi FROM lineitem" for c, w in WEIGHTS.items()]))
+def xai5_linear(spark, sf):
+    """For a linear scorer and one background row every order gives weight times difference."""
+    rows = table(spark, sf, "lineitem").select(*LINE_KEYS, array_to_vector(F.array(*[F.col(c) for c in WEIGHTS])).alias("features"))
+    x = vector_to_array("features")
+    value = sum((F.lit(w) * x[i] for i, w in enumerate(WEIGHTS.values())), F.lit(0.0))
+    phi_ = explain.sampled_shapley(rows, [list(MEANS.values())], LINE_KEYS, lambda d: d.withColumn("prediction", value), F.col("prediction"), [(c, c) for c in WEIGHTS], 2)
+    return phi_.select(*LINE_KEYS, "feature", "feature_value", F.round("phi", 4).alias("phi"))
+
+
 @query("xai6_global_attribution", f"""SELECT feature, round(avg(abs(phi)), 4) AS mean_abs_phi, count(*) AS n FROM {PHI} GROUP BY 1""")
 def xai6(spark, sf):
     return explain.global_attribution(phi(spark, sf))
