@@ -12,9 +12,15 @@ def _state(edges: DataFrame):
     return edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
 
 
+def both_ways(edges: DataFrame) -> DataFrame:
+    """Each edge in both directions, from one pass over the edges."""
+    turned = F.array(F.struct(F.col("a").alias("a"), F.col("b").alias("b")), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
+    return edges.select(F.inline(turned))
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     """Each vertex points its larger neighbours to the smallest vertex among its neighbours and itself."""
-    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    both = both_ways(edges)
     least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
     return both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
 
@@ -22,18 +28,19 @@ def _large_star(edges: DataFrame) -> DataFrame:
 def _small_star(edges: DataFrame) -> DataFrame:
     """Each vertex points its smaller neighbours and itself to the smallest of them. Edges come as a > b."""
     least = edges.groupBy("a").agg(F.min("b").alias("m"))
-    joined = edges.join(least, "a")
-    return joined.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(
-        joined.select("a", F.col("m").alias("b"))).filter("a <> b").distinct()
+    pointed = F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("a").alias("a"), F.col("m").alias("b")))
+    return edges.join(least, "a").select(F.inline(pointed)).filter("a <> b").distinct()
 
 
 def reached(links: DataFrame, rounds: int) -> DataFrame:
     """(vertex, root): the smallest vertex within `rounds` links (a, b) of each. Vertices of one root are connected."""
-    both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    roots = both.select(F.col("a").alias("vertex"), F.col("a").alias("root")).distinct()
-    for _ in range(rounds):
-        near = both.join(roots, F.col("b") == F.col("vertex")).groupBy("a").agg(F.min("root").alias("near"))
-        roots = roots.join(near, F.col("vertex") == F.col("a")).select("vertex", F.least("root", "near").alias("root"))
+    # every vertex is its own neighbour too, so a round is one join and one aggregate
+    loops = F.array(*[F.struct(F.col(x).alias("a"), F.col(y).alias("b")) for x, y in ("ab", "ba", "aa", "bb")])
+    both = stored(links.select(F.inline(loops)).distinct(), "neighbours")
+    roots = stored(both.groupBy(F.col("a").alias("vertex")).agg(F.min("b").alias("root")), "roots")
+    for _ in range(rounds - 1):
+        near = both.join(roots, F.col("b") == F.col("vertex")).groupBy("a").agg(F.min("root").alias("root"))
+        roots = stored(near.withColumnRenamed("a", "vertex"), "roots")
     return roots
 
 
@@ -48,7 +55,7 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
     edges = stored(links.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).select(one, two).filter("a <> b").distinct(), "edges")
     state = _state(edges)
     while state[0]:
-        edges = stored(_small_star(_large_star(edges)), "edges")
+        edges = stored(_small_star(stored(_large_star(edges), "edges")), "edges")
         before, state = state, _state(edges)
         if before == state:
             break

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from colonnade.llm import textops as T
-from colonnade.llm.components import components, reached
+from colonnade.llm.components import both_ways, components, reached
 from colonnade.llm.runtime import beside, stored, text_of
 
 RUN, SIMILARITY = 5, 0.8
@@ -196,8 +196,7 @@ def _fresh(pairs: DataFrame, tried: DataFrame | None) -> DataFrame:
     pairs = pairs.filter("a <> b").distinct()
     if tried is None:
         return pairs
-    both = tried.select("a", "b").unionByName(tried.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    return pairs.join(both, ["a", "b"], "left_anti")
+    return pairs.join(both_ways(tried.select("a", "b")), ["a", "b"], "left_anti")
 
 
 def unresolved(met: DataFrame, hubs: DataFrame, tried: DataFrame, roots: DataFrame) -> DataFrame:
@@ -312,7 +311,7 @@ def near_copies(docs: DataFrame) -> DataFrame:
     hubs = stored(ranked.select("bucket", (-F.col("best.col2")).alias("hub")), "hubs")
     again = stored(verified(_fresh(met.join(hubs, "bucket").select(F.col("hub").alias("a"), F.col("vertex").alias("b")), tried), bodies), "tried")
     tried = tried.unionByName(again)
-    roots = stored(reached(_linked(tried), 3), "roots")
+    roots = reached(_linked(tried), 3)
     members = stored(unresolved(met, hubs, tried, roots), "members")
     last = _linked(verified(stored(few(members, tried), "few"), bodies)).select("a", "b").unionByName(many(members, bodies))
     roots = components(_linked(tried).select("a", "b").unionByName(last), "a", "b")
