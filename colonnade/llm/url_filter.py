@@ -2,7 +2,7 @@
 
 Labelled URLs train the trees. Where no table of labels exists, `seeded` labels URLs by words in their host names; the
 trees see only shape (lengths, depth, digits, entropy, parameters, marks in the host) and the share of blocked URLs per
-host suffix among the training rows.
+host suffix among all labelled URLs. The trees fit on a bounded sample; the suffix counts are a table of every suffix.
 """
 
 from __future__ import annotations
@@ -14,6 +14,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from colonnade.llm.runtime import stored
+
 # Fixed values: (verdict, host and path)
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
 # Words of host names that mark unwanted sites: gambling, adult, pharmacy, advertising, spam.
@@ -22,6 +24,8 @@ FEATURES = ("url_length", "host_length", "path_length", "host_labels", "depth",
             "parameters", "query_length", "has_fragment", "host_marks", "longest_label", "vowel_ratio", "suffix_share", "suffix_seen", "top_share")
 BLOCK_FROM = 0.5
 PRIOR = 2.0  # rows that a suffix's share counts as having seen at the overall share
+FOLDS = 4  # a training row's suffix counts leave out its own fold of urls, so a rare suffix does not give its label away
+HOT_SHARE, SPREAD = 64, 32  # a suffix of more than one in HOT_SHARE rows meets its counts in SPREAD parts
 
 
 def _text(url: Column) -> Column:
@@ -84,58 +88,90 @@ def seeded(pages: DataFrame, seeds=SEEDS) -> DataFrame:
     return pages.filter("url IS NOT NULL").select("url", label.alias("label")).distinct()
 
 
+def suffixes(host: Column) -> Column:
+    """The suffixes of one and two labels."""
+    return F.array_distinct(F.array(suffix(host, 1), suffix(host, 2)))
+
+
+def _fold(url: Column) -> Column:
+    return F.pmod(F.xxhash64(url), F.lit(FOLDS)).cast("int")
+
+
+def suffix_counts(labelled: DataFrame) -> DataFrame:
+    """(suffix, n, bad, own) of every suffix of the labelled urls: its urls, those to block, and an array of both per fold."""
+    each = labelled.select("label", _fold(F.col("url")).alias("fold"), F.explode(suffixes(host_of(F.col("url")))).alias("suffix"))
+    own = [F.struct(F.count_if(F.col("fold") == k).alias("n"), F.count_if((F.col("fold") == k) & (F.col("label") == 1)).alias("bad")) for k in range(FOLDS)]
+    return each.groupBy("suffix").agg(F.count("*").alias("n"), F.sum("label").alias("bad"), F.array(*own).alias("own"))
+
+
+def hot_suffixes(rows: DataFrame) -> list[str]:
+    """The suffixes of more than one in `HOT_SHARE` of the rows with a host: at most twice that many."""
+    n = rows.count()
+    counts = rows.select(F.explode(suffixes(F.col("host"))).alias("suffix")).groupBy("suffix").agg(F.count("*").alias("n"))
+    return sorted(r["suffix"] for r in counts.filter(F.col("n") * HOT_SHARE > n).collect())
+
+
+def _with_shares(rows: DataFrame, counts: DataFrame, overall: float, hot: list[str], training: bool = False) -> DataFrame:
+    """The rows with the features of their suffixes. Hot suffixes are dealt by the hash of the row over `SPREAD` parts."""
+    columns = rows.columns
+    parts = F.when(F.col("suffix").isin(hot), F.sequence(F.lit(0), F.lit(SPREAD - 1))).otherwise(F.array(F.lit(0)))
+    known = counts.select(F.col("suffix").alias("_suffix"), F.struct("n", "bad", "own").alias("_found"), F.explode(parts).alias("_part"))
+    for name, labels in (("_near", 2), ("_top", 1)):
+        dealt = F.when(F.col("_key").isin(hot), F.pmod(F.xxhash64(*columns), F.lit(SPREAD)).cast("int")).otherwise(0)
+        keyed = rows.withColumn("_key", suffix(F.col("host"), labels)).withColumn("_dealt", dealt)
+        met = keyed.join(known, (F.col("_key") == F.col("_suffix")) & (F.col("_dealt") == F.col("_part")), "left")
+        rows = met.withColumnRenamed("_found", name).drop("_key", "_dealt", "_suffix", "_part")
+
+    def total(name: str, field: str) -> Column:
+        found = F.col(name)[field]
+        return F.coalesce(found - F.col(name)["own"][_fold(F.col("url"))][field] if training else found, F.lit(0))
+
+    share = lambda name: (total(name, "bad") + PRIOR * overall) / (total(name, "n") + PRIOR)
+    return rows.withColumns({"suffix_share": share("_near"), "suffix_seen": F.log1p(total("_near", "n").cast("double")), "top_share": share("_top")}).drop("_near", "_top")
+
+
 class UrlModel:
-    """Trees and suffix shares; `blocked` adds the probability of a block."""
+    """Trees and the table of suffix counts; `blocked` adds the probability of a block."""
 
-    def __init__(self, trees: PipelineModel | None, shares: dict[str, tuple[float, float]], overall: float):
-        self.trees, self.shares, self.overall = trees, shares, overall
+    def __init__(self, trees: PipelineModel | None, counts: DataFrame | None, overall: float):
+        self.trees, self.counts, self.overall = trees, counts, overall
 
     def featured(self, pages: DataFrame) -> DataFrame:
-        return _with_shares(shape(pages), self.shares, self.overall)
+        rows = pages.withColumn("host", host_of(F.col("url")))
+        return shape(_with_shares(rows, self.counts, self.overall, hot_suffixes(rows)))
 
     def blocked(self, pages: DataFrame) -> DataFrame:
         """The rows with host, path and probability."""
-        rows = self.featured(pages)
         if self.trees is None:
-            return rows.withColumn("probability", F.lit(self.overall))
-        scored = self.trees.transform(rows)
+            return shape(pages).withColumn("probability", F.lit(self.overall))
+        scored = self.trees.transform(self.featured(pages))
         return scored.withColumn("probability", vector_to_array("probability")[1]).drop("_x", "rawPrediction", "prediction")
 
 
-def _with_shares(rows: DataFrame, shares: dict, overall: float) -> DataFrame:
-    pairs = [x for name, (share, n) in sorted(shares.items()) for x in (F.lit(name), F.struct(F.lit(share).alias("share"), F.lit(n).alias("n")))]
-    if not pairs:
-        return rows.withColumns({"suffix_share": F.lit(overall), "suffix_seen": F.lit(0.0), "top_share": F.lit(overall)})
-    known = F.create_map(*pairs)
-    near, top = F.try_element_at(known, suffix(F.col("host"), 2)), F.try_element_at(known, suffix(F.col("host"), 1))
-    return rows.withColumns({"suffix_share": F.coalesce(near["share"], F.lit(overall)), "suffix_seen": F.coalesce(F.log1p(near["n"]), F.lit(0.0)),
-                             "top_share": F.coalesce(top["share"], F.lit(overall))})
-
-
-def fit(labelled: DataFrame, bound: int = 20_000, suffixes: int = 100, trees: int = 20, depth: int = 4) -> UrlModel:
-    """Learns from at most `bound` rows of (url, label), of each label up to half, those of the smallest md5 of the url.
+def fit(labelled: DataFrame, bound: int = 20_000, trees: int = 20, depth: int = 4) -> UrlModel:
+    """Trees from at most `bound` rows of (url, label), of each label up to half, those of the smallest md5 of the url.
 
-    Suffix shares cover the `suffixes` most frequent suffixes of one and two labels in that sample; other suffixes count
-    as unseen. With one label only, every url gets that label's share.
+    Suffix shares cover every suffix of one and two labels of all rows; only suffixes that no row has count as unseen.
+    With one label only, every url gets that label's share.
     """
     clean = labelled.select(F.col("url").cast("string").alias("url"), F.col("label").cast("int").alias("label")).filter("url IS NOT NULL AND label IN (0, 1)")
+    n, overall = clean.agg(F.count("*"), F.avg("label")).first()
+    if not n or overall in (0.0, 1.0):
+        return UrlModel(None, None, float(overall or 0.0))
+    counts = stored(suffix_counts(clean), "suffixes")
     halves = [clean.filter(F.col("label") == k).orderBy(F.md5(F.col("url").cast("binary")), "url").limit(bound // 2) for k in (0, 1)]
-    sample = shape(halves[0].unionByName(halves[1])).repartition(4, "url").cache()
+    sample = halves[0].unionByName(halves[1]).withColumn("host", host_of(F.col("url"))).repartition(4, "url")
+    rows = shape(_with_shares(sample, counts, overall, [], training=True)).cache()
     try:
-        n, overall = sample.agg(F.count("*"), F.avg("label")).first()
-        if not n or overall in (0.0, 1.0):
-            return UrlModel(None, {}, float(overall or 0.0))
         # equal weight to both labels, whatever their numbers in the sample
-        each = sample.select("label", F.explode(F.array_distinct(F.array(suffix(F.col("host"), 1), suffix(F.col("host"), 2)))).alias("suffix"))
-        top = each.groupBy("suffix").agg(F.count("*").alias("n"), F.sum("label").alias("bad")).orderBy(F.desc("n"), "suffix").limit(suffixes).collect()
-        shares = {r["suffix"]: ((r["bad"] + PRIOR * overall) / (r["n"] + PRIOR), float(r["n"])) for r in top}
-        rows = _with_shares(sample, shares, overall).withColumn("weight", F.when(F.col("label") == 1, 0.5 / overall).otherwise(0.5 / (1 - overall)))
+        share = rows.agg(F.avg("label")).first()[0]
+        weighted = rows.withColumn("weight", F.when(F.col("label") == 1, 0.5 / share).otherwise(0.5 / (1 - share)))
         assembler = VectorAssembler(inputCols=list(FEATURES), outputCol="_x")
         boosted = GBTClassifier(labelCol="label", featuresCol="_x", weightCol="weight", maxIter=trees, maxDepth=depth, stepSize=0.3, seed=11)
-        model = boosted.fit(assembler.transform(rows))
-        return UrlModel(PipelineModel([assembler, model]), shares, float(overall))
+        model = boosted.fit(assembler.transform(weighted))
+        return UrlModel(PipelineModel([assembler, model]), counts, float(overall))
     finally:
-        sample.unpersist()
+        rows.unpersist()
 
 
 def judged(pages: DataFrame, model: UrlModel, rules=RULES) -> DataFrame:

@@ -1,3 +1,4 @@
+import math
 import random
 
 import pytest
@@ -24,6 +25,21 @@ def test_trees_find_seeded_hosts(spark):
     assert sum((r.verdict == "block") == r.label for r in rows) >= 0.97 * len(rows)
 
 
+def test_suffix_counts_cover_every_suffix(spark):
+    # 400 hosts of equal shape, one half blocked: only their suffixes tell them apart, and the sample holds few of them
+    rows = [(f"http://www.{draw}.org/p{k}", int(i % 2)) for i, draw in enumerate(random.Random(6).sample([f"{a}{b}{c}" for a in "bcdf" for b in "ghjkl" for c in "mnpqrstvwx"] + [f"{a}{b}{c}" for a in "mnpq" for b in "rstvw" for c in "bcdfghjklz"], 400)) for k in range(12)]
+    labelled = spark.createDataFrame(rows, "url string, label int")
+    model = url_filter.fit(labelled, bound=1200)
+    pages = spark.createDataFrame([(i, url.replace("/p", "/q")) for i, (url, _) in enumerate(rows)] + [(-1, "http://www.zzz.org/q1")], "page_id long, url string")
+    got = {r.page_id: r for r in model.featured(pages).collect()}
+    assert len(got) == len(rows) + 1
+    for i, (_, label) in enumerate(rows):
+        assert got[i].suffix_share == pytest.approx((12 * label + 1) / 14) and got[i].suffix_seen == pytest.approx(math.log(13)) and got[i].top_share == pytest.approx(0.5)
+    assert (got[-1].suffix_share, got[-1].suffix_seen) == (0.5, 0.0)
+    verdicts = {r.page_id: r.verdict for r in url_filter.judged(pages, model, ()).collect()}
+    assert sum((verdicts[i] == "block") == label for i, (_, label) in enumerate(rows)) >= 0.99 * len(rows)
+
+
 def test_entropy(spark):
     rows = spark.createDataFrame([("aabb",), ("",), ("abcd",)], "url string").select(url_filter.entropy(url_filter._text(url_filter.F.col("url"))).alias("e")).collect()
     assert [r.e for r in rows] == pytest.approx([1.0, 0.0, 2.0])
