@@ -6,6 +6,10 @@ probability J_P, the probability Jaccard similarity of their weights (the plain
 repeats). Arrivals later than the latest winner change nothing, so a run's process ends there: most runs of a long text
 arrive once.
 
+The plain Jaccard similarity of texts that repeat runs can be high where J_P is low (a line repeated often in one of
+them). Such a text also has the bands of a second sketch, with all weights 1; for texts without repeats both sketches are
+the same.
+
 Equal texts fall together first. Texts that agree in all registers of a band meet in that band's bucket. Links are
 verified exactly on both texts: J_P or the plain Jaccard similarity of the runs is at least 0.8. A bucket's members are
 compared with its leader (the smallest id), so a bucket of n texts makes n - 1 pairs and not n^2/2. Both distances obey
@@ -82,16 +86,29 @@ def bands(registers: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
+def band_keys(block: T.Block) -> tuple[np.ndarray, np.ndarray]:
+    """The band keys of all texts in a row and how many each has: none without runs, those of both sketches if runs repeat."""
+    h, t, weight = weighted_runs(block)
+    keys, there = np.zeros((block.n, 2 * BANDS), np.int64), np.zeros((block.n, 2 * BANDS), bool)
+    keys[:, :BANDS] = bands(sketches(h, t, weight, block.n, BANDS * ROWS))
+    there[:, :BANDS] = (np.bincount(t, minlength=block.n) > 0)[:, None]
+    repeating = np.unique(t[weight > 1])
+    if len(repeating):
+        own = np.isin(t, repeating)
+        keys[repeating, BANDS:] = bands(sketches(h[own], np.searchsorted(repeating, t[own]), np.ones(own.sum(), np.int64), len(repeating), BANDS * ROWS))
+        there[repeating, BANDS:] = True
+    return keys[there], there.sum(1)
+
+
 def _sketch_work():
     def work(texts):
-        keys, some = [np.zeros((0, BANDS), np.int64)], [np.zeros(0, bool)]
+        keys, sizes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for block in T.blocks(texts):
-            h, t, weight = weighted_runs(block)
-            keys.append(bands(sketches(h, t, weight, block.n, BANDS * ROWS)))
-            some.append(np.bincount(t, minlength=block.n) > 0)
-        flat, there = np.concatenate(keys), np.concatenate(some)
-        cut = np.concatenate([[0], np.cumsum(np.where(there, BANDS, 0))])
-        return [pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(flat[there].ravel(), pa.int64()))]
+            flat, size = band_keys(block)
+            keys.append(flat)
+            sizes.append(size)
+        cut = np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
+        return [pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(np.concatenate(keys), pa.int64()))]
 
     return work
 

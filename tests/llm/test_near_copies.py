@@ -64,6 +64,20 @@ def test_classes_match_brute_force(spark, monkeypatch, few):
     assert sorted(r.doc_id for r in kept) == sorted(set(classes(texts)))
 
 
+@pytest.mark.parametrize("few", [32, 3])
+def test_repeated_lines_match_brute_force(spark, monkeypatch, few):
+    # equal but for a line repeated often: plain Jaccard about 0.94 and J_P about 0.29, so the weighted bands rarely meet
+    monkeypatch.setattr(nc, "FEW", few)
+    monkeypatch.setattr(nc, "SIDE", 5)
+    draw = random.Random(7)
+    base = [" ".join(draw.choices(WORDS, k=300)) for _ in range(8)]
+    lines = [" ".join(draw.choices(WORDS, k=12)) for _ in base]
+    texts = base + [f"{t}\n" + "\n".join([line] * n) for t, line in zip(base, lines, strict=True) for n in (60, 25)] + ["\n".join([line] * 40) for line in lines[:3]]
+    draw.shuffle(texts)
+    got = nc.near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert [r.class_id for r in sorted(got, key=lambda r: r.doc_id)] == classes(texts)
+
+
 def exact_jp(a, b):
     keys = set(a) | set(b)
     return sum(1 / sum(max(a.get(j, 0) / a[i], b.get(j, 0) / b[i]) for j in keys) for i in set(a) & set(b))
