@@ -120,3 +120,21 @@ def test_licences_match_brute_force(spark):
             if top >= licenses.LIMIT:
                 names.add(name)
         assert (got[i].dice or 0.0) == pytest.approx(best) and (got[i].licenses or "") == ",".join(sorted(names))
+
+
+def test_licences_that_share_sentences(spark):
+    gnu = "{} is free software{} you can redistribute it and/or modify it under the terms of the GNU {} Public License as published by the Free Software Foundation{} either version {} of the License, or (at your option) any later version."
+    bsd = ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:\n"
+           "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.\n"
+           "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.\n")
+    name = "3. Neither the name of {} nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.\n"
+    end = "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES"
+    gpl3, agpl = gnu.format("This program", ":", "General", ",", "3"), gnu.format("This program", ":", "Affero General", ",", "3")
+    cases = [
+        (agpl, "AGPL-3.0"), (gpl3, "GPL-3.0"), (gnu.format("This program", ";", "General", ";", "2"), "GPL-2.0"), (gnu.format("This library", ";", "Lesser General", ";", "2.1"), "LGPL-2.1"),
+        (agpl + " Some other words between. " * 9 + gpl3, "AGPL-3.0,GPL-3.0"), (bsd + end, "BSD-2-Clause"), (bsd + name.format("Foo Inc.") + end, "BSD-3-Clause"),
+        ("Licensed under CC BY-ND 4.0.", "CC-BY-ND-4.0"), ("Licensed under CC BY 4.0. Licensed under CC BY-SA 4.0.", "CC-BY-4.0,CC-BY-SA-4.0"),
+        ("This work is licensed under the GNU General Public License, version 2.", "GPL-2.0"),
+    ]
+    got = {r.doc_id: r.licenses for r in licenses.scan(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(len(cases))] == [names for _, names in cases]
