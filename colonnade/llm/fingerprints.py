@@ -2,8 +2,9 @@
 
 The sketch of a text holds every hash of its runs of five words that lies below a fixed fraction of the hash range.
 Sketches of a union are the union of sketches, and the share of one sketch's hashes found in another estimates how much
-of one text the other contains, however unequal they are. A text of at most `WHOLE` distinct runs keeps all hashes
-(fraction 1), for a fraction of few is nothing; two sketches are compared below the smaller of their fractions.
+of one text the other contains, however unequal they are. A text of at most `WHOLE` runs, each counted as often
+as it occurs, keeps all hashes (fraction 1), for a fraction of few is nothing. A longer text of few distinct runs keeps
+one in eight of those, maybe none. Two sketches are compared below the smaller of their fractions.
 
 A fingerprint is `<d>:<hash>,<hash>,...`: 1/d is the fraction, the hashes are the first 16 hex digits of the md5 of the
 run's words joined by spaces, ascending.
