@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from colonnade.llm import fingerprints, html_text, licenses, mixing, near_copies, packing, pairwise_quality, rules, token_counts, url_filter
+from colonnade.llm import (
+    fingerprints, html_text, lexical_search, licenses, mixing, near_copies, packing, pairwise_quality, rules, simhash, token_counts, turn_repair, url_filter,
+)
 from colonnade.llm.tokens import public_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -122,3 +124,76 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_quality_rules")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.rules_table(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+OP11 = r"""WITH RECURSIVE src AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+  coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS key FROM conversations),
+fates AS (SELECT *, xor(4294967295::BIGINT, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(key, ''), lambda c: ord(c)::BIGINT)),
+  lambda crc, b: list_reduce([xor(crc, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda t, z: CASE WHEN t % 2 = 1 THEN xor(t >> 1, 3988292384::BIGINT) ELSE t >> 1 END))) % 20 AS fate FROM src),
+damaged AS (SELECT conv_id, turn, CASE fate WHEN 4 THEN 'user' ELSE role END AS role,
+  CASE fate WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+  unnest(range(CASE fate WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM fates),
+numbered AS (SELECT conv_id, row_number() OVER (ORDER BY conv_id) AS cid FROM (SELECT DISTINCT conv_id FROM conversations)),
+seen AS (SELECT cid, turn, role, text, NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank,
+  row_number() OVER (PARTITION BY cid, role, text ORDER BY turn NULLS FIRST) AS nth
+  FROM damaged d JOIN numbered n ON d.conv_id IS NOT DISTINCT FROM n.conv_id),
+faults AS (SELECT *, CASE WHEN blank THEN 'blank' WHEN nth > 1 THEN 'duplicate' WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') THEN 'truncated' ELSE '' END AS fault FROM seen),
+placed AS (SELECT *, row_number() OVER (PARTITION BY cid ORDER BY turn NULLS FIRST, role, CASE fault WHEN 'blank' THEN 0 WHEN 'duplicate' THEN 2 ELSE 1 END, text) AS i FROM faults),
+turns AS (SELECT cid, i, turn, role, text, fault, role[1:1] AS c, fault IN ('blank', 'duplicate') AS bad, (fault = 'truncated')::INT AS cut,
+  role[1:1] <> '' AND lag(role[1:1]) OVER w || role[1:1] NOT IN ('su', 'ua', 'au') OR role[1:1] = '' AND i > 1 AS illegal FROM placed WINDOW w AS (PARTITION BY cid ORDER BY i)),
+sizes AS (SELECT cid, coalesce(max(i), 0) AS n FROM numbered LEFT JOIN turns USING (cid) GROUP BY cid),
+values_of AS (SELECT cid, n + 1 AS i, [0, 4, 2, 0] AS v FROM sizes
+  UNION ALL
+  SELECT cid, i, [least(e[1], 2 + e[3], 4 + e[4]), least(e[2], 2 + e[3], 4 + e[4]), least(e[3], 2 + e[4]), least(e[4], 2 + e[3])] AS v FROM (
+    SELECT t.cid, t.i, CASE WHEN bad THEN [3 + v[1], 3 + v[2], 3 + v[3], 3 + v[4]] ELSE [
+      least(3 + v[1], 2 + cut + v[3], CASE c WHEN 's' THEN cut + v[2] WHEN 'u' THEN cut + v[3] ELSE 1000000000 END),
+      least(3 + v[2], 2 + cut + v[3], CASE c WHEN 'u' THEN cut + v[3] ELSE 1000000000 END),
+      least(3 + v[3], 2 + cut + v[4], CASE c WHEN 'a' THEN cut + v[4] ELSE 1000000000 END),
+      least(3 + v[4], 2 + cut + v[3], CASE c WHEN 'u' THEN cut + v[3] ELSE 1000000000 END)] END AS e
+    FROM values_of b JOIN turns t ON t.cid = b.cid AND t.i = b.i - 1)),
+walk AS (SELECT cid, 1::BIGINT AS i, 1 AS s, 0 AS step, '' AS letter, NULL::VARCHAR AS role, NULL::VARCHAR AS text FROM sizes
+  UNION ALL
+  SELECT cid, CASE letter WHEN 'I' THEN i ELSE i + 1 END, CASE letter WHEN 'D' THEN s WHEN 'K' THEN kept ELSE [3, 3, 4, 3][s] END, step + 1, letter,
+    CASE letter WHEN 'K' THEN role WHEN 'D' THEN NULL ELSE ['user', 'user', 'assistant', 'user'][s] END, CASE letter WHEN 'I' THEN '' WHEN 'D' THEN NULL ELSE text END FROM (
+    SELECT *, CASE WHEN 3 + behind[s] = front[s] THEN 'D' WHEN 2 + front[[3, 3, 4, 3][s]] = front[s] THEN 'I' WHEN NOT bad AND cut + behind[kept] = front[s] THEN 'K' ELSE 'R' END AS letter FROM (
+      SELECT w.cid, w.i, w.s, w.step, t.role, t.text, t.bad, t.cut, a.v AS front, b.v AS behind,
+        CASE WHEN w.s = 1 AND t.c = 's' THEN 2 WHEN w.s IN (1, 2, 4) AND t.c = 'u' THEN 3 WHEN w.s = 3 AND t.c = 'a' THEN 4 END AS kept
+      FROM walk w JOIN values_of a ON a.cid = w.cid AND a.i = w.i LEFT JOIN values_of b ON b.cid = w.cid AND b.i = w.i + 1 LEFT JOIN turns t ON t.cid = w.cid AND t.i = w.i
+      WHERE b.v IS NOT NULL OR a.v[w.s] > 0))),
+audits AS (SELECT cid, string_agg(letter, '' ORDER BY step) AS audit, string_agg(role || ':' || text, chr(10) ORDER BY step) FILTER (letter NOT IN ('', 'D')) AS body FROM walk GROUP BY cid),
+counts AS (SELECT cid, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+  count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (illegal) AS illegal FROM turns GROUP BY cid)
+SELECT n.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated,
+  coalesce(illegal, 0)::BIGINT AS illegal, v[1]::BIGINT AS cost, audit, sha256(coalesce(body, '')) AS repaired_sha256
+FROM numbered n JOIN audits USING (cid) JOIN values_of f ON f.cid = n.cid AND f.i = 1 LEFT JOIN counts c ON c.cid = n.cid"""
+
+
+@query("op11_turn_repair", OP11)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    return turn_repair.summary(turn_repair.damaged(turns), turns)
+
+
+TERMS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+OP12 = rf"""WITH docs AS (SELECT doc_id, row_number() OVER () AS place, {TERMS} AS terms FROM documents),
+used AS (SELECT doc_id, place, terms, len(terms) AS n FROM docs WHERE len(terms) > 0),
+totals AS (SELECT count(*) AS docs, sum(n)::BIGINT AS length FROM used),
+held AS (SELECT place, doc_id, n, term, count(*) AS tf FROM (SELECT place, doc_id, n, unnest(terms) AS term FROM used) GROUP BY ALL),
+wanted AS (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest({TERMS}) AS term FROM (SELECT DISTINCT item_id, text FROM benchmark)) GROUP BY ALL),
+weighted AS (SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS w
+  FROM (SELECT term, count(*) AS df FROM held WHERE term IN (SELECT term FROM wanted) GROUP BY term), totals),
+scores AS (SELECT item_id, place, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + ((75 * n * docs) // length)))))::BIGINT AS score
+  FROM held JOIN wanted USING (term) JOIN weighted USING (term), totals GROUP BY item_id, place, doc_id)
+SELECT item_id, rank::INT AS rank, doc_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM scores WHERE score > 0) WHERE rank <= 10"""
+
+
+@query("op12_lexical_search", OP12)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op13_simhash")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
