@@ -2,9 +2,8 @@
 
 The sketch of a text holds every hash of its runs of five words that lies below a fixed fraction of the hash range.
 Sketches of a union are the union of sketches, and the share of one sketch's hashes found in another estimates how much
-of one text the other contains, however unequal they are. A text of at most `WHOLE` runs, each counted as often
-as it occurs, keeps all hashes (fraction 1), for a fraction of few is nothing. A longer text of few distinct runs keeps
-one in eight of those, maybe none. Two sketches are compared below the smaller of their fractions.
+of one text the other contains, however unequal they are. A text of at most `WHOLE` distinct runs keeps all hashes
+(fraction 1), for a fraction of few is nothing. Two sketches are compared below the smaller of their fractions.
 
 A fingerprint is `<d>:<hash>,<hash>,...`: 1/d is the fraction, the hashes are the first 16 hex digits of the md5 of the
 run's words joined by spaces, ascending.
@@ -42,7 +41,7 @@ def fingerprint(text: Column) -> Column:
 def _print(hashes: Column) -> Column:
     """The fingerprint of an array of md5 hashes."""
     listed = lambda h: F.array_join(F.sort_array(F.array_distinct(F.transform(h, lambda x: F.substring(x, 1, 16)))), ",")
-    return F.when(F.size(hashes) <= WHOLE, F.concat(F.lit("1:"), listed(hashes))).otherwise(
+    return F.when(F.size(F.array_distinct(hashes)) <= WHOLE, F.concat(F.lit("1:"), listed(hashes))).otherwise(
         F.concat(F.lit(f"{FRACTION}:"), listed(F.filter(hashes, lambda x: x < BELOW))))
 
 
@@ -50,6 +49,14 @@ def _hashes(print_: Column) -> Column:
     return F.array_remove(F.split(F.substring_index(print_, ":", -1), ","), "")
 
 
+def merged(a: Column, b: Column) -> Column:
+    """The fingerprint of two texts' runs together, from their fingerprints alone."""
+    both = F.sort_array(F.array_union(_hashes(a), _hashes(b)))
+    whole = lambda h: a.startswith("1:") & b.startswith("1:") & (F.size(h) <= WHOLE)
+    return _let(both, lambda h: F.when(whole(h), F.concat(F.lit("1:"), F.array_join(h, ","))).otherwise(
+        F.concat(F.lit(f"{FRACTION}:"), F.array_join(F.filter(h, lambda x: x < BELOW), ","))))
+
+
 def compared(a: Column, b: Column) -> Column:
     """(containment, resemblance) of two fingerprints, a struct: shared hashes over those of the smaller one, and over all.
 

@@ -38,7 +38,7 @@ bodies AS (SELECT DISTINCT text AS body FROM docs UNION SELECT edited FROM edits
 words AS (SELECT body, list_filter(string_split_regex(body, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM bodies),
 runs AS (SELECT body, CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: md5(array_to_string(w[i:i + 4], ' ')))
   WHEN len(w) > 0 THEN [md5(array_to_string(w, ' '))] ELSE [] END AS h FROM words),
-prints AS (SELECT body, CASE WHEN len(h) <= 128 THEN '1:' || coalesce(array_to_string(list_sort(list_distinct(list_transform(h, lambda x: x[1:16]))), ','), '')
+prints AS (SELECT body, CASE WHEN len(list_distinct(h)) <= 128 THEN '1:' || coalesce(array_to_string(list_sort(list_distinct(list_transform(h, lambda x: x[1:16]))), ','), '')
   ELSE '8:' || coalesce(array_to_string(list_sort(list_distinct(list_transform(list_filter(h, lambda x: x < '2'), lambda x: x[1:16]))), ','), '') END AS fp FROM runs),
 three AS (SELECT doc_id, length(text) AS n_chars, sha256(edited) AS edited_sha256, a.fp AS x, b.fp AS y, c.fp AS z FROM edits
   JOIN prints a ON a.body = text JOIN prints b ON b.body = edited JOIN prints c ON c.body = next_text),

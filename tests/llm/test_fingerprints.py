@@ -10,7 +10,7 @@ def sketch(text):
     w = WORD.findall(text)
     runs = [" ".join(w[i:i + 5]) for i in range(len(w) - 4)] or ([" ".join(w)] if w else [])
     h = [hashlib.md5(r.encode()).hexdigest() for r in runs]
-    return "1:" + ",".join(sorted({x[:16] for x in h})) if len(h) <= fp.WHOLE else "8:" + ",".join(sorted({x[:16] for x in h if x < "2"}))
+    return "1:" + ",".join(sorted({x[:16] for x in h})) if len(set(h)) <= fp.WHOLE else "8:" + ",".join(sorted({x[:16] for x in h if x < "2"}))
 
 
 def test_brute_force(spark, monkeypatch):
@@ -30,6 +30,24 @@ def test_brute_force(spark, monkeypatch):
     assert len(got) == len(rows)
 
 
+def test_unrelated_loops_differ(spark):
+    """Texts that each repeat one word or line have few distinct runs, all of which they keep."""
+    texts = [" ".join([f"word{i}"] * 200) for i in range(40)] + [" ".join(f"w{i}{k % 6}" for k in range(300)) for i in range(40)]
+    rows = fp.fingerprint_table(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert all(r.near_next == 0 and r.fingerprint == sketch(texts[r.doc_id]) and len(r.fingerprint) > 2 for r in rows)
+
+
+def test_merged_is_the_sketch_of_both(spark):
+    words = [f"v{i * 7919 % 100003}" for i in range(400)]
+    texts = ["", "a b", " ".join(words[:60]), " ".join(words[40:150]), " ".join(words[:120]), " ".join(words)]
+    pairs = [(a, b) for a in texts for b in texts]
+    table = spark.createDataFrame(pairs, "a string, b string")
+    got = table.select("a", "b", fp.merged(fp.fingerprint(table.a), fp.fingerprint(table.b)).alias("m")).collect()
+    for r in got:
+        hashes = {hashlib.md5(" ".join(w[i:i + 5]).encode()).hexdigest()[:16] for w in (r.a.split(), r.b.split()) for i in range(max(len(w) - 4, bool(w)))}
+        assert r.m == ("1:" + ",".join(sorted(hashes)) if len(hashes) <= fp.WHOLE else "8:" + ",".join(sorted(h for h in hashes if h < "2")))
+
+
 def test_containment_of_unequal_texts(spark):
     words = [f"v{i * 7919 % 100003}" for i in range(6000)]
     long, part, other = " ".join(words), " ".join(words[1000:2500]), " ".join(reversed(words))
