@@ -50,6 +50,13 @@ def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
+def free(df: DataFrame, name: str) -> str:
+    """The name, with underscores added until no column has it or begins with it."""
+    while any(c.lower().startswith(name.lower()) for c in df.columns):
+        name += "_"
+    return name
+
+
 def without(df: DataFrame, names) -> list[StructField]:
     """The fields whose name, whatever its case, is none of the given ones."""
     gone = {n.lower() for n in names}
