@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from colonnade.llm import textops as T
 from colonnade.llm.components import both_ways, components, reached
-from colonnade.llm.runtime import beside, stored, text_of
+from colonnade.llm.runtime import beside, quoted, stored, text_of
 
 RUN, SIMILARITY = 5, 0.8
 BANDS, ROWS = 20, 5
@@ -156,21 +156,23 @@ def _verify_work():
 
 
 def _numbered(digest: Column) -> Column:
-    """A negative id for a text without one."""
-    return -1 - F.shiftrightunsigned(F.xxhash64(digest), 2)
+    """An id above 2^62 for a text without one of its own."""
+    return F.lit(1 << 62) + F.shiftrightunsigned(F.xxhash64(digest), 2)
 
 
 def vertices(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(rows, texts): `rows` has doc_id and its text's vertex, `texts` has each distinct text's vertex, copies and bands.
+    """(rows, texts): `rows` has doc_id and its text's vertex, `texts` has each distinct text's digest, vertex, least and bands.
 
-    A vertex is the smallest doc_id of the equal texts, or a negative number from the text's digest where all are null.
-    Rows that share a doc_id and hold different texts are one document, so their texts share a class.
+    `least` is the smallest doc_id of the equal texts, and the vertex is that id. Where no row has an id, or where a text
+    of a smaller digest has the same one, the vertex is a number above 2^62 from the text's digest.
     """
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     keyed = plain.withColumn("digest", F.md5(F.col("text").cast("binary")))
     marked = stored(beside(keyed, [("bands", "array<long>")], _sketch_work).drop("text"), "sketches")
-    own = F.coalesce(F.min("doc_id"), _numbered(F.col("digest")))
-    texts = stored(marked.groupBy("digest").agg(own.alias("vertex"), F.count("*").alias("copies"), F.any_value("bands").alias("bands")), "texts")
+    texts = marked.groupBy("digest").agg(F.min("doc_id").alias("least"), F.any_value("bands").alias("bands"))
+    heads = marked.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("digest").alias("head"))
+    own = F.when(F.col("head") == F.col("digest"), F.col("least")).otherwise(_numbered(F.col("digest")))
+    texts = stored(texts.join(heads, F.col("least") == F.col("doc_id"), "left").select("digest", own.alias("vertex"), "least", "bands"), "texts")
     rows = marked.select("doc_id", "digest").join(texts.select("digest", "vertex"), "digest")
     return rows, texts
 
@@ -183,14 +185,12 @@ def buckets(texts: DataFrame) -> DataFrame:
 
 
 def texts_of(docs: DataFrame, texts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(vertex, text) of the wanted vertices; of a vertex with several texts the one of the smallest digest."""
-    chosen = texts.join(wanted.select("vertex").distinct(), "vertex", "left_semi").groupBy("vertex").agg(F.min("digest").alias("digest"))
+    """(vertex, text) of the wanted vertices."""
+    chosen = texts.join(wanted.select("vertex").distinct(), "vertex", "left_semi").select("vertex", "digest", "least")
     plain = docs.select(text_of().alias("text"), F.col("doc_id").cast("long").alias("doc_id")).withColumn("digest", F.md5(F.col("text").cast("binary")))
-    # of equal texts only the one that gave the vertex its number crosses the network
-    named = chosen.filter("vertex >= 0").withColumnRenamed("vertex", "doc_id")
-    first = plain.join(named, ["doc_id", "digest"]).select(F.col("doc_id").alias("vertex"), "text")
-    other = plain.filter("doc_id IS NULL OR doc_id < 0").join(chosen.filter("vertex < 0"), "digest").select("vertex", "text")
-    return first.unionByName(other).groupBy("vertex").agg(F.any_value("text").alias("text"))
+    # of equal texts only the rows of the least id are joined
+    same = F.col("doc_id").eqNullSafe(F.col("least")) & (plain["digest"] == chosen["digest"])
+    return plain.join(chosen, same).groupBy("vertex").agg(F.any_value("text").alias("text"))
 
 
 def verified(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
@@ -313,10 +313,18 @@ def overlaps(left: list[np.ndarray], right: list[np.ndarray], width: int = 8192)
 def near_copies(docs: DataFrame) -> DataFrame:
     """Per row: doc_id, class_id, text_id.
 
-    class_id is the smallest doc_id of the texts connected by links, text_id the smallest doc_id of equal texts. A null text counts as the empty one; all empty texts
-    are one class. Null ids get ids from their text's digest. Extra columns are not read; an empty table gives none.
+    class_id is the smallest text_id of the texts connected by links, text_id the smallest doc_id of equal texts. A null
+    text counts as the empty one; all empty texts are one class. Different texts under one doc_id are texts of their own:
+    that of the smallest digest has the id as text_id, the others, like texts without any id, a number above 2^62 from
+    their digest. Extra columns are not read; an empty table gives none.
     """
     rows, texts = vertices(docs)
+    roots = classes(docs, texts)
+    return rows.join(roots, "vertex", "left").select("doc_id", F.coalesce("root", "vertex").alias("class_id"), F.col("vertex").alias("text_id"))
+
+
+def classes(docs: DataFrame, texts: DataFrame) -> DataFrame:
+    """(vertex, root) of the texts that have links; the root is the smallest vertex connected."""
     met = stored(buckets(texts), "buckets")
     bodies = stored(texts_of(docs, texts, met), "bodies")
     first = met.groupBy("bucket").agg(F.min("vertex").alias("a"))
@@ -331,20 +339,19 @@ def near_copies(docs: DataFrame) -> DataFrame:
     roots = reached(_linked(tried), 3)
     members = stored(unresolved(met, hubs, tried, roots), "members")
     last = _linked(verified(stored(few(members, tried), "few"), bodies)).select("a", "b").unionByName(many(members, bodies))
-    roots = components(_linked(tried).select("a", "b").unionByName(last), "a", "b")
-    return rows.join(roots, "vertex", "left").select("doc_id", F.coalesce("root", "vertex").alias("class_id"), F.col("vertex").alias("text_id"))
+    return components(_linked(tried).select("a", "b").unionByName(last), "a", "b")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The documents that stay: one row of every class, that of the smallest doc_id, with all its columns.
+    """The documents that stay: one row of every class, with all its columns.
 
-    Where several rows carry that id one of them stays. Of a class in which no row has an id, one row of its first text
-    stays. No other row without an id does.
+    It is a row that holds the text whose text_id is the class_id, under the least doc_id of that text. Rows equal in id
+    and text are copies, of which any one stays.
     """
-    classes = near_copies(docs)
-    first = classes.groupBy("class_id").agg(F.min("doc_id").alias("_kept"))
-    named = docs.join(first.filter("_kept IS NOT NULL").select("_kept").distinct(), F.col("doc_id").cast("long") == F.col("_kept"), "left_semi")
-    nameless = first.filter("_kept IS NULL").select(F.col("class_id").alias("_text_id"))
-    others = (docs.filter("doc_id IS NULL").withColumn("_text_id", _numbered(F.md5(text_of().cast("binary"))))
-              .join(nameless, "_text_id", "left_semi").dropDuplicates(["_text_id"]).drop("_text_id"))
-    return named.dropDuplicates(["doc_id"]).unionByName(others)
+    _, texts = vertices(docs)
+    roots = classes(docs, texts)
+    # a text without links is a class of its own
+    kept = texts.join(roots.filter("vertex <> root"), "vertex", "left_anti").select("digest", "least")
+    rows = docs.select(F.struct(*[F.col(quoted(c)) for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("id"), F.md5(text_of().cast("binary")).alias("own"))
+    same = F.col("id").eqNullSafe(F.col("least")) & (F.col("own") == F.col("digest"))
+    return rows.join(kept, same, "left_semi").dropDuplicates(["id", "own"]).select(*[F.col("row")[c].alias(c) for c in docs.columns])

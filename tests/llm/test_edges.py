@@ -10,11 +10,11 @@ from colonnade.llm.tokens import public_path
 LONG = "lorem ipsum dolor sit amet " * 9000
 ROWS = [(1, "a b c d e f", "s"), (2, None, None), (3, "", "s"), (None, "x y", "t"), (None, None, "t"), (1, "a b c d e f", "s"), (4, LONG, "u"), (5, "a b c d e f", "s"),
         (6, "one two \t\n three <|endoftext|> é", "s"), (1, "other text under the same id", "v")]
-EXTRA = "score double, kept boolean, text_id long, `a.b` string, Size long, probability double, label int, x array<int>, vertex string"
+EXTRA = "score double, kept boolean, text_id long, `a.b` string, Size long, probability double, label int, x array<int>, vertex string, _kept int, _text_id int, __score int, __n_words int, id int, digest int, least int"
 
 
 def table(spark, rows):
-    full = [(i, t, "en", s, len(t or ""), 0.5, True, 7, "z", 3, 0.1, 2, [1], "v") for i, t, s in rows]
+    full = [(i, t, "en", s, len(t or ""), 0.5, True, 7, "z", 3, 0.1, 2, [1], "v", 11, 12, 13, 14, 15, 16, 17) for i, t, s in rows]
     return spark.createDataFrame(full, "doc_id long, text string, lang string, source string, n_chars long, " + EXTRA)
 
 
@@ -48,7 +48,7 @@ def test_empty_table(spark, name):
     assert OPERATORS[name](spark, table(spark, ROWS).limit(0)).collect() == []
 
 
-@pytest.mark.parametrize("name", ["fingerprints", "mixture", "token_counts", "quality", "rules", "near_copies"])
+@pytest.mark.parametrize("name", ["fingerprints", "mixture", "token_counts", "quality", "rules", "near_copies", "licenses", "urls", "html"])
 def test_equal_rows_and_runs_agree(spark, name):
     key = lambda r: tuple(map(str, r))
     d = table(spark, ROWS)
@@ -68,4 +68,5 @@ def test_stages_keep_columns(spark, tmp_path, stage):
 def test_null_ids_are_kept_once_per_text(spark):
     kept = near_copies.one_of_each(table(spark, ROWS)).collect()
     assert sorted((r.doc_id or 0, (r.text or "")[:12]) for r in kept if r.doc_id != 1) == [(0, "x y"), (2, ""), (4, LONG[:12]), (6, ROWS[8][1][:12])]
-    assert len([r for r in kept if r.doc_id == 1]) == 1
+    assert sorted(r.text for r in kept if r.doc_id == 1) == ["a b c d e f", "other text under the same id"]
+    assert {(r._kept, r._text_id, r["__score"], r["__n_words"], r.id, r.least) for r in kept} == {(11, 12, 13, 14, 15, 17)}
