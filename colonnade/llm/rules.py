@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from colonnade.llm import textops as T
-from colonnade.llm.runtime import beside, quoted, ship
+from colonnade.llm.runtime import beside, free, quoted, ship
 from colonnade.llm.samples import labelled_sample
 
 BUCKETS = 1 << 16  # of words, and as many of characters
@@ -88,20 +88,34 @@ def _grams_of(batches):
                                              ["doc_id", "quality", "bucket", "value"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, bound: int = 2000, steps: int = 80) -> Classifier:
+def _fit_of(batches, steps: int):
+    """All rows of the sample, sorted by doc_id, to one row: the classifier."""
+    good, sizes, bucket, value = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)], [np.zeros(0, np.int32)], [np.zeros(0, np.float32)]
+    for batch in batches:
+        good.append(batch.column("quality").to_numpy())
+        sizes.append(np.diff(batch.column("bucket").offsets.to_numpy()))
+        bucket.append(batch.column("bucket").flatten().to_numpy())
+        value.append(batch.column("value").flatten().to_numpy())
+    cut = np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
+    model = fit_arrays(cut, np.concatenate(bucket), np.concatenate(value), np.concatenate(good).astype(float), steps)
+    yield pa.RecordBatch.from_pylist([model._replace(weights=model.weights.tobytes())._asdict()])
+
+
+def fit(docs: DataFrame, labels: DataFrame, bound: int = 3000, steps: int = 80) -> Classifier:
     """Fits on at most `bound` labelled documents; every fourth of them calibrates instead.
 
-    Without documents of both labels every text gets probability 1.
+    The n-grams are counted where the texts are; one task fits on the bounded sample (a document has at most
+    2 * `BUCKETS` values, 8 bytes each), and only the weights come to the driver. Without documents of both labels
+    every text gets probability 1.
     """
     ship(docs.sparkSession)
     sample = labelled_sample(docs, labels, bound)
-    rows = sample.mapInArrow(_grams_of, "doc_id long, quality int, bucket array<int>, value array<float>").toArrow().sort_by("doc_id").combine_chunks()
-    if not rows.num_rows:
+    rows = sample.mapInArrow(_grams_of, "doc_id long, quality int, bucket array<int>, value array<float>")
+    sorted_rows = rows.repartition(1).sortWithinPartitions("doc_id")
+    model = sorted_rows.mapInArrow(lambda batches: _fit_of(batches, steps), "weights binary, bias double, slope double, shift double").first()
+    if model is None:
         return Classifier(np.zeros(2 * BUCKETS), 0.0, 0.0, 30.0)
-    good = rows["quality"].to_numpy().astype(float)
-    bucket, value = rows["bucket"].combine_chunks(), rows["value"].combine_chunks()
-    cut = bucket.offsets.to_numpy().astype(np.int64)
-    return fit_arrays(cut, bucket.values.to_numpy(), value.values.to_numpy(), good, steps)
+    return Classifier(np.frombuffer(model.weights), model.bias, model.slope, model.shift)
 
 
 def fit_arrays(cut: np.ndarray, bucket: np.ndarray, value: np.ndarray, good: np.ndarray, steps: int = 80, rate: float = 0.05, penalty: float = 1e-4) -> Classifier:
@@ -189,10 +203,15 @@ def judge(docs: DataFrame, model: Classifier, prefix: str = "") -> DataFrame:
     return beside(docs, [(prefix + n.removeprefix(prefix), kind) for n, kind in added], start)
 
 
-def rules_table(docs: DataFrame, labels: DataFrame, bound: int = 2000) -> DataFrame:
+def rules_table(docs: DataFrame, labels: DataFrame, bound: int = 3000) -> DataFrame:
+    """Per row: doc_id, the base counts, base_failed, probability, kept. Rows that share an id are judged each by its text.
+
+    A null text has no words, so it fails the base rules. Extra columns are not read; an empty table gives no rows.
+    """
     return judge(docs.select("doc_id", "text"), fit(docs, labels, bound)).select("doc_id", *BASE_COLUMNS, "base_failed", "probability", "kept")
 
 
-def kept(docs: DataFrame, labels: DataFrame, bound: int = 2000) -> DataFrame:
+def kept(docs: DataFrame, labels: DataFrame, bound: int = 3000) -> DataFrame:
     """The documents that pass the rules and the classifier, with their columns."""
-    return judge(docs, fit(docs, labels, bound), "__").filter("__kept").select(*[F.col(quoted(c)) for c in docs.columns])
+    own = free(docs, "__")
+    return judge(docs, fit(docs, labels, bound), own).filter(F.col(f"{own}kept")).select(*[F.col(quoted(c)) for c in docs.columns])
