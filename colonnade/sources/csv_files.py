@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from colonnade.functions import cells
+from colonnade.sources import records
 
 # Delimiters in order of preference.
 DELIMITERS = [",", ";", "\t", "|"]
@@ -22,6 +23,7 @@ MISSING_WORDS = [
 ]
 
 SURPLUS = "__surplus"
+HEADER_LINES = 200  # lines among which the header is looked for
 
 
 class EmptyDatasetError(ValueError):
@@ -152,10 +154,13 @@ def is_row_index(df: DataFrame, name: str) -> bool:
     return bool(row["n"] and row["whole"]) and row["n"] == row["d"] == row["hi"] - row["lo"] + 1
 
 
-def has_torn_records(spark: SparkSession, paths: list[str]) -> bool:
-    """Whether some line holds an odd number of quotes, so a quoted field goes on in the next line."""
-    quotes = F.length("value") - F.length(F.replace("value", F.lit('"')))
-    return bool(spark.read.text(paths).agg(F.bool_or(quotes % 2 == 1)).first()[0])
+def may_have_torn_records(lines: DataFrame, delimiter: str) -> bool:
+    """Whether some line holds an odd number of quotes, or one inside an unquoted field; without, no record is torn."""
+    text = F.col("line").cast("string")
+    quotes = F.length(text) - F.length(F.replace(text, F.lit('"')))
+    d = records.escaped(delimiter)
+    inner = text.rlike(f'[^"{d}]"[^"\\r{d}]')
+    return bool(lines.agg(F.bool_or((quotes % 2 == 1) | inner)).first()[0])
 
 
 def read_csv(
@@ -181,19 +186,27 @@ def read_csv(
     report.add("encoding_detection", f"file encoding {encoding}", encoding=encoding)
     report.add("delimiter_detection", f"column delimiter {delimiter!r}", delimiter=delimiter)
 
+    lines = records.lines_of(spark, paths)
+    begin = [r["line"] for r in lines.filter("block = 0").select("line").take(HEADER_LINES)]
+    first = records.first_record([x.removeprefix(b"\xef\xbb\xbf") for x in begin], delimiter).removesuffix(b"\r")
+    fields = next(csv.reader([*first.decode(encoding, "replace").splitlines(keepends=True)], delimiter=delimiter))
+    names, renamed = repair_header(fields)
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, SURPLUS]])
     # Spark's reader is given the JVM's name of the charset.
     options = {"header": True, "sep": delimiter, "encoding": "ISO-8859-1" if encoding == "latin-1" else "UTF-8",
                "mode": "PERMISSIVE", "escape": '"'}
-    if has_torn_records(spark, paths):
-        options["multiLine"] = True
-        report.add("multi_line_records", "quoted fields hold line breaks; each file is read by one task")
-    header = top[0]["value"]
-    if encoding == "latin-1":
-        header = spark.read.option("encoding", "ISO-8859-1").option("sep", "\x00").csv(paths).take(1)[0][0] or header
-    header = header.lstrip("﻿")
-    names, renamed = repair_header(next(csv.reader([header], delimiter=delimiter)))
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, SURPLUS]])
-    raw = spark.read.options(**options).schema(schema).csv(paths)
+    torn = 0
+    if may_have_torn_records(lines, delimiter):
+        crossing, torn, stray = records.borders(records.summaries(lines, delimiter, len(names)), len(names))
+        if stray:
+            report.add("stray_quotes", f"{stray} lines open a quoted field that no quote closes; each is read as a row", rows=stray)
+    if torn:
+        report.add("multi_line_records", f"{torn} records hold line breaks in quoted fields", rows=torn)
+        cut = records.records(lines, delimiter, len(names), crossing, encoding).filter("NOT header").filter(F.trim("record") != "")
+        parsed = F.from_csv("record", ", ".join(f"{cells.sql_name(n)} string" for n in [*names, SURPLUS]), {"sep": delimiter, "escape": '"', "mode": "PERMISSIVE"})
+        raw = cut.select(parsed.alias("row")).select("row.*")
+    else:
+        raw = spark.read.options(**options).schema(schema).csv(paths)
     too_long = F.col(SURPLUS).isNotNull()
     kept = raw.filter(~too_long).select(*[
         F.when(~cells.quoted(n).isin(MISSING_WORDS), cells.quoted(n)).alias(n) for n in names
