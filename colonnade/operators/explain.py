@@ -49,17 +49,24 @@ def by_original_feature(importances: DataFrame, value: str = "importance") -> Da
 
 
 def with_donor(df: DataFrame, keys: list[str], vector: str, salt, rows: int, settings: Settings = DEFAULTS) -> DataFrame:
-    """Pair every row with another row's vector: a random permutation of the rows.
+    """Pair every row with another row's vector: one random permutation of all rows.
 
-    Rows are dealt by hash into groups of bounded size and each takes the vector of the next
-    row of its group in hash order, the last one that of the first. One shuffle, no global order.
+    In the order of the key's salted hash every row takes the vector of the next one, the last row that of the first, so
+    the rows form one cycle. The order is cut by the hash, which is uniform, into ranges of about `range_rows` rows; one
+    exchange sorts them. Only each range's last row looks into another range, for its first vector: one row per range.
     """
-    groups = max(1, math.ceil(rows / 10_000))
+    ranges = max(1, math.ceil(rows / settings.range_rows))
     h = cells.hash_order(keys, salt)
-    dealt = df.withColumn("h", h).withColumn("deal", F.pmod(F.xxhash64("h"), F.lit(groups)))
+    part = F.conv(F.substring("h", 1, 13), 16, 10).cast("bigint") / F.lit(float(16 ** 13))  # in [0, 1), ascending with h
+    dealt = df.withColumn("h", h).withColumn("deal", F.floor(part * ranges))
     order = Window.partitionBy("deal").orderBy("h", *keys)
-    start = F.first(vector).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return dealt.withColumn("donor", F.coalesce(F.lead(vector).over(order), start)).drop("h", "deal")
+    first = F.first(F.struct(vector)).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    led = dealt.select("*", F.lead(F.struct(vector)).over(order).alias("next"), first.alias("head"))
+    inner = led.filter("next IS NOT NULL")
+    across = Window.orderBy("deal")
+    ends = led.filter("next IS NULL").withColumn("next", F.coalesce(
+        F.lead("head").over(across), F.first("head").over(across.rowsBetween(Window.unboundedPreceding, Window.currentRow))))
+    return inner.unionByName(ends).withColumn("donor", F.col("next")[vector]).drop("h", "deal", "next", "head")
 
 
 def permutation_importance(
@@ -70,42 +77,50 @@ def permutation_importance(
     classification: bool,
     repeats: int | None = None,
     settings: Settings = DEFAULTS,
+    by_column: bool = False,
 ) -> DataFrame:
     """Mean and deviation of the score lost when one feature is shuffled, per feature.
 
-    `df` has the keys, `label` and `features`; `score` adds `prediction` from `features`.
-    Per repeat the rows are shuffled once; one row per feature is then generated, scored and
-    summed within the same stage, so the stacked table is never stored.
+    `df` has the keys, `label` and `features`; `score` adds `prediction` from `features`. Per repeat the rows are
+    permuted once. A row is scored again only for the features in which it differs from its donor: elsewhere its
+    prediction stays, so mostly empty features (one-hot levels) cost few rows. by_column: all features made from one
+    column are shuffled together, and `feature` is that column.
     """
     repeats = settings.permutation_repeats if repeats is None else repeats
     if not 1 <= repeats <= 20:
         raise ValueError("repeats must lie between 1 and 20")
-    base = df.select(*keys, "label", vector_to_array("features").alias("x"))
-    rows = base.count()
-    names = F.array(*[F.struct(F.lit(i).alias("at"), F.lit(f).alias("feature"), F.lit(o).alias("original_feature"))
-                      for i, (f, o) in enumerate(lineage)])
-
-    def quality(scored: DataFrame, by: list[str]) -> DataFrame:
-        e = F.col("label") - F.col("prediction")
-        if classification:
-            value = F.avg((F.col("label") == F.col("prediction")).cast("double"))
-        else:
-            value = 1.0 - F.try_divide(F.avg(e * e), F.var_pop("label"))
-        return scored.groupBy(*by).agg(value.alias("quality"))
-
-    plain = quality(score(df.select(*keys, "label", "features")), []).first()["quality"]
+    if by_column:
+        groups: dict[str, list[int]] = {}
+        for i, (_, origin) in enumerate(lineage):
+            groups.setdefault(origin, []).append(i)
+        parts = [(origin, origin, at) for origin, at in groups.items()]
+    else:
+        parts = [(f, o, [i]) for i, (f, o) in enumerate(lineage)]
+    gain = (F.col("label") == F.col("prediction")).cast("double") if classification else -F.pow(F.col("label") - F.col("prediction"), F.lit(2.0))
+    base = score(df.select(*keys, "label", "features")).select(*keys, "label", vector_to_array("features").alias("x"), gain.alias("before"))
+    total = base.agg(F.count("*").alias("n"), F.sum("before").alias("sum"), F.var_pop("label").alias("spread")).first()
+    rows = total["n"]
+
+    def quality(sums):
+        """Accuracy, or r2, from the rows' sum of gains."""
+        mean = sums / F.lit(float(rows) if rows else None)
+        return mean if classification else 1.0 + F.try_divide(mean, F.lit(total["spread"]))
+
+    differs = lambda at: F.exists(F.array(*map(F.lit, at)), lambda i: ~F.get("x", i).eqNullSafe(F.get("donor", i)))
+    names = F.array_compact(F.array(*[F.when(differs(at), F.struct(F.lit(k).alias("part"), F.array(*map(F.lit, at)).alias("at"))) for k, (_, _, at) in enumerate(parts)]))
     shuffled = None
     for r in range(repeats):
         donors = with_donor(base, keys, "x", f"{settings.seed}-repeat-{r}", rows, settings)
         spread = donors.select("*", F.inline(names))
-        hybrid = F.transform("x", lambda v, i: F.when(i == F.col("at"), F.element_at("donor", i + 1)).otherwise(v))
-        one = spread.select(
-            "label", "feature", "original_feature", F.lit(r).alias("repeat"), array_to_vector(hybrid).alias("features")
-        )
+        hybrid = F.transform("x", lambda v, i: F.when(F.array_contains("at", i), F.get("donor", i)).otherwise(v))
+        one = spread.select("label", "before", "part", F.lit(r).alias("repeat"), array_to_vector(hybrid).alias("features"))
         shuffled = one if shuffled is None else shuffled.unionByName(one)
-    lost = quality(score(shuffled), ["feature", "original_feature", "repeat"]).withColumn(
-        "drop", F.lit(plain) - F.col("quality")
-    )
+    changes = score(shuffled).groupBy("part", "repeat").agg(F.sum(gain - F.col("before")).alias("change"))
+    every = df.sparkSession.createDataFrame([(k, r, f, o) for k, (f, o, _) in enumerate(parts) for r in range(repeats)],
+                                            "part int, repeat int, feature string, original_feature string")
+    whole = F.lit(total["sum"])
+    lost = every.join(changes, ["part", "repeat"], "left").withColumn(
+        "drop", quality(whole) - quality(whole + F.coalesce("change", F.lit(0.0))))
     return lost.groupBy("feature", "original_feature").agg(
         F.round(F.avg("drop"), 4).alias("importance_mean"), F.round(F.stddev_pop("drop"), 4).alias("importance_std")
     )

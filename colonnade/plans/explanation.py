@@ -34,11 +34,11 @@ def importance(run: Run, model_id: str) -> DataFrame | None:
     return explain.native_importance(run.spark, run.models[model_id], run.prepared.lineage)
 
 
-def permutation(run: Run, model_id: str, repeats: int | None = None) -> DataFrame:
-    """Permutation importance on the whole validation fold."""
+def permutation(run: Run, model_id: str, repeats: int | None = None, by_column: bool = False) -> DataFrame:
+    """Permutation importance on the whole validation fold, per feature or per original column."""
     return explain.permutation_importance(
         run.fold(VALIDATION), run.prepared.keys, scorer(run, model_id), run.prepared.lineage,
-        bool(run.labels), repeats, run.settings,
+        bool(run.labels), repeats, run.settings, by_column,
     )
 
 

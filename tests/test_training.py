@@ -6,7 +6,7 @@ from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
 
-from colonnade.functions import storage
+from colonnade.functions import cells, storage
 from colonnade.operators import explain, models, split, target
 from colonnade.plans import evaluation, explanation, training
 from colonnade.settings import Settings
@@ -178,12 +178,54 @@ def test_exact_shapley_of_a_linear_model(spark):
     assert got[(3, "a")]["phi"] == pytest.approx(3.0 * (3 - 10)) and got[(3, "b")]["phi"] == pytest.approx(-2.0 * (9 % 7 - 2))
 
 
-def test_donors_are_a_permutation(spark):
-    df = spark.range(500).selectExpr("id AS k", "array(cast(id AS double)) AS x")
-    for rows in (500, 50_000):
-        out = explain.with_donor(df, ["k"], "x", "s", rows).select("k", F.col("donor")[0].alias("d")).collect()
-        assert sorted(r["d"] for r in out) == [float(i) for i in range(500)]
-        assert sum(r["k"] == r["d"] for r in out) <= 1
+def test_donors_are_one_cycle_in_hash_order(spark):
+    from dataclasses import replace
+
+    df = spark.range(500).selectExpr("id AS k", "array(cast(id AS double)) AS x").repartition(3)
+    order = [r["k"] for r in df.select("k", cells.hash_order(["k"], "s").alias("h")).orderBy("h").collect()]
+    want = {k: float(order[(i + 1) % 500]) for i, k in enumerate(order)}
+    for size in (250_000, 40, 1):
+        out = explain.with_donor(df, ["k"], "x", "s", 500, replace(Settings(), range_rows=size)).select("k", F.col("donor")[0].alias("d"))
+        assert {r["k"]: r["d"] for r in out.collect()} == want
+    assert explain.with_donor(df.limit(0), ["k"], "x", "s", 0).collect() == []
+
+
+@pytest.mark.parametrize("classification", [True, False])
+def test_permutation_importance_by_hand(spark, classification):
+    """Every score recomputed from the donors; one-hot features together by column, unused ones lose nothing."""
+    import numpy as np
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    rng = random.Random(3)
+    rows = [(i, [rng.random(), float(i % 3 == 0), float(i % 3 == 1), float(i % 3 == 2), 5.0]) for i in range(200)]
+    f = lambda x: float(x[0] + x[1] - 2 * x[3] > 0) if classification else x[0] + x[1] - 2 * x[3]
+    rows = [(k, x, f(x) if k % 10 else 1.0) for k, x in rows]
+    df = spark.createDataFrame(rows, "k int, x array<double>, label double").withColumn("features", array_to_vector("x")).drop("x")
+    v = vector_to_array("features")
+    raw = v[0] + v[1] - 2 * v[3]
+    score = lambda d: d.withColumn("prediction", (raw > 0).cast("double") if classification else raw)
+    lineage = [("a", "a"), ("c_0", "c"), ("c_1", "c"), ("c_2", "c"), ("d", "d")]
+    y, x = np.array([r[2] for r in rows]), np.array([r[1] for r in rows])
+
+    def quality(z):
+        p = np.array([f(row) for row in z])
+        return (p == y).mean() if classification else 1 - ((p - y) ** 2).mean() / y.var()
+
+    donors = []
+    for r in range(3):
+        base = df.select("k", v.alias("x"))
+        got = {q["k"]: q["donor"] for q in explain.with_donor(base, ["k"], "x", f"42-repeat-{r}", 200).collect()}
+        donors.append(np.array([got[k] for k, *_ in rows]))
+    for by_column, parts in ((False, {"a": [0], "c_0": [1], "c_1": [2], "c_2": [3], "d": [4]}), (True, {"a": [0], "c": [1, 2, 3], "d": [4]})):
+        out = by(explain.permutation_importance(df, ["k"], score, lineage, classification, 3, by_column=by_column), "feature")
+        assert set(out) == set(parts)
+        for name, at in parts.items():
+            lost = []
+            for donor in donors:
+                z = x.copy()
+                z[:, at] = donor[:, at]
+                lost.append(quality(x) - quality(z))
+            assert out[name]["importance_mean"] == pytest.approx(np.mean(lost), abs=6e-5) and out[name]["importance_std"] == pytest.approx(np.std(lost), abs=6e-5)
 
 
 def test_unsuitable_table_is_refused(spark):
