@@ -79,6 +79,8 @@ def test_explanations(run, spark):
     assert explanation.importance(run, naive) is None
     perm = explanation.permutation(run, trees, 3).orderBy(F.desc("importance_mean")).collect()
     assert perm[0]["feature"] == "f1" and perm[0]["importance_mean"] > 0
+    exact = explanation.attributions(run, trees)
+    assert explain.global_attribution(exact).first()["feature"] == "f1" and exact.count() == 4 * run.rows["validation"]
     phi = explanation.attributions(run, trees, orders=3).persist()
     assert phi.select("k").distinct().count() == run.rows["validation"]
     assert explain.global_attribution(phi).first()["feature"] == "f1"
@@ -87,6 +89,10 @@ def test_explanations(run, spark):
     assert points.agg(F.min("normalized_value"), F.max("normalized_value")).first() == (0.0, 1.0)
     assert explain.dependence(points, "f1").count() == run.rows["validation"]
     local = explanation.local(run, trees, run.fold("test").orderBy("k").limit(2))
+    sums = {r["k"]: r["s"] for r in explanation.attributions(run, trees, run.fold("test").orderBy("k").limit(2)).groupBy("k").agg(F.sum("phi").alias("s")).collect()}
+    for r in local["prediction"].collect():  # a row's contributions lead from the base value to the probability of the last class
+        last = r["probability"] if r["y_pred"] == run.labels[-1] else 1 - r["probability"]
+        assert sums[r["k"]] + r["base_value"] == pytest.approx(last, abs=2e-4)
     assert local["prediction"].count() == 2 and local["contributions"].groupBy("k").count().first()["count"] == 4
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
-from colonnade.operators import explain, split
+from colonnade.operators import explain, split, tree_attribution
 from colonnade.plans import explanation
 from workload.registry import LINE_KEYS, hash_sql, query, table, union_all
 from workload.train import segment_run, wealth_run
@@ -72,6 +72,13 @@ def xai4(spark, sf):
     return phi(spark, sf).withColumn("phi", F.round("phi", 6))
 
 
+@query("xai5_exact_forest")
+def xai5_forest(spark, sf):
+    """The fitted forest's exact attributions, by feature."""
+    run = wealth_run(spark, sf)
+    return explain.global_attribution(explanation.attributions(run, tree_of(run)))
+
+
 @query("xai5_sampled_shapley")
 def xai5(spark, sf):
     run = wealth_run(spark, sf)
@@ -89,6 +96,34 @@ def xai5_linear(spark, sf):
     return phi_.select(*LINE_KEYS, "feature", "feature_value", F.round("phi", 4).alias("phi"))
 
 
+# A small ensemble whose attributions are checked. Per node: tree, weight, id, feature (-1: leaf), threshold,
+# categories, left, right, cover, value. Features are the quantity, the discount and the tax.
+TREES = [
+    (0, 1.0, 0, 0, 24.0, None, 1, 2, 600.0, [0.0]), (0, 1.0, 1, 1, 0.05, None, 3, 4, 280.0, [0.0]), (0, 1.0, 2, 0, 40.0, None, 5, 6, 320.0, [0.0]),
+    (0, 1.0, 3, -1, None, None, -1, -1, 150.0, [1.25]), (0, 1.0, 4, -1, None, None, -1, -1, 130.0, [-0.5]),
+    (0, 1.0, 5, -1, None, None, -1, -1, 200.0, [2.0]), (0, 1.0, 6, -1, None, None, -1, -1, 120.0, [3.5]),
+    (1, 0.5, 0, 1, 0.03, None, 1, 2, 600.0, [0.0]), (1, 0.5, 1, -1, None, None, -1, -1, 240.0, [4.0]), (1, 0.5, 2, -1, None, None, -1, -1, 360.0, [-1.0]),
+]
+
+
+@query("xai5_tree_attributions", f"""WITH v AS (SELECT *,
+  (150 * 1.25::DOUBLE - 130 * 0.5::DOUBLE + 200 * 2.0::DOUBLE + 120 * 3.5::DOUBLE) / 600 AS none,
+  CASE WHEN l_quantity <= 24 THEN (150 * 1.25::DOUBLE - 130 * 0.5::DOUBLE) / 280 WHEN l_quantity <= 40 THEN 2.0::DOUBLE ELSE 3.5::DOUBLE END AS q,
+  280 / 600::DOUBLE * CASE WHEN l_discount <= 0.05 THEN 1.25::DOUBLE ELSE -0.5::DOUBLE END + (200 * 2.0::DOUBLE + 120 * 3.5::DOUBLE) / 600 AS d,
+  CASE WHEN l_quantity <= 24 THEN CASE WHEN l_discount <= 0.05 THEN 1.25::DOUBLE ELSE -0.5::DOUBLE END WHEN l_quantity <= 40 THEN 2.0::DOUBLE ELSE 3.5::DOUBLE END AS qd,
+  0.5::DOUBLE * (CASE WHEN l_discount <= 0.03 THEN 4.0::DOUBLE ELSE -1.0::DOUBLE END - (240 * 4.0::DOUBLE - 360) / 600) AS second FROM lineitem)
+SELECT {_KEYS}, 'l_quantity' AS feature, l_quantity AS feature_value, round(((q - none) + (qd - d)) / 2 + 1e-9::DOUBLE, 6) AS phi FROM v
+UNION ALL SELECT {_KEYS}, 'l_discount', l_discount, round(((d - none) + (qd - q)) / 2 + second + 1e-9::DOUBLE, 6) FROM v
+UNION ALL SELECT {_KEYS}, 'l_tax', l_tax, round(1e-9::DOUBLE, 6) FROM v""")
+def xai5_trees(spark, sf):
+    """Exact attributions of a given ensemble on every line."""
+    columns = ["l_quantity", "l_discount", "l_tax"]
+    rows = table(spark, sf, "lineitem").select(*LINE_KEYS, array_to_vector(F.array(*columns)).alias("features"))
+    phi_ = tree_attribution.tree_attributions(rows, LINE_KEYS, spark.createDataFrame(TREES, tree_attribution.NODES), [(c, c) for c in columns])
+    # shifted away from the half-way points of rounding
+    return phi_.select(*LINE_KEYS, "feature", "feature_value", F.round(F.col("phi") + 1e-9, 6).alias("phi"))
+
+
 @query("xai6_global_attribution", f"""SELECT feature, round(avg(abs(phi)), 4) AS mean_abs_phi, count(*) AS n FROM {PHI} GROUP BY 1""")
 def xai6(spark, sf):
     return explain.global_attribution(phi(spark, sf))
