@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from colonnade.functions import cells
+from colonnade.functions.storage import stored
 from colonnade.operators import audit, catalog, features, split, target as targets
 from colonnade.settings import DEFAULTS, Settings
 
@@ -107,6 +108,7 @@ def prepare(
         folds, strategy = split.three_way_split(
             narrow, target, keys, problem_type, test_size, validation_size, seed, settings
         )
+    folds = stored(folds, "folds")  # every fit below reads it
     train = folds.filter(F.col("fold").isin(*fit_on))
     types = catalog.column_types(train.select(*[cells.quoted(c) for c in active]), settings)
     routing = features.route(types, active, extract_dates)

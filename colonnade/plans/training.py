@@ -1,22 +1,26 @@
 """Train, tune, rank and check models on fixed folds.
 
-The driver loops over a handful of candidates; every fit, score and metric is a Spark job
-over the whole fold. A candidate that fails is recorded and the rest go on.
+Every fit, score and metric is a Spark job over the whole fold; some candidates are fitted at the same time, so one's
+small jobs fill the cores that another's leave. A candidate that fails is recorded and the rest go on. A run has a
+deadline that every stage reads: what begins later is listed as `not_tried`.
 """
 
 from __future__ import annotations
 
 import itertools
+import math
 import time
-from dataclasses import dataclass, field
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass, field, replace
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colonnade.functions import cells
 from colonnade.functions.storage import stored
-from colonnade.operators import classification, diagnosis, models, regression, suitability
+from colonnade.operators import catalog, classification, diagnosis, models, regression, suitability
 from colonnade.operators import target as targets
 from colonnade.operators.split import TEST, TRAIN, VALIDATION, check_folds
 from colonnade.plans.prepare import Prepared, prepare
@@ -84,6 +88,10 @@ class Run:
     members: dict[str, list[str]] = field(default_factory=dict)
     entries: list[dict] = field(default_factory=list)
     history: list[tuple] = field(default_factory=list)
+    deadline: float = math.inf  # on the clock of time.monotonic()
+
+    def out_of_time(self) -> bool:
+        return time.monotonic() > self.deadline
 
     @property
     def spark(self) -> SparkSession:
@@ -155,11 +163,14 @@ def start_run(
     """Check suitability, prepare the folds and store the feature table that all fits read."""
     spark = df.sparkSession
     features = options.get("selected") or [c for c in df.columns if c not in [target, *keys]]
+    given = [c for c in catalog.profiled_columns(df) if c != target and c not in keys]
+    # checks, audit and split read the columns of the run many times, and df may be a query
+    df = stored(df.select(*[cells.quoted(c) for c in dict.fromkeys([*keys, *features, target])]), "source")
     findings = suitability.training_suitability(df, target, problem_type, features)
     blocked = findings.filter("severity = 'blocking'").collect()
     if blocked:
         raise TrainingError("; ".join(f"{r['code']} {r['detail']}" for r in blocked))
-    prepared = prepare(df, target, keys, problem_type, settings=settings, **options)
+    prepared = replace(prepare(df, target, keys, problem_type, settings=settings, **options), candidates=given)
     table = prepared.transformed()
     labels = None
     low = None
@@ -171,7 +182,10 @@ def start_run(
         low = targets.class_balance(df, target).agg(F.min("percentage")).first()[0]
     else:
         table = table.withColumn("label", models.regression_label(table, target))
-    table = stored(table.select(*keys, "fold", "label", "features"), "prepared")
+    # as many sorted parts as there are cores, so that every fit of a small table uses them and reads rows in one order
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    own = [cells.quoted(k) for k in keys]
+    table = stored(table.select(*own, "fold", "label", "features").repartition(parts, *own).sortWithinPartitions(*own), "prepared")
     rows = {r["fold"]: r["n"] for r in check_folds(table).collect()}
     repeated = sum(rows.values()) - table.select(*keys).distinct().count()
     if repeated:
@@ -181,25 +195,59 @@ def start_run(
     return Run(run_id, prepared, table, rows, problem_type, metric, labels, settings)
 
 
-def try_candidate(run: Run, candidate: models.Candidate) -> dict:
-    """Fit on the training fold, score validation and training folds; a failure becomes a row."""
+def _entered(run: Run, candidate: models.Candidate) -> dict:
+    """A new row of the leaderboard, not tried yet."""
     entry = {
         "run_id": run.run_id, "model_id": f"model_{len(run.entries) + 1:02d}", "model_name": candidate.name,
         "engine": candidate.engine, "problem_type": run.problem_type, "is_naive_baseline": candidate.naive,
         "primary_metric": run.primary_metric, "tuning_round": candidate.round, "tuning_stage": candidate.stage,
-        "status": "failed", "error": None,
+        "status": "not_tried", "error": None, "training_time_seconds": 0.0,
     }
+    run.entries.append(entry)
+    return entry
+
+
+def _fit(run: Run, candidate: models.Candidate, entry: dict) -> None:
     began = time.perf_counter()
     try:
-        estimator = candidate.build()
-        run.models[entry["model_id"]] = estimator.fit(run.fold(TRAIN))
+        run.models[entry["model_id"]] = candidate.build().fit(run.fold(TRAIN))
         entry["training_time_seconds"] = round(time.perf_counter() - began, 3)
         _add_scores(run, entry)
     except Exception as e:  # a learner that cannot fit must not end the run
-        entry["error"] = str(e)
-        entry.setdefault("training_time_seconds", round(time.perf_counter() - began, 3))
-    run.entries.append(entry)
-    return entry
+        entry.update(status="failed", error=str(e))
+        entry["training_time_seconds"] = entry["training_time_seconds"] or round(time.perf_counter() - began, 3)
+
+
+def at_once(run: Run, tasks: list, pool: str) -> None:
+    """Calls the functions, some at the same time, each in a scheduler pool of its own (shared fairly where Spark is told to)."""
+    def call(task, name):
+        run.spark.sparkContext.setLocalProperty("spark.scheduler.pool", name)
+        try:
+            task()
+        finally:
+            run.spark.sparkContext.setLocalProperty("spark.scheduler.pool", None)
+
+    with ThreadPoolExecutor(max(1, run.settings.parallel_fits)) as workers:
+        for done in [workers.submit(inheritable_thread_target(run.spark)(call), t, f"{pool}-{i}") for i, t in enumerate(tasks)]:
+            done.result()
+
+
+def try_candidates(run: Run, candidates: list[models.Candidate], needed: int = 0) -> list[dict]:
+    """Fit on the training fold, score validation and training folds; a failure becomes a row.
+
+    Candidates behind the first `needed` are left out once the run is out of time.
+    """
+    entries = [_entered(run, c) for c in candidates]
+
+    def task(i):
+        return lambda: None if i >= needed and run.out_of_time() else _fit(run, candidates[i], entries[i])
+
+    at_once(run, [task(i) for i in range(len(candidates))], "candidates")
+    return entries
+
+
+def try_candidate(run: Run, candidate: models.Candidate) -> dict:
+    return try_candidates(run, [candidate], 1)[0]
 
 
 def _add_scores(run: Run, entry: dict) -> None:
@@ -241,44 +289,67 @@ def add_blend(run: Run, top: int = 3) -> dict | None:
 
 
 def tune(run: Run) -> DataFrame:
-    """Rounds towards the target score: as trained, tuned trees, blend. Stops when it is reached."""
+    """Rounds towards the target score: as trained, tuned trees, blend. Stops when it is reached or the time is up."""
     _note(run, 1, "first models")
     if run.achieved():
         return run.tuning_history()
-    for candidate in models.second_round(run.problem_type, len(run.labels or []), run.settings):
-        try_candidate(run, candidate)
+    try_candidates(run, models.second_round(run.problem_type, len(run.labels or []), run.settings))
     _note(run, 2, "tuned trees")
-    if run.achieved():
+    if run.achieved() or run.out_of_time():
         return run.tuning_history()
     add_blend(run)
     _note(run, 3, "blend")
     return run.tuning_history()
 
 
-def _not_tried(run: Run, label: str) -> None:
-    run.entries.append({
-        "run_id": run.run_id, "model_id": f"model_{len(run.entries) + 1:02d}", "model_name": label, "engine": "search", "problem_type": run.problem_type,
-        "is_naive_baseline": False, "primary_metric": run.primary_metric, "tuning_round": 1, "tuning_stage": "search", "status": "not_tried",
-        "error": None, "training_time_seconds": 0.0,
-    })
+def _score_on_part(run: Run, candidate: models.Candidate, part: DataFrame) -> float | None:
+    """The validation score of a fit on a part of the training fold; none if it fails."""
+    try:
+        model = candidate.build().fit(part)
+        scored = models.score(model, run.fold(VALIDATION), [*run.prepared.keys, "fold"], run.labels)
+        found = fold_metrics(scored, run.problem_type, run.labels, ["fold"], run.settings, run.rows[VALIDATION]).first()
+        return found["metrics"].get(run.primary_metric)
+    except Exception:  # the fit on the whole fold, or its absence, is what the leaderboard shows
+        return None
 
 
 def search(run: Run, grids: dict[str, tuple], seconds: float) -> list[dict]:
-    """Try every parameter combination on the fixed folds until the time is up; the rest is listed as `not_tried`.
+    """Successive halving over all parameter combinations; returns those fitted on the whole training fold.
 
-    `grids` maps a name to (estimator class, {param: values}); the clock is read between fits.
+    `grids` maps a name to (estimator class, {param: values}). Combinations are first fitted on growing parts of the
+    training fold, each part holding the one before (rows are chosen by the hash of their key), and the better half goes
+    on. All combinations stay on the leaderboard: those sorted out as `eliminated` with part and score, those that the
+    time does not reach as `not_tried`. The clock is read before each fit.
     """
-    began, tried = time.monotonic(), []
+    deadline = min(run.deadline, time.monotonic() + seconds)
+    late = lambda: time.monotonic() > deadline
+    combinations = []
     for name, (build, grid) in grids.items():
         for values in itertools.product(*grid.values()):
             params = dict(zip(grid, values))
             label = f"{name} " + " ".join(f"{k}={v}" for k, v in params.items())
-            if time.monotonic() - began > seconds:
-                _not_tried(run, label)
-                continue
             candidate = models.Candidate(label, "search", lambda b=build, p=params: b(**p), stage="search", params=params)
-            tried.append(try_candidate(run, candidate))
-    return tried
+            combinations.append((candidate, _entered(run, candidate)))
+    sign = 1 if diagnosis.is_higher_better(run.primary_metric) else -1
+    place = F.conv(F.substring(cells.hash_order(run.prepared.keys, f"{run.settings.seed}-search"), 1, 13), 16, 10).cast("bigint") / F.lit(float(16 ** 13))
+    left = combinations
+    for size in sorted(run.settings.search_rungs):
+        if len(left) < 2 or run.rows[TRAIN] * size < run.settings.search_rows:
+            continue
+        part, scores = run.fold(TRAIN).filter(place < size), {}
+
+        def task(i, part=part, scores=scores):
+            if not late():
+                scores[i] = _score_on_part(run, left[i][0], part)  # noqa: B023
+
+        at_once(run, [lambda i=i: task(i) for i in range(len(left))], "search")
+        order = sorted((i for i in scores if scores[i] is not None), key=lambda i: -sign * scores[i])
+        going = set(order[:math.ceil(len(left) / 2)])
+        for i in scores.keys() - going:
+            left[i][1].update(status="eliminated", error=f"sorted out on {size:g} of the training rows, {run.primary_metric} {scores[i]}")
+        left = [c for i, c in enumerate(left) if i in going]
+    at_once(run, [lambda c=c, e=e: None if late() else _fit(run, c, e) for c, e in left], "search")
+    return [e for _, e in combinations if e["status"] in ("success", "failed")]
 
 
 def check_on_test(run: Run) -> dict:
@@ -298,16 +369,19 @@ def train(
 ) -> Run:
     """A whole run: first round, search, tuning rounds, ranking, held-out check.
 
-    The search takes `grids`, or `models.search_grids` where none are given; an empty dictionary leaves it out.
+    The search takes `grids`, or `models.search_grids` where none are given; an empty dictionary leaves it out. No fit
+    begins later than the mode's seconds after the start, but for the naive model and one learner; the check of the
+    winner on the test fold follows in any case.
     """
-    limit = TIME_LIMITS[mode]
+    limit, began = TIME_LIMITS[mode], time.monotonic()
     run = start_run(df, target, keys, problem_type, settings=settings, **options)
-    for candidate in models.first_round(problem_type, run.rows[TRAIN], len(run.labels or []), settings):
-        try_candidate(run, candidate)
+    run.deadline = began + limit
+    try_candidates(run, models.first_round(problem_type, run.rows[TRAIN], len(run.labels or []), settings), 2)
     grids = models.search_grids(problem_type, settings) if grids is None else grids
     if grids:
         search(run, grids, min(max(limit / 3, 15), 120))
     if tuning:
         tune(run)
     check_on_test(run)
+    run.deadline = math.inf  # what the caller tries later has time of its own
     return run

@@ -38,6 +38,9 @@ class Settings:
     shap_background: int = 30
     shap_orders: int = 16
     permutation_repeats: int = 5
+    parallel_fits: int = 4              # candidates that are fitted at the same time
+    search_rungs: tuple = (0.25, 0.5)   # parts of the training fold on which a search sorts out combinations
+    search_rows: int = 1000             # rows a part must hold to be used for that
 
     # Physical limits. Work above these bounds takes the distributed form.
     one_task_rows: int = 2_000_000      # rows one task may hold as distinct values
@@ -56,7 +59,7 @@ class Settings:
         for f in fields(cls):
             raw = os.environ.get(ENV_PREFIX + f.name.upper())
             if raw is not None:
-                given[f.name] = type(f.default)(raw)
+                given[f.name] = tuple(map(float, raw.split(","))) if isinstance(f.default, tuple) else type(f.default)(raw)
         return cls(**given)
 
 

@@ -137,6 +137,32 @@ def test_search_stops_on_the_clock(run):
     del run.entries[n:]
 
 
+def test_search_halves_and_lists_everything(spark):
+    rng = random.Random(8)
+    rows = [(i, rng.gauss(0, 1), rng.gauss(0, 1)) for i in range(400)]
+    df = spark.createDataFrame([(k, a, b, int(a * b > 0)) for k, a, b in rows], "k int, a double, b double, y int")
+    run = training.start_run(df, "y", ["k"], target.BINARY, run_id="r", settings=Settings(search_rows=50))
+    grid = {"numTrees": [3, 9], "maxDepth": [1, 4], "seed": [1]}
+    tried = training.search(run, {"f": (RandomForestClassifier, grid), "bad": (RandomForestClassifier, {"maxDepth": [-1]})}, seconds=600)
+    status = [e["status"] for e in run.entries]
+    assert len(run.entries) == 5 and status.count("eliminated") == 3 and status.count("success") == 2 and len(tried) == 2
+    assert any("maxDepth=4" in e["model_name"] for e in tried) and run.entries[4]["status"] == "eliminated"
+    assert [r["status"] for r in run.leaderboard().orderBy("rank").collect()][:2] == ["success"] * 2
+
+
+def test_a_run_without_time_fits_the_least(spark):
+    rng = random.Random(9)
+    df = spark.createDataFrame([(i, rng.random(), rng.randint(0, 1)) for i in range(120)], "k int, a double, y int")
+    clock = training.TIME_LIMITS["quick"]
+    training.TIME_LIMITS["quick"] = -1
+    try:
+        run = training.train(df, "y", ["k"], target.BINARY, run_id="r")
+    finally:
+        training.TIME_LIMITS["quick"] = clock
+    assert [e["status"] for e in run.entries][:2] == ["success"] * 2 and {e["status"] for e in run.entries[2:]} == {"not_tried"}
+    assert run.winner()["test_score"] is not None
+
+
 def test_regression_run(spark):
     rng = random.Random(7)
     rows = [(i, rng.uniform(500, 3000), rng.randint(1, 5), rng.choice("NSEW")) for i in range(120)]
