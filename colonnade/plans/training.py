@@ -289,13 +289,13 @@ def add_blend(run: Run, top: int = 3) -> dict | None:
 
 
 def tune(run: Run) -> DataFrame:
-    """Rounds towards the target score: as trained, tuned trees, blend. Stops when it is reached or the time is up."""
+    """Rounds towards the target score: as trained, tuned trees, blend. Stops when it is reached."""
     _note(run, 1, "first models")
     if run.achieved():
         return run.tuning_history()
     try_candidates(run, models.second_round(run.problem_type, len(run.labels or []), run.settings))
     _note(run, 2, "tuned trees")
-    if run.achieved() or run.out_of_time():
+    if run.achieved():
         return run.tuning_history()
     add_blend(run)
     _note(run, 3, "blend")
@@ -370,13 +370,14 @@ def train(
     """A whole run: first round, search, tuning rounds, ranking, held-out check.
 
     The search takes `grids`, or `models.search_grids` where none are given; an empty dictionary leaves it out. No fit
-    begins later than the mode's seconds after the start, but for the naive model and one learner; the check of the
-    winner on the test fold follows in any case.
+    begins later than the mode's seconds after the start, but for the first round's, which are fitted at once. The blend
+    of fitted models and the check of the winner on the test fold follow in any case.
     """
     limit, began = TIME_LIMITS[mode], time.monotonic()
     run = start_run(df, target, keys, problem_type, settings=settings, **options)
     run.deadline = began + limit
-    try_candidates(run, models.first_round(problem_type, run.rows[TRAIN], len(run.labels or []), settings), 2)
+    first = models.first_round(problem_type, run.rows[TRAIN], len(run.labels or []), settings)
+    try_candidates(run, first, len(first))
     grids = models.search_grids(problem_type, settings) if grids is None else grids
     if grids:
         search(run, grids, min(max(limit / 3, 15), 120))

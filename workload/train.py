@@ -47,7 +47,7 @@ def segment_run(spark, sf):
     """A label that no feature explains, so the tuning rounds run to their end."""
     def make():
         c = table(spark, sf, "customer").withColumn("heavy", F.col("c_mktsegment").isin("BUILDING", "MACHINERY").cast("int"))
-        return training.train(c, "heavy", ["c_custkey"], targets.BINARY, run_id="run_segment",
+        return training.train(c, "heavy", ["c_custkey"], targets.BINARY, mode="standard", run_id="run_segment",
                               selected=["c_acctbal", "c_nationkey"])
     return kept(spark, sf, "segment", make)
 
