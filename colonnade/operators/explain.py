@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from colonnade.functions import cells
+from colonnade.functions.storage import stored
 from colonnade.settings import DEFAULTS, Settings
 
 Lineage = list[tuple[str, str]]
@@ -208,6 +209,7 @@ def summary_points(phi: DataFrame, keys: list[str], top: int, points: int = 100,
 
     The rows are the same for every feature: the first ones in hash order of the row key.
     """
+    phi = stored(phi, "attributions")  # read for the ranking, the choice of rows and the points
     best = [r["feature"] for r in global_attribution(phi, top).collect()]
     kept = phi.filter(F.col("feature").isin(best))
     # Every row has every feature, so a bounded top-n over one of them names the rows.
