@@ -7,6 +7,7 @@ makes a longer block.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -19,6 +20,7 @@ U = np.uint64
 IS_SPACE = np.zeros(256, dtype=bool)
 IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
 BASE = 0x9E3779B97F4A7C55 | 1
+LONG = 64  # bytes; a polynomial modulo 2^64 maps some different words of 1,024 letters and more to one value
 
 
 class Block(NamedTuple):
@@ -91,7 +93,10 @@ def _powers(n: int) -> list[np.ndarray]:
 
 
 def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each span (spans ascend and do not overlap): equal bytes, equal hash."""
+    """64-bit hash of each span (spans ascend and do not overlap): equal bytes, equal hash.
+
+    Spans of at most `LONG` bytes by a polynomial, all at once; longer ones, few but for lines, by BLAKE2b.
+    """
     out = np.empty(len(starts), dtype=np.uint64)
     i, n = 0, len(starts)
     while i < n:
@@ -103,6 +108,11 @@ def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray
         s, e = starts[i:j] - lo, ends[i:j] - lo
         out[i:j] = mix((sums[e] - sums[s]) * back[s] + (e - s).astype(np.uint64) * U(0xD6E8FEB86659FD93))
         i = j
+    far = np.flatnonzero(ends - starts > LONG)
+    if len(far):
+        raw = np.ascontiguousarray(data).data
+        digests = [hashlib.blake2b(raw[s:e], digest_size=8).digest() for s, e in zip(starts[far].tolist(), ends[far].tolist(), strict=True)]
+        out[far] = np.frombuffer(b"".join(digests), dtype="<u8")
     return out
 
 

@@ -70,3 +70,14 @@ def test_windows_stay_in_their_text(k):
     for value, (_, run) in zip(h.tolist(), expect, strict=True):
         assert by_run.setdefault(run, value) == value
     assert len(set(by_run.values())) == len(by_run)
+
+
+@pytest.mark.parametrize("size", [64, 1024, 2048, 4096])
+def test_long_words_have_hashes_of_their_own(size):
+    """A Thue-Morse word and its complement, which a polynomial modulo 2^64 does not tell apart."""
+    one = "".join("ab"[i.bit_count() & 1] for i in range(size))
+    other = one.translate(str.maketrans("ab", "ba"))
+    block = next(T.blocks(pa.array([f"{one} {other} {one}"])))
+    starts, ends, _ = T.spans(block)
+    h = T.hashes(block.data, starts, ends)
+    assert h[0] == h[2] != h[1]

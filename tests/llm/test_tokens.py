@@ -40,6 +40,13 @@ def test_huge_texts(text):
     assert token_counts.counts_of(pa.array([text]), BYTES)[1].tolist() == [len(BYTE_TOK.encode(text, add_special_tokens=False).ids)]
 
 
+@pytest.mark.parametrize("size", [1024, 4096])
+def test_words_that_a_polynomial_hash_confuses(size):
+    one = "".join("ab"[i.bit_count() & 1] for i in range(size))
+    texts = [one, one.translate(str.maketrans("ab", "ba"))]
+    assert token_counts.counts_of(pa.array(texts), BYTES)[1].tolist() == [len(BYTE_TOK.encode(t, add_special_tokens=False).ids) for t in texts]
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(TEXTS, min_size=1, max_size=4))
 def test_piece_ids(texts):
