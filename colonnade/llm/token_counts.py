@@ -24,32 +24,28 @@ LIMIT = 1024
 STABLE = re.compile(r"(?<=[!-~À-ÿ])(?=[ \t\n\r\x0b\x0c])")
 
 
-def spans_of(n: int, chunk: int = CHUNK, overlap: int = OVERLAP) -> list[tuple[int, int]]:
-    """First and last-plus-one code point of the chunks of a text of n."""
-    step = chunk - overlap
-    return [(i, min(n, i + chunk)) for i in range(0, max(1, n - overlap), step)]
-
-
 def count_spliced(text: str, encode, chunk: int = CHUNK, overlap: int = OVERLAP) -> int:
-    """Number of tokens of the text. encode: texts to arrays of their tokens' first code points."""
-    spans = spans_of(len(text), chunk, overlap)
-    begins = [first + s for (s, _), first in zip(spans, encode([text[s:e] for s, e in spans]), strict=True)]
-    total, (left, left_end), left_begins, frm = 0, spans[0], begins[0], 0
-    for (start, end), right in zip(spans[1:], begins[1:], strict=True):
-        at, wide = _common(text, start, left_end, left_begins, right, frm), overlap
-        while at is None and (left_end < end or start > left):
-            # no stable place in the overlap: widen it on both sides
-            wide *= 2
-            left_end, start = min(end, left_end + wide), max(left, start - wide)
-            a, b = encode([text[left:left_end], text[start:end]])
-            left_begins, right = a + left, b + start
-            at = _common(text, start, left_end, left_begins, right, frm)
-        if at is None:  # the chunks have become one
-            left_begins, left_end = right, end
+    """Number of tokens of the text. encode: texts to arrays of their tokens' first code points.
+
+    Each chunk begins inside the one before it, and the two are spliced at a stable place of their overlap. Without one
+    the earlier chunk doubles and the overlap grows to at most half of it, so a text is encoded a few times at most,
+    whatever its length; a text without any such place ends as one chunk.
+    """
+    n = len(text)
+    left, left_end, frm, total, wide = 0, min(len(text), chunk), 0, 0, overlap
+    [begins] = encode([text[:left_end]])
+    while left_end < n:
+        start, end = max(left, left_end - wide), min(n, left_end + chunk - overlap)
+        right = encode([text[start:end]])[0] + start
+        at = _common(text, start, left_end, begins, right, frm)
+        if at is None:
+            wide = max(overlap, min(4 * wide, left_end - left))
+            left_end = min(n, 2 * left_end - left)
+            begins = encode([text[left:left_end]])[0] + left
             continue
-        total += int(np.searchsorted(left_begins, at) - np.searchsorted(left_begins, frm))
-        left, left_end, left_begins, frm = start, end, right, at
-    return total + len(left_begins) - int(np.searchsorted(left_begins, frm))
+        total += int(np.searchsorted(begins, at) - np.searchsorted(begins, frm))
+        left, left_end, begins, frm, wide = start, end, right, at, overlap
+    return total + len(begins) - int(np.searchsorted(begins, frm))
 
 
 def _common(text: str, start: int, end: int, left: np.ndarray, right: np.ndarray, frm: int) -> int | None:

@@ -40,6 +40,18 @@ def test_huge_texts(text):
     assert token_counts.counts_of(pa.array([text]), BYTES)[1].tolist() == [len(BYTE_TOK.encode(text, add_special_tokens=False).ids)]
 
 
+@pytest.mark.parametrize("text", ["日本語 " * 75_000, "日本語" * 100_000, "ab1-" * 75_000, "x" * 300_000, "word " * 60_000, ("y" * 30_000 + " ") * 10])
+def test_huge_texts_are_encoded_a_few_times_at_most(text):
+    encode, sizes = token_counts.begins_by(BYTES), []
+
+    def counted(texts):
+        sizes.extend(map(len, texts))
+        return encode(texts)
+
+    assert token_counts.count_spliced(text, counted) == len(BYTE_TOK.encode(text, add_special_tokens=False).ids)
+    assert sum(sizes) <= 4 * len(text)
+
+
 @pytest.mark.parametrize("size", [1024, 4096])
 def test_words_that_a_polynomial_hash_confuses(size):
     one = "".join("ab"[i.bit_count() & 1] for i in range(size))
