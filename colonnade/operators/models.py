@@ -14,7 +14,6 @@ from pyspark.ml import Estimator, Model
 from pyspark.ml.classification import (
     GBTClassifier,
     LogisticRegression,
-    OneVsRest,
     OneVsRestModel,
     RandomForestClassifier,
 )
@@ -25,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from colonnade.functions import cells
+from colonnade.operators.boosting import SoftmaxBoostedTrees
 from colonnade.operators.features import _param, _Stage
 from colonnade.settings import DEFAULTS, Settings
 
@@ -109,9 +109,8 @@ def linear_classifier(rows: int, classes: int) -> LogisticRegression:
 
 
 def boosted_classifier(classes: int, **params) -> Estimator:
-    """Boosted trees; MLlib's are binary, so more classes are trained one against the rest."""
-    tree = GBTClassifier(**params)
-    return tree if classes == 2 else OneVsRest(classifier=tree, parallelism=2)
+    """Boosted trees: MLlib's for two classes, one softmax model for more."""
+    return GBTClassifier(**params) if classes == 2 else SoftmaxBoostedTrees(classes=classes, **params)
 
 
 def first_round(problem_type: str, rows: int, classes: int, settings: Settings = DEFAULTS) -> list[Candidate]:

@@ -29,11 +29,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from colonnade.functions.storage import scratch_path
+from colonnade.operators.boosting import SoftmaxBoostedTreesModel
 
 FORESTS = (RandomForestClassificationModel, RandomForestRegressionModel)
 BOOSTED = (GBTClassificationModel, GBTRegressionModel)
 SINGLE = (DecisionTreeClassificationModel, DecisionTreeRegressionModel)
 CLASSIFIERS = (RandomForestClassificationModel, DecisionTreeClassificationModel)
+PER_CLASS = (*CLASSIFIERS, SoftmaxBoostedTreesModel)  # a value for each class: its share, or its margin
 ROWS = 64  # rows scored at once
 
 NODES = ("tree int, weight double, id int, feature int, threshold double, categories array<double>, left int, right int, "
@@ -41,14 +43,16 @@ NODES = ("tree int, weight double, id int, feature int, threshold double, catego
 
 
 def is_tree_model(model) -> bool:
-    return isinstance(model, FORESTS + BOOSTED + SINGLE)
+    return isinstance(model, FORESTS + BOOSTED + SINGLE + PER_CLASS)
 
 
 def node_table(spark, model) -> DataFrame:
     """A fitted model's nodes, one row each: feature -1 for leaves; threshold, or the categories that go left.
 
-    Values are a class's share for each class, or one number. Read from the model as it is saved.
+    Values are a class's share or margin for each class, or one number. MLlib's are read from the model as it is saved.
     """
+    if isinstance(model, SoftmaxBoostedTreesModel):
+        return spark.createDataFrame(model.node_rows(), NODES)
     path = scratch_path(spark, "model")
     model.save(path)
     saved = spark.read.parquet(f"{path}/data")

@@ -44,13 +44,13 @@ def permutation(run: Run, model_id: str, repeats: int | None = None, by_column:
 
 
 def explained_trees(run: Run, model_id: str, rows: DataFrame, nodes: DataFrame, per_class: bool = False) -> DataFrame:
-    """Exact attributions of a tree ensemble: a forest's probabilities or numbers, the margin of boosted trees.
+    """Exact attributions of a tree ensemble: a forest's probabilities or numbers, the margins of boosted trees.
 
     With more than two classes `phi` is the mean absolute value over the classes, or, without `per_class`, the signed
     value for the predicted class.
     """
     keys, model = run.prepared.keys, run.models[model_id]
-    classes = len(run.labels or []) if isinstance(model, tree_attribution.CLASSIFIERS) else 0
+    classes = len(run.labels or []) if isinstance(model, tree_attribution.PER_CLASS) else 0
     out = tree_attribution.tree_attributions(rows, keys, nodes, run.prepared.lineage, [1] if classes == 2 else None)
     if classes <= 2:
         return out.drop("output")
@@ -96,7 +96,7 @@ def _base_value(run: Run, model_id: str, rows: DataFrame) -> Column:
     if tree_attribution.is_tree_model(model):
         bases = tree_attribution.base_values(tree_attribution.trees_of(tree_attribution.node_table(run.spark, model)))
         each = F.array(*[F.lit(round(float(v), 4)) for v in bases])
-        classes = len(run.labels or []) if isinstance(model, tree_attribution.CLASSIFIERS) else 0
+        classes = len(run.labels or []) if isinstance(model, tree_attribution.PER_CLASS) else 0
         return F.get(each, F.lit(1)) if classes == 2 else F.get(each, F.col("prediction").cast("int")) if classes else F.get(each, F.lit(0))
     pool = explain.sample_rows(run.fold(VALIDATION), run.prepared.keys, run.settings.shap_background, f"{run.settings.seed}-background")
     return F.lit(round(model.transform(pool).agg(F.avg(explained_outputs(run, model_id, rows)[0])).first()[0], 4))
