@@ -106,17 +106,24 @@ def ratio(a: Column, b: Column) -> Column:
     return F.try_divide(a.cast("double"), b.cast("double"))
 
 
-def day_first(df: DataFrame, name: str) -> bool:
-    """Whether a text column writes `day/month/year`: more cells are readable only so than only month first.
+def date_orders(df: DataFrame, names: list[str]) -> dict[str, bool]:
+    """Which text columns write `day/month/year`: more cells are readable only so than only month first.
 
-    Decided over all rows, so that one column is never read in two ways. Native columns need no look.
+    Decided over all rows, so that one column is never read in two ways; one aggregate for all columns. Native columns
+    need no look.
     """
-    if not isinstance(type_of(df, name), T.StringType):
-        return False
-    shape = r"^([0-9]{1,2})/([0-9]{1,2})/[0-9]{4}( .*)?$"
-    first, second = (F.regexp_extract(stripped(quoted(name)), shape, i).try_cast("int") for i in (1, 2))
-    seen = df.agg(F.count_if((first > 12) & (second <= 12)).alias("day"), F.count_if((second > 12) & (first <= 12)).alias("month")).first()
-    return seen["day"] > seen["month"]
+    texts = [c for c in names if isinstance(type_of(df, c), T.StringType)]
+    shape, aggs = r"^([0-9]{1,2})/([0-9]{1,2})/[0-9]{4}( .*)?$", []
+    for i, c in enumerate(texts):
+        first, second = (F.regexp_extract(stripped(quoted(c)), shape, k).try_cast("int") for k in (1, 2))
+        aggs += [F.count_if((first > 12) & (second <= 12)).alias(f"day_{i}"), F.count_if((second > 12) & (first <= 12)).alias(f"month_{i}")]
+    seen = df.agg(*aggs).first() if texts else {}
+    return {**dict.fromkeys(names, False), **{c: seen[f"day_{i}"] > seen[f"month_{i}"] for i, c in enumerate(texts)}}
+
+
+def day_first(df: DataFrame, name: str) -> bool:
+    """Whether one column leads with the day (see `date_orders`)."""
+    return date_orders(df, [name])[name]
 
 
 def time(df: DataFrame, name: str, days_lead: bool | None = None) -> Column:

@@ -61,7 +61,7 @@ class DateParts(Estimator, _Stage):
     def _fit(self, df):
         names = self.value("columns")
         parts = [(c, p) for c in names for p in DATE_PARTS]
-        lead = {c: cells.day_first(df, c) for c in names}
+        lead = cells.date_orders(df, names)
         # A calendar part has few distinct values, so the exact aggregate holds few of them.
         aggs = [
             F.percentile(date_part(cells.time(df, c, lead[c]), p), F.lit(0.5)).alias(f"m_{i}") for i, (c, p) in enumerate(parts)

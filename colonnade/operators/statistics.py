@@ -243,9 +243,9 @@ def temporal_profile(df: DataFrame, columns: list[str] | None = None, settings:
     if not columns:
         return _empty(df, "`column` string, total_count long, valid_dates_count long, missing_count long, "
                           "min_date timestamp_ntz, max_date timestamp_ntz, date_range_days double")
-    aggs = []
+    aggs, lead = [], cells.date_orders(df, columns)
     for i, c in enumerate(columns):
-        t = cells.time(df, c)
+        t = cells.time(df, c, lead[c])
         aggs += [F.count(t).alias(f"n_{i}"), F.min(t).alias(f"lo_{i}"), F.max(t).alias(f"hi_{i}")]
     one = df.agg(F.count(F.lit(1)).alias("total"), *aggs)
     long = cells.inline_rows(one, [

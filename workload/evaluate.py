@@ -121,11 +121,11 @@ def evc3_null(spark, sf):
     return classification.binary_breakdown(classification.outcome_counts(gaps, ["fold"]), ["fold"])
 
 
-@query("evr1_null_groups", f"""SELECT NULLIF(fold, 'F') AS fold, count(*) AS n, round(avg(abs(e)), 4) AS mae,
-  round(median(abs(e)), 4) AS median_absolute_error FROM {REGRESSION} WHERE model = 'flat' GROUP BY 1""")
+@query("evr1_null_groups", f"""SELECT model, NULLIF(fold, 'F') AS fold, count(*) AS n, round(avg(abs(e)), 4) AS mae,
+  round(median(abs(e)), 4) AS median_absolute_error FROM {REGRESSION} GROUP BY 1, 2""")
 def evr1_null(spark, sf):
-    gaps = numbers(spark, sf).filter("model = 'flat'").withColumn("fold", F.expr("nullif(fold, 'F')"))
-    return regression.regression_metrics(gaps, ["fold"]).select("fold", "n", "mae", "median_absolute_error")
+    gaps = numbers(spark, sf).withColumn("fold", F.expr("nullif(fold, 'F')"))
+    return regression.regression_metrics(gaps, BY).select(*BY, "n", "mae", "median_absolute_error")
 
 
 @query("evc1_summary_multiclass", summary_sql(MULTI, "model", False))
@@ -330,18 +330,24 @@ def evr6(spark, sf):
     return regression.residual_histogram(numbers(spark, sf), BY).drop("bin_center")
 
 
-_FLAT = f"(SELECT * FROM {REGRESSION} WHERE model = 'flat')"
 _H = hash_sql(_KEYS, 42)
+MODELS = ["by_retail", "flat", "half_known"]
 
 
-@query("evr7_actual_vs_predicted", f"""WITH f AS {_FLAT},
+def _points_sql(model: str) -> str:
+    return f"""SELECT * FROM (WITH f AS (SELECT * FROM {REGRESSION} WHERE model = '{model}'),
 edge AS (SELECT DISTINCT * FROM ((SELECT {_KEYS} FROM f ORDER BY e, {_KEYS} LIMIT 15) UNION ALL
   (SELECT {_KEYS} FROM f ORDER BY e DESC, {_KEYS} LIMIT 15))),
 o AS (SELECT f.*, {_H} AS h, EXISTS (SELECT 1 FROM edge WHERE {' AND '.join(f'edge.{k} = f.{k}' for k in LINE_KEYS)}) AS is_edge FROM f)
-SELECT {_KEYS}, round(y, 4) AS actual, round(p, 4) AS predicted, round(e, 4) AS residual, round(abs(e), 4) AS abs_error
-FROM o ORDER BY is_edge DESC, h, {_KEYS} LIMIT 500""")
+SELECT model, {_KEYS}, round(y, 4) AS actual, round(p, 4) AS predicted, round(e, 4) AS residual, round(abs(e), 4) AS abs_error
+FROM o ORDER BY is_edge DESC, h, {_KEYS} LIMIT 500)"""
+
+
+@query("evr7_actual_vs_predicted", union_all([_points_sql(m) for m in MODELS]))
 def evr7(spark, sf):
-    return regression.actual_vs_predicted(numbers(spark, sf).filter("model = 'flat'"), LINE_KEYS)
+    pairs = numbers(spark, sf)
+    parts = [regression.actual_vs_predicted(pairs.filter(F.col("model") == m), LINE_KEYS).select(F.lit(m).alias("model"), "*") for m in MODELS]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 @query("evr7_reference_line", f"""SELECT model, fold, round(least(min(y), min(p)), 4) AS min, round(greatest(max(y), max(p)), 4) AS max

@@ -109,13 +109,13 @@ def prf2_samples(spark, sf):
 
 
 @query("prf3_duplicate_rows", union_all([
-    "SELECT 'texts' AS source_table, * FROM (" + duplicates_sql([("text",), ("lang",)], "documents") + ")",
-    "SELECT 'flags' AS source_table, * FROM (" + duplicates_sql([("quality",), ("toxic",)], LABELLED) + ")",
+    "SELECT 'documents' AS source_table, * FROM (" + duplicates_sql(DOCUMENTS, LABELLED) + ")",
+    "SELECT 'without_key' AS source_table, * FROM (" + duplicates_sql(DOCUMENTS[1:], LABELLED) + ")",
     "SELECT 'orders' AS source_table, * FROM (" + duplicates_sql(ORDERS, "orders") + ")",
 ]))
 def prf3(spark, sf):
-    frames = {"texts": table(spark, sf, "documents").select("text", "lang"),
-              "flags": labelled(spark, sf).select("quality", "toxic"), "orders": table(spark, sf, "orders")}
+    documents = labelled(spark, sf)
+    frames = {"documents": documents, "without_key": documents.drop("doc_id"), "orders": table(spark, sf, "orders")}
     parts = [catalog.duplicate_rows(f).select(F.lit(k).alias("source_table"), "*") for k, f in frames.items()]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 

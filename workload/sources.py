@@ -70,13 +70,15 @@ def src3(spark, sf):
 SELECT CASE WHEN lang IN ('es', 'fr', 'de') AND bool_or(n_chars <> strlen(text)) THEN 'latin-1' ELSE 'utf-8' END AS encoding, count(*) AS documents, 1::BIGINT AS files
 FROM documents GROUP BY lang""")
 def src4(spark, sf):
-    """One file per language, all but the English one in latin-1."""
+    """One folder per language, all but the English one in latin-1; a folder is latin-1 if one of its files is."""
     docs, parts = table(spark, sf, "documents").select("lang", "text"), None
     for lang in ("de", "en", "es", "fr"):
         path = scratch_path(spark, lang)
         own = docs.filter(F.col("lang") == lang)
-        own.select("text").coalesce(1).write.csv(path, encoding="UTF-8" if lang == "en" else "ISO-8859-1")
-        found = csv_files.detect_encodings(spark, [path]).groupBy("encoding").agg(F.count("*").alias("files"))
+        own.select("text").write.csv(path, encoding="UTF-8" if lang == "en" else "ISO-8859-1")
+        foreign = F.bool_or(F.col("encoding") == "latin-1")
+        found = csv_files.detect_encodings(spark, [path]).groupBy(F.regexp_extract("file", "([^/]+)/[^/]*$", 1).alias("folder")).agg(
+            F.when(foreign, "latin-1").otherwise("utf-8").alias("encoding")).groupBy("encoding").agg(F.count("*").alias("files"))
         one = found.withColumn("documents", F.lit(own.count()).cast("long")).select("encoding", "documents", "files")
         parts = one if parts is None else parts.unionByName(one)
     return parts
