@@ -58,17 +58,63 @@ class Node(NamedTuple):
     bad: bool
 
 
+class Open:
+    """The open elements, innermost last, with the places of each name, so that no search walks over them."""
+
+    def __init__(self):
+        self.stack: list[tuple[str, int]] = [("html", 0)]
+        self.places: dict[str, list[int]] = {}
+        self.blocks: list[int] = [0]
+
+    def node(self) -> int:
+        return self.stack[-1][1]
+
+    def push(self, name: str, node: int) -> None:
+        self.places.setdefault(name, []).append(len(self.stack))
+        if name not in INLINE:
+            self.blocks.append(len(self.stack))
+        self.stack.append((name, node))
+
+    def last(self, names) -> int:
+        """Place of the innermost open element of these names, 0 if there is none."""
+        return max((self.places[n][-1] for n in names if self.places.get(n)), default=0)
+
+    def cut(self, place: int) -> None:
+        """Closes the element at the place and all inside it; each element is closed once."""
+        while len(self.stack) > place:
+            name, _ = self.stack.pop()
+            self.places[name].pop()
+            if name not in INLINE:
+                self.blocks.pop()
+
+    def close(self, name: str) -> None:
+        """The closing tag of a name: one that matches nothing is ignored, an inline one does not reach over a block."""
+        place = self.last((name,))
+        if place > (self.blocks[-1] if name in INLINE else 0):
+            self.cut(place)
+
+    def end(self, names, stops) -> None:
+        """Closes the innermost open element of the given names, unless one of `stops` encloses the place first."""
+        place = self.last(names)
+        if place > self.last(stops):
+            self.cut(place)
+
+
 class Page:
-    """Nodes in document order (a parent comes before its children) and pieces of text with the node that holds them."""
+    """Nodes in document order (a parent comes before its children) and pieces of text with the node that holds them.
+
+    Reading takes time in proportion to the page, however deep, unclosed or unmatched its elements are.
+    """
 
     def __init__(self, source: str):
         self.nodes: list[Node] = [Node("html", -1, False, False)]
         self.pieces: list[tuple[int, str, bool]] = []  # node, text, whether a block begins before it
         self.links: list[int] = [0]
+        self.unclosed: set[str] = set()  # names without a closing tag ahead
         self._read(source)
 
     def _read(self, source: str) -> None:
-        stack: list[tuple[str, int]] = [("html", 0)]
+        held = Open()
         at, fresh, in_link, end = 0, True, 0, len(source)
         while at < end:
             m = TAG.search(source, at)
@@ -76,7 +122,7 @@ class Page:
             if begin > at:
                 text = html.unescape(source[at:begin])
                 if text:
-                    node = stack[-1][1]
+                    node = held.node()
                     self.pieces.append((node, text, fresh))
                     fresh = False
                     if in_link:
@@ -86,7 +132,7 @@ class Page:
             at = m.end()
             if m[2] is None:
                 if m[0].startswith("<![CDATA["):
-                    self.pieces.append((stack[-1][1], m[0][9:].removesuffix("]]>"), fresh))
+                    self.pieces.append((held.node(), m[0][9:].removesuffix("]]>"), fresh))
                 continue
             name, closing, rest = m[2].lower(), bool(m[1]), m[3]
             if closing:
@@ -95,18 +141,12 @@ class Page:
                     continue
                 if name == "a":
                     in_link = max(0, in_link - 1)
-                inline = name in INLINE
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i][0] == name:
-                        del stack[i:]
-                        break
-                    if inline and stack[i][0] not in INLINE:
-                        break
-                fresh |= not inline
+                held.close(name)
+                fresh |= name not in INLINE
                 continue
             if name in VOID:
                 if name == "br":
-                    self.pieces.append((stack[-1][1], " ", False))
+                    self.pieces.append((held.node(), " ", False))
                 else:
                     fresh |= name == "hr"
                 continue
@@ -121,40 +161,30 @@ class Page:
                 if name == "a":
                     in_link += 1
                 good, bad = self._words(rest)
-                stack.append((name, self._add(name, stack[-1][1], good, bad) if bad else stack[-1][1]))
+                held.push(name, self._add(name, held.node(), good, bad) if bad else held.node())
                 continue
             fresh = True
             if name == "html":
                 continue
             if name in ENDS_P:
-                self._end(stack, frozenset(("p",)), frozenset(("td", "th", "table", "button", "div", "section", "article", "li")))
+                held.end(("p",), ("td", "th", "table", "button", "div", "section", "article", "li"))
             if name in SELF_ENDING:
                 ends, stops = SELF_ENDING[name]
-                self._end(stack, frozenset(ends.split()), stops)
+                held.end(ends.split(), stops)
             in_link = 0 if name not in ("div", "p", "section", "h1", "h2", "h3", "h4", "li") else in_link
             good, bad = self._words(rest)
-            stack.append((name, self._add(name, stack[-1][1], good, bad)))
+            held.push(name, self._add(name, held.node(), good, bad))
 
     def _add(self, tag: str, parent: int, good: bool, bad: bool) -> int:
         self.nodes.append(Node(tag, parent, good, bad))
         self.links.append(0)
         return len(self.nodes) - 1
 
-    @staticmethod
-    def _end(stack, names, stops) -> None:
-        """Closes the innermost open element of the given names, unless one of `stops` encloses the place first."""
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i][0] in names:
-                del stack[i:]
-                return
-            if stack[i][0] in stops:
-                return
-
-    @staticmethod
-    def _after(source: str, at: int, name: str) -> int:
-        m = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>?", re.I).search(source, at)
+    def _after(self, source: str, at: int, name: str) -> int:
+        m = None if name in self.unclosed else re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>?", re.I).search(source, at)
         if m:
             return m.end()
+        self.unclosed.add(name)
         return len(source) if name in ("script", "style", "textarea", "title", "xmp") else at
 
     @staticmethod
@@ -224,21 +254,13 @@ def features(pages: list[Page]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _levels(parent: np.ndarray, depth: np.ndarray) -> list[np.ndarray]:
-    """The nodes by depth, which is filled in."""
-    levels = [np.flatnonzero(parent < 0)]
-    if not len(parent):
-        return levels
-    rest = np.flatnonzero(parent >= 0)
-    known = parent < 0
-    while len(rest):
-        ready = known[parent[rest]]
-        at = rest[ready]
-        depth[at] = len(levels)
-        known = np.zeros(len(parent), dtype=bool)
-        known[at] = True
-        levels.append(at)
-        rest = rest[~ready]
-    return levels
+    """The nodes by depth, which is filled in; a parent comes before its children."""
+    found: list[int] = []
+    for up in parent.tolist():
+        found.append(found[up] + 1 if up >= 0 else 0)
+    depth[:] = found
+    order = np.argsort(depth, kind="stable")
+    return np.split(order, np.flatnonzero(np.diff(depth[order])) + 1)
 
 
 class Trees(NamedTuple):

@@ -1,5 +1,6 @@
 import math
 import random
+import time
 
 import pytest
 
@@ -57,6 +58,20 @@ def test_tree_building():
     assert [text_of(x) for x in ("", "plain", "<", "<p", "<div class='", "</", "<p>a &am")] == ["", "plain", "<", "", "", "</", "a &am"]
 
 
+@pytest.mark.parametrize("source", ["<div></section>" * 20000, "<div>" * 20000 + "x", "<object>" * 20000, "<div>" * 10000 + "<li></li>" * 10000, "<b><div>" + "<i>" * 20000 + "</b>" * 20000])
+def test_broken_pages_take_linear_time(source):
+    begun = time.process_time()
+    small = html_text.extracted([source], None)
+    once = time.process_time() - begun
+    assert small == ["x" if source.endswith("x") else ""] and once < 5
+
+
+def test_closing_tags_that_match_nothing():
+    page = html_text.Page("<div><p>a</section></b>b</p><b>c<div>d</b>e</div>f</div>g<td>h</table>i")
+    assert [(n.tag, n.parent) for n in page.nodes] == [("html", -1), ("div", 0), ("p", 1), ("div", 1), ("td", 0)]
+    assert [(node, text) for node, text, _ in page.pieces] == [(2, "a"), (2, "b"), (1, "c"), (3, "d"), (3, "e"), (1, "f"), (0, "g"), (4, "h"), (4, "i")]
+
+
 def test_tree_text_form():
     trees = html_text.trees_of("GBT\n  Tree 0 (weight 1.0):\n    If (feature 3 <= 0.5)\n     If (feature 1 <= 2.0)\n      Predict: -1.0\n     Else (feature 1 > 2.0)\n      Predict: 0.25\n"
                                "    Else (feature 3 > 0.5)\n     Predict: 2.0\n  Tree 1 (weight 0.1):\n    Predict: 10.0\n")
