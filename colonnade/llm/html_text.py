@@ -1,7 +1,7 @@
 """Main text of web pages: boosted trees over DOM-node features, decoded from the root down.
 
 A page becomes a tree of block elements (and of inline ones whose attributes name boilerplate). The trees judge each
-node by its tag, attribute words, subtree density, depth and siblings. Decoding picks the best consistent choice: a node
+node by its tag, hashed attribute words, subtree density, depth and siblings. Decoding picks the best consistent choice: a node
 is kept only if its parent is, so no kept text lies in a dropped ancestor, and a container is kept if what is best kept
 inside it outweighs its own verdict.
 
@@ -15,6 +15,7 @@ from __future__ import annotations
 import html
 import random
 import re
+import zlib
 from typing import NamedTuple
 
 import numpy as np
@@ -31,6 +32,7 @@ TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:
 ATTRIBUTES = re.compile(r"""\b(?:class|id|role|aria-label|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 HIDDEN = re.compile(r"""(?:\s|^)hidden(?:[\s=>/]|$)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
 WORD = re.compile(r"[a-z]+")
+MADE = ' data-made="1"'  # marks boxes in training pages
 
 # Element names of HTML by their role
 RAW = frozenset("script style noscript template iframe object svg math canvas select option textarea button head title xmp datalist dialog audio video map".split())
@@ -51,11 +53,16 @@ BAD_WORDS = frozenset(("ad ads advert adverts advertisement advertising sponsor
                        "related recommended recommendations widget widgets toc copyright legal disclaimer pagination pager tags taglist meta").split())
 
 
+TOKENS = 32  # buckets of hashed attribute words
+
+
 class Node(NamedTuple):
     tag: str
     parent: int
     good: bool
     bad: bool
+    tokens: int = 0  # buckets of its attribute words, as bits
+    made: bool = False  # set in by `layouts`
 
 
 class Open:
@@ -160,8 +167,8 @@ class Page:
                     continue
                 if name == "a":
                     in_link += 1
-                good, bad = self._words(rest)
-                held.push(name, self._add(name, held.node(), good, bad) if bad else held.node())
+                good, bad, *more = self._words(rest)
+                held.push(name, self._add(name, held.node(), good, bad, *more) if bad else held.node())
                 continue
             fresh = True
             if name == "html":
@@ -172,11 +179,10 @@ class Page:
                 ends, stops = SELF_ENDING[name]
                 held.end(ends.split(), stops)
             in_link = 0 if name not in ("div", "p", "section", "h1", "h2", "h3", "h4", "li") else in_link
-            good, bad = self._words(rest)
-            held.push(name, self._add(name, held.node(), good, bad))
+            held.push(name, self._add(name, held.node(), *self._words(rest)))
 
-    def _add(self, tag: str, parent: int, good: bool, bad: bool) -> int:
-        self.nodes.append(Node(tag, parent, good, bad))
+    def _add(self, tag: str, parent: int, good: bool, bad: bool, tokens: int, made: bool) -> int:
+        self.nodes.append(Node(tag, parent, good, bad, tokens, made))
         self.links.append(0)
         return len(self.nodes) - 1
 
@@ -188,11 +194,14 @@ class Page:
         return len(source) if name in ("script", "style", "textarea", "title", "xmp") else at
 
     @staticmethod
-    def _words(rest: str) -> tuple[bool, bool]:
+    def _words(rest: str) -> tuple[bool, bool, int, bool]:
         if "=" not in rest and "hidden" not in rest:
-            return False, False
+            return False, False, 0, False
         found = {w for m in ATTRIBUTES.finditer(rest) for w in WORD.findall((m[1] or m[2] or m[3] or "").lower())}
-        return bool(found & GOOD_WORDS), bool(found & BAD_WORDS) or bool(HIDDEN.search(rest))
+        tokens = 0
+        for w in found:
+            tokens |= 1 << zlib.crc32(w.encode()) % TOKENS
+        return bool(found & GOOD_WORDS), bool(found & BAD_WORDS) or bool(HIDDEN.search(rest)), tokens, MADE in rest
 
 
 def features(pages: list[Page]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -201,13 +210,14 @@ def features(pages: list[Page]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     base = np.cumsum(sizes) - sizes
     n = int(sizes.sum())
     parent, group, good, bad, bad_tag = np.full(n, -1), np.zeros(n, np.int64), np.zeros(n), np.zeros(n), np.zeros(n)
+    tokens = np.zeros(n, np.int64)
     text, link, marks, words, order = np.zeros(n), np.zeros(n), np.zeros(n), np.zeros(n), np.zeros(n)
     for p, b in zip(pages, base, strict=True):
         for i, node in enumerate(p.nodes):
             parent[b + i] = node.parent + b if i else -1
             group[b + i] = GROUPS.get(node.tag, OTHER)
             good[b + i], bad[b + i], bad_tag[b + i] = node.good, node.bad, node.tag in BAD_TAGS
-            link[b + i] = p.links[i]
+            link[b + i], tokens[b + i] = p.links[i], node.tokens
         for node, piece, _ in p.pieces:
             text[b + node] += len(piece) - piece.count(" ")
             words[b + node] += piece.count(" ")
@@ -249,6 +259,7 @@ def features(pages: list[Page]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         np.minimum(over_main, 2), np.minimum(over_item, 2), np.minimum(depth, 12), np.minimum(kids, 50), np.minimum(siblings, 50), ratio(place, siblings),
         ratio(alike, siblings), one(text), one(all_text), ratio(link, text), np.minimum(ratio(all_link, all_text), 2), ratio(all_marks, all_text), ratio(all_words, all_text),
         one(ratio(all_text, tags)), ratio(all_text, whole), order, one(paragraphs), ratio(all_text, all_text[above]) if n else all_text, group[above] if n else all_text,
+        *[(tokens >> k & 1).astype(float) for k in range(TOKENS)],
     ], axis=1)
     return out, parent, text
 
@@ -375,6 +386,7 @@ def layouts(source: str, seed: int, variants: int = 4) -> list[tuple[Page, np.nd
     for _ in range(variants):
         def box(names=None):
             opening, tag = draw.choice([b for b in BOXES if not names or any(n in b[0] for n in names)])
+            opening = opening[:-1] + MADE + ">"
             item = draw.choice(("<p>{}</p>", "<li><a href='#'>{}</a></li>", "<div>{}</div>", "<a href='#'>{}</a> ", "{} <br>", "<p><a href='#'>{}</a> {}</p>"))
             return opening + "".join(item.replace("{}", draw.choice(lines)) for _ in range(draw.randint(1, 6))) + f"</{tag}>"
 
@@ -395,7 +407,10 @@ def layouts(source: str, seed: int, variants: int = 4) -> list[tuple[Page, np.nd
 
 
 def _labelled(source: str, tag: str | None) -> tuple[Page, np.ndarray]:
-    """Labels of the nodes of a page whose main container is `tag`, or the element marked data-main."""
+    """Labels of the nodes of a page whose main container is `tag`, or the element marked data-main.
+
+    They follow from where a node lies: inside the container 1, outside it or inside a box that was set in 0.
+    """
     marked = source if tag is None else re.sub(rf"(?i)<{tag}\b", f'<{tag} data-main="1"', source, count=1)
     page = Page(re.sub(r'(<\w+) data-main="1"([^>]*)>', r"\1\2><x-in></x-in>", marked, count=1))
     label, main = np.zeros(len(page.nodes), np.int64), None
@@ -404,10 +419,14 @@ def _labelled(source: str, tag: str | None) -> tuple[Page, np.ndarray]:
             main = node.parent
     for i, node in enumerate(page.nodes):
         up = node.parent
-        boilerplate = i != main and (node.bad or node.tag in BAD_TAGS)
-        label[i] = 1 if i == main else 0 if up < 0 or boilerplate else label[up]
-        if up >= 0 and label[up] == 1 and boilerplate:
+        if i == main:
+            label[i] = 1
+        elif up < 0 or node.made:
             label[i] = 0
+        elif label[up] == 1 and (node.bad or node.tag in BAD_TAGS):
+            label[i] = -1  # a box of the page's own inside its article: not known, so not learned from
+        else:
+            label[i] = label[up]
     at = main
     while at is not None and page.nodes[at].parent >= 0:
         at = page.nodes[at].parent

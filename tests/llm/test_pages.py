@@ -113,6 +113,29 @@ def test_learned_extraction(spark):
         assert got[key] == " ".join(html_text.html.unescape(html_text.re.sub(r"<(?!/?b>)[^>]*>", " ", inside).replace("<b>", "").replace("</b>", "")).split())
 
 
+def test_held_out_pages_and_layouts(spark):
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    trees = html_text.fit(pages.filter("page_id % 2 = 0"))
+    held = [r.html for r in pages.filter("page_id % 2 = 1").collect()]
+    right = seen = 0.0
+    for seed, source in enumerate(held[:60]):
+        for page, label in html_text.layouts(source, seed + 1000):
+            x, parent, text = html_text.features([page])
+            use = label >= 0
+            keep = html_text.decoded(parent, trees.margin(x), text)
+            right += text[use & (keep == (label == 1))].sum()
+            seen += text[use].sum()
+    assert right >= 0.98 * seen
+    whole = [" ".join(html_text.html.unescape(html_text.re.sub(r"<(?!/?b>)[^>]*>", " ", html_text.ARTICLE.search(h)[1]).replace("<b>", "").replace("</b>", "")).split()) for h in held]
+    assert html_text.extracted(held, trees) == whole
+
+
+def test_labels_follow_from_the_place():
+    page, label = html_text._labelled('<nav>a</nav><article><p>b</p><div class="ad"><p>c</p></div><div class="x" data-made="1"><p>d</p></div></article><div>e</div>', "article")
+    got = {text: int(label[node]) for node, text, _ in page.pieces}
+    assert got == {"a": 0, "b": 1, "c": -1, "d": 0, "e": 0}
+
+
 def dice(a, b):
     from collections import Counter
     x, y = Counter(a), Counter(b)
