@@ -2,21 +2,27 @@
 
 A row's place in the random order is md5(key | salt): it never depends on partitioning,
 task order or retries. Sizes are exact: per class the split takes the rows with the
-smallest hashes. The cut-off hash is found from counts per hash prefix (uniform, so no
-prefix is hot however large a class is) plus a ranking of the one prefix that holds the
-cut-off. Tagging the table is then a comparison per row, without a shuffle.
+smallest hashes. The cut-off hash is found by radix selection: counts per hash prefix
+(uniform, so no prefix is hot however large a class is), again within the prefix that holds
+the cut-off until that is small, and a ranking of what is left. Tagging the table is then a
+comparison per row, after a join with the cut-offs of the classes where there are any.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from colonnade.functions import cells
+from colonnade.functions.storage import stored
 from colonnade.operators import catalog
 from colonnade.settings import DEFAULTS, Settings
 
 TRAIN, VALIDATION, TEST = "train", "validation", "test"
+HELD = "__held"
+HASH_DIGITS = 32  # hex digits of an md5
 STRATIFIED, RANDOM = "Stratified Shuffle Split", "Random Shuffle Split"
 
 
@@ -45,22 +51,42 @@ def allocation(counts: DataFrame, share: float) -> DataFrame:
     return sized.withColumn("held", F.col("n") - kept).select("cls", "n", "held")
 
 
-def cutoffs(rows: DataFrame, share: float, settings: Settings = DEFAULTS) -> DataFrame:
-    """`(cls, cutoff)` from `(cls, h)` rows: the largest hash that is held out, per class."""
-    digits = settings.hash_digits
-    prefixed = rows.withColumn("prefix", F.substring("h", 1, digits))
+def _edges(prefixed: DataFrame, held: DataFrame | None, share: float) -> DataFrame:
+    """`(cls, prefix, n, need)`: per class the hash prefix that holds its cut-off, its rows, and which of them is the last held out.
+
+    `held` says how many of the given rows each class holds out; None: what `allocation` gives.
+    """
     hist = prefixed.groupBy("cls", "prefix").agg(F.count("*").alias("n"))
-    held = allocation(hist.groupBy("cls").agg(F.sum("n").alias("n")), share).select("cls", "held")
+    if held is None:
+        held = allocation(hist.groupBy("cls").agg(F.sum("n").alias("n")), share).select("cls", "held")
     upto = Window.partitionBy("cls").orderBy("prefix")
-    edge = (
-        hist.withColumn("upto", F.sum("n").over(upto))
-        .join(held, "cls")
-        .filter((F.col("upto") - F.col("n") < F.col("held")) & (F.col("held") <= F.col("upto")))
-        .select("cls", "prefix", (F.col("held") - (F.col("upto") - F.col("n"))).alias("need"))
-    )
-    near = prefixed.join(F.broadcast(edge), ["cls", "prefix"])  # one row per class on the right
-    rank = F.row_number().over(Window.partitionBy("cls").orderBy("h"))
-    return near.withColumn("rank", rank).filter(F.col("rank") == F.col("need")).select("cls", F.col("h").alias("cutoff"))
+    reached = cells.join_by(hist.withColumn("upto", F.sum("n").over(upto)), held, ["cls"])
+    inside = (F.col("upto") - F.col("n") < F.col("held")) & (F.col("held") <= F.col("upto"))
+    return reached.filter(inside).select("cls", "prefix", "n", (F.col("held") - (F.col("upto") - F.col("n"))).alias("need"))
+
+
+def cutoffs(rows: DataFrame, share: float, settings: Settings = DEFAULTS) -> DataFrame:
+    """`(cls, cutoff)` from `(cls, h)` rows: the largest hash that is held out, per class.
+
+    Radix selection for all classes at once: each pass counts rows by some more digits of the hash and keeps, per
+    class, the one cell that holds its cut-off. A cell of at most `range_rows` rows is ranked by one task; larger
+    ones go on to the next pass. The number of passes grows with the logarithm of the largest class.
+    """
+    parts, held, digits = [], None, 0
+    while True:
+        digits += settings.hash_digits
+        prefixed = rows.withColumn("prefix", F.substring("h", 1, digits))
+        edges = stored(_edges(prefixed, held, share), "edges")
+        last = digits >= HASH_DIGITS or not edges.filter(F.col("n") > settings.range_rows).limit(1).count()
+        ready = edges if last else edges.filter(F.col("n") <= settings.range_rows)
+        near = cells.join_by(prefixed, ready.select("cls", "prefix", "need"), ["cls", "prefix"])
+        rank = F.row_number().over(Window.partitionBy("cls").orderBy("h"))
+        parts.append(near.withColumn("rank", rank).filter(F.col("rank") == F.col("need")).select("cls", F.col("h").alias("cutoff")))
+        if last:
+            return reduce(DataFrame.unionByName, parts)
+        wide = edges.filter(F.col("n") > settings.range_rows)
+        rows = cells.join_by(prefixed, wide.select("cls", "prefix"), ["cls", "prefix"]).select("cls", "h")
+        held = wide.select("cls", F.col("need").alias("held"))
 
 
 def _class_column(df: DataFrame, target: str | None) -> Column:
@@ -75,23 +101,25 @@ def can_stratify(df: DataFrame, target: str) -> bool:
 
 
 def hold_out(
-    df: DataFrame, keys: list[str], share: float, salt, strata: str | None = None, settings: Settings = DEFAULTS
-) -> Column:
-    """Condition that is true for the held-out rows of `df`.
+    df: DataFrame, keys: list[str], share: float, salt, strata: str | None = None, settings: Settings = DEFAULTS,
+    among: Column | None = None,
+) -> DataFrame:
+    """`df` with the boolean column HELD, true for the rows held out of those for which `among` holds (all by default).
 
-    The cut-offs (one hash per class) are computed now and become part of the expression or
-    a lookup, so every later use of the condition sees the same split.
+    The cut-offs are computed now, so every later use sees the same split: one hash as a literal, or a stored table
+    of one row per class that is joined, whatever the number of classes.
     """
     catalog.require_columns(df, *keys)
     h = cells.hash_order(keys, salt)
     cls = _class_column(df, strata)
-    found = cutoffs(df.select(cls.alias("cls"), h.alias("h")), share, settings).collect()
-    if not found:
-        return F.lit(False)
-    if len(found) == 1 and strata is None:
-        return h <= F.lit(found[0]["cutoff"])
-    lookup = F.create_map(*[x for r in found for x in (F.lit(r["cls"]), F.lit(r["cutoff"]))])
-    return F.coalesce(h <= F.try_element_at(lookup, cls), F.lit(False))
+    among = F.lit(True) if among is None else among
+    found = cutoffs(df.filter(among).select(cls.alias("cls"), h.alias("h")), share, settings)
+    if strata is None:
+        cut = found.first()
+        return df.withColumn(HELD, F.lit(False) if cut is None else among & (h <= F.lit(cut["cutoff"])))
+    table = stored(found.select(F.col("cls").alias("__cut_class"), F.col("cutoff").alias("__cutoff")), "cutoffs")
+    joined = df.join(table, cls.eqNullSafe(F.col("__cut_class")), "left")
+    return joined.withColumn(HELD, among & F.coalesce(h <= F.col("__cutoff"), F.lit(False))).drop("__cut_class", "__cutoff")
 
 
 def train_test_split(
@@ -113,7 +141,7 @@ def train_test_split(
         valid = valid.filter(cells.number(df, target).isNotNull())  # text that is no number and infinities are no target
     classes = problem_type.endswith("classification") and can_stratify(valid, target)
     held = hold_out(valid, keys, test_size, seed, target if classes else None, settings)
-    tagged = valid.withColumn("fold", F.when(held, TEST).otherwise(TRAIN))
+    tagged = held.withColumn("fold", F.when(F.col(HELD), TEST).otherwise(TRAIN)).drop(HELD)
     return tagged, STRATIFIED if classes else RANDOM
 
 
@@ -131,11 +159,10 @@ def three_way_split(
     seed = settings.seed if seed is None else seed
     validation_size = settings.validation_size if validation_size is None else validation_size
     tagged, strategy = train_test_split(df, target, keys, problem_type, test_size, seed, settings)
-    rest = tagged.filter(F.col("fold") == TRAIN)
-    classes = problem_type.endswith("classification") and can_stratify(rest, target)
-    held = hold_out(rest, keys, validation_size, f"{seed}-validation", target if classes else None, settings)
-    fold = F.when((F.col("fold") == TRAIN) & held, VALIDATION).otherwise(F.col("fold"))
-    return tagged.withColumn("fold", fold), strategy
+    rest = F.col("fold") == TRAIN
+    classes = problem_type.endswith("classification") and can_stratify(tagged.filter(rest), target)
+    held = hold_out(tagged, keys, validation_size, f"{seed}-validation", target if classes else None, settings, rest)
+    return held.withColumn("fold", F.when(F.col(HELD), VALIDATION).otherwise(F.col("fold"))).drop(HELD), strategy
 
 
 def overlap(train: DataFrame, test: DataFrame, keys: list[str]) -> DataFrame:

@@ -1,3 +1,5 @@
+import math
+
 import pytest
 from conftest import by, one
 from pyspark.ml import PipelineModel
@@ -188,3 +190,33 @@ def test_fitted_pipeline_scores_a_stream(spark, tmp_path):
         assert spark.table("prepared_rows").count() == 20
     finally:
         q.stop()
+
+
+@pytest.mark.parametrize("digits, rows", [(1, 3), (2, 40), (4, 250_000)])
+def test_cutoffs_of_many_classes(spark, digits, rows):
+    sizes = {f"c{i}": 2 + (i * i) % 23 for i in range(900)} | {"hot": 4000, "": 5}
+    data = spark.createDataFrame([(f"{c}-{k}", c) for c, n in sizes.items() for k in range(n)], "k string, y string")
+    hashes = data.select(F.col("y").alias("cls"), F.md5("k").alias("h"))
+    got = {r["cls"]: r["cutoff"] for r in split.cutoffs(hashes, 0.3, Settings(hash_digits=digits, range_rows=rows)).collect()}
+    by_class = {}
+    for r in hashes.collect():
+        by_class.setdefault(r["cls"], []).append(r["h"])
+    total = sum(sizes.values())
+    kept = total - math.ceil(0.3 * total)
+    exact = {c: kept * n / total for c, n in sizes.items()}
+    extra = kept - sum(map(math.floor, exact.values()))
+    lucky = sorted(sizes, key=lambda c: (math.floor(exact[c]) - exact[c], c))[:extra]
+    want = {}
+    for c, n in sizes.items():
+        held = n - math.floor(exact[c]) - (c in lucky)
+        if held:
+            want[c] = sorted(by_class[c])[held - 1]
+    assert got == want
+
+
+def test_classes_that_meet_few_rows_and_clashing_names(spark):
+    data = spark.createDataFrame([(i, f"y{i % 400}", i, 1.0) for i in range(1600)], "k long, cls string, cutoff long, h double")
+    tagged, strategy = split.three_way_split(data, "cls", ["k"], target.MULTICLASS, 0.25, 1 / 3)
+    assert strategy == split.STRATIFIED and set(tagged.columns) == {"k", "cls", "cutoff", "h", "fold"}
+    n = {(r["cls"], r["fold"]): r["n"] for r in tagged.groupBy("cls", "fold").agg(F.count("*").alias("n")).collect()}
+    assert all(n[f"y{i}", "test"] == 1 and n[f"y{i}", "validation"] == 1 and n[f"y{i}", "train"] == 2 for i in range(400))
