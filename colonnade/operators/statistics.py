@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from colonnade.functions import cells
 from colonnade.functions.quantiles import column_quantiles
+from colonnade.functions.storage import stored
 from colonnade.operators import catalog
 from colonnade.settings import DEFAULTS, Settings
 
@@ -134,21 +137,74 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
+HEAD = 64  # leading characters of a text that are counted as they are; the rest of a longer one goes as a digest
+
+
+def _category_cells(df: DataFrame, columns: list[str]) -> DataFrame:
+    """`(column, value)`: every present cell of the columns."""
+    pairs = F.array(*[F.struct(F.lit(c).alias("column"), cells.category(df, c).alias("value")) for c in columns])
+    return df.select(F.inline(pairs)).filter(F.col("value").isNotNull())
+
+
+def _counted(long: DataFrame, begin: int, size: int) -> DataFrame:
+    """`(column, head, digest, n)`: `size` characters from `begin` on, and a digest of texts that are longer."""
+    digest = F.when(F.char_length("value") >= begin + size, F.md5("value"))
+    narrow = long.select("column", F.substring("value", begin, size).alias("head"), digest.alias("digest"))
+    return narrow.groupBy("column", "head", "digest").agg(F.count("*").alias("n"))
+
+
 def category_counts(df: DataFrame, columns: list[str]) -> DataFrame:
-    """`(column, value, n)`: the one shuffle behind every categorical result.
+    """`(column, head, digest, n)`, a row per distinct value: the one shuffle behind every categorical result, stored.
 
-    Counting is pre-aggregated before the exchange, so a value that fills a third of the
-    table costs one row per map task.
+    Counting is pre-aggregated before the exchange, so a value that fills a third of the table costs one row per map
+    task, and a long text crosses as its first characters and a digest. Short texts have no digest.
     """
-    pairs = F.array(*[F.struct(F.lit(c).alias("column"), cells.category(df, c).alias("value")) for c in columns])
-    long = df.select(F.inline(pairs)).filter(F.col("value").isNotNull())
-    return long.groupBy("column", "value").agg(F.count("*").alias("n"))
+    return stored(_counted(_category_cells(df, columns), 1, HEAD), "categories")
 
 
-def top_values(counts: DataFrame, top: int) -> DataFrame:
-    """The most frequent values per column, ties by value. The rank limit runs before the exchange."""
-    w = Window.partitionBy("column").orderBy(F.desc("n"), F.asc("value"))
-    return counts.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top)
+def top_values(df: DataFrame, columns: list[str], top: int, counts: DataFrame | None = None) -> DataFrame:
+    """`(column, value, n, rank)`: the most frequent values per column, ties by value.
+
+    The heads decide nearly all ranks. Where values of one count and one head lie on both sides of the last rank, only
+    those are counted again by a stretch of text twice as long, until none do. Full texts cross the network for the
+    values of the list alone, whose size bounds everything that is collected or broadcast here.
+    """
+    spark = df.sparkSession
+    long = _category_cells(df, columns)
+    counts = category_counts(df, columns) if counts is None else counts
+    places = Window.partitionBy("column").orderBy(F.desc("n"), F.asc("head"), F.asc_nulls_first("digest"))
+    picks: list[tuple] = []  # column, value or None, digest or None, n
+    prefix, wanted, size = dict.fromkeys(columns, ""), dict.fromkeys(columns, top), HEAD
+    while wanted:
+        leading = counts.withColumn("place", F.row_number().over(places)).filter(F.col("place") <= top + 1)
+        groups: dict[str, list] = {c: [] for c in wanted}
+        for r in leading.orderBy("column", "place").collect():
+            groups[r["column"]].append(r)
+        tied = {}
+        for c, rows in groups.items():
+            taken, beyond = rows[:wanted[c]], rows[wanted[c]:wanted[c] + 1]
+            if taken and beyond and taken[-1]["digest"] and [beyond[0][k] for k in ("n", "head")] == [taken[-1][k] for k in ("n", "head")]:
+                tied[c] = taken[-1]
+                taken = [r for r in taken if r["digest"] is None or (r["n"], r["head"]) != (tied[c]["n"], tied[c]["head"])]
+            picks += [(c, None if r["digest"] else prefix[c] + r["head"], r["digest"], r["n"]) for r in taken]
+            wanted[c] -= len(taken)
+        wanted = {c: wanted[c] for c in tied}
+        if tied:
+            prefix |= {c: prefix[c] + r["head"] for c, r in tied.items()}
+            begin = len(next(iter(prefix[c] for c in tied))) + 1
+            among = [(F.col("column") == c) & F.startswith("value", F.lit(prefix[c])) & (F.char_length("value") >= begin) for c in tied]
+            even = [(F.col("column") == c) & (F.col("n") == r["n"]) for c, r in tied.items()]
+            counts = _counted(long.filter(reduce(Column.__or__, among)), begin, size).filter(reduce(Column.__or__, even))
+            size *= 2
+    schema = "column string, value string, digest string, n long"
+    out = spark.createDataFrame([p for p in picks if not p[2]], schema).select("column", "value", "n")
+    if any(p[2] for p in picks):
+        listed = spark.createDataFrame([p for p in picks if p[2]], schema).select("column", "digest", "n")
+        texts = long.filter(F.char_length("value") > HEAD).withColumn("digest", F.md5("value"))
+        found = texts.join(F.broadcast(listed), ["column", "digest"]).groupBy("column", "digest", "n").agg(F.first("value").alias("value"))
+        out = out.unionByName(found.select("column", "value", "n"))
+    rank = F.row_number().over(Window.partitionBy("column").orderBy(F.desc("n"), F.asc("value")))
+    return out.withColumn("rank", rank)
 
 
 def _categorical(df: DataFrame, columns: list[str] | None, settings: Settings) -> list[str]:
@@ -172,7 +228,7 @@ def categorical_profile(
     top = settings.top_categories if top is None else top
     counts = category_counts(df, columns)
     totals = counts.groupBy("column").agg(F.sum("n").alias("valid_count"), F.count("*").alias("unique_values"))
-    best = top_values(counts, top).groupBy("column").agg(
+    best = top_values(df, columns, top, counts).groupBy("column").agg(
         F.min_by("value", "rank").alias("mode"), F.max("n").alias("mode_count"), F.sum("n").alias("top_count")
     )
     joined = row_totals(df, columns).join(totals, "column", "left").join(best, "column", "left")
@@ -194,7 +250,7 @@ def top_categories(
     """The frequency table behind the profile: (column, rank, category, n, percentage of all rows)."""
     columns = _categorical(df, columns, settings)
     top = settings.top_categories if top is None else top
-    ranked = top_values(category_counts(df, columns), top)
+    ranked = top_values(df, columns, top)
     return ranked.join(row_totals(df, columns), "column").select(
         "column",
         F.col("rank").cast("long").alias("rank"),

@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pytest
 from conftest import by, one
+from pyspark.sql import functions as F
 
 from colonnade.functions.quantiles import order_statistics
 from colonnade.functions.ranking import running_totals
@@ -232,3 +233,22 @@ def test_bundles_and_plan(spark):
     assert parts["numeric"].count() == 2 and parts["categorical"].count() == 1 and parts["temporal"].count() == 1
     with pytest.raises(catalog.UnknownColumnError):
         distribution.column_distribution(df, "nope")
+
+
+def test_top_categories_of_long_texts(spark):
+    same = "s" * 300
+    values = {same + f"{i:03d}": 2 for i in range(40)} | {same: 2, same + "z" * 900: 2, "s" * 64: 2, "s" * 65: 2, "s" * 128: 2, "a" * 500: 7, "short": 5, "é" * 70: 2, "once" * 40: 1}
+    df = spark.createDataFrame([(v, v[:3]) for v, n in values.items() for _ in range(n)] + [(None, None)], "long string, brief string")
+    for top in (1, 2, 3, 5, 6, 9, 12, 60):
+        want = sorted(values.items(), key=lambda p: (-p[1], p[0].encode()))[:top]
+        rows = statistics.top_categories(df, ["long", "brief"], top).filter("column = 'long'").orderBy("rank").collect()
+        assert [(r["category"], r["n"], r["rank"]) for r in rows] == [(v, n, i + 1) for i, (v, n) in enumerate(want)]
+    r = one(statistics.categorical_profile(df, ["long"], 3))
+    assert (r["valid_count"], r["unique_values"], r["mode"], r["mode_count"], r["other_count"]) == (sum(values.values()), len(values), "a" * 500, 7, sum(values.values()) - 14)
+
+
+def test_long_texts_do_not_cross_the_network(spark):
+    df = spark.createDataFrame([(f"{i:04d}" + "x" * 5000,) for i in range(400)], "t string")
+    counts = statistics.category_counts(df, ["t"])
+    assert counts.agg(F.max(F.length("head")), F.max(F.length("digest")), F.count("*")).first()[:] == (64, 32, 400)
+    assert [r["category"][:4] for r in statistics.top_categories(df, ["t"], 3).orderBy("rank").collect()] == ["0000", "0001", "0002"]

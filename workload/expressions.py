@@ -95,7 +95,7 @@ WITH top AS (SELECT source FROM documents GROUP BY source ORDER BY count(*) DESC
 SELECT doc_id, source, quality FROM documents JOIN labels USING (doc_id) WHERE source IN (SELECT source FROM top)""")
 def exp8(spark, sf):
     d = labelled(spark, sf)
-    top = statistics.top_values(statistics.category_counts(table(spark, sf, "documents"), ["source"]), 3)
+    top = statistics.top_values(table(spark, sf, "documents"), ["source"], 3)
     few = F.broadcast(top.select(F.col("value").alias("source")))  # three rows
     return cells.complete_rows(d, "quality").join(few, "source", "left_semi").select("doc_id", "source", "quality")
 
