@@ -1,4 +1,7 @@
-"""Connected components of a table of links, by alternating large-star and small-star steps."""
+"""Connected components of a table of links, by alternating large-star and small-star steps.
+
+Joins are merge joins by hint, so that no table of vertices, however small its file, goes whole through the driver.
+"""
 
 from __future__ import annotations
 
@@ -22,14 +25,14 @@ def _large_star(edges: DataFrame) -> DataFrame:
     """Each vertex points its larger neighbours to the smallest vertex among its neighbours and itself."""
     both = both_ways(edges)
     least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
-    return both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+    return both.join(least.hint("merge"), "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Each vertex points its smaller neighbours and itself to the smallest of them. Edges come as a > b."""
     least = edges.groupBy("a").agg(F.min("b").alias("m"))
     pointed = F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("a").alias("a"), F.col("m").alias("b")))
-    return edges.join(least, "a").select(F.inline(pointed)).filter("a <> b").distinct()
+    return edges.join(least.hint("merge"), "a").select(F.inline(pointed)).filter("a <> b").distinct()
 
 
 def reached(links: DataFrame, rounds: int) -> DataFrame:
@@ -39,7 +42,7 @@ def reached(links: DataFrame, rounds: int) -> DataFrame:
     both = stored(links.select(F.inline(loops)).distinct(), "neighbours")
     roots = stored(both.groupBy(F.col("a").alias("vertex")).agg(F.min("b").alias("root")), "roots")
     for _ in range(rounds - 1):
-        near = both.join(roots, F.col("b") == F.col("vertex")).groupBy("a").agg(F.min("root").alias("root"))
+        near = both.join(roots.hint("merge"), F.col("b") == F.col("vertex")).groupBy("a").agg(F.min("root").alias("root"))
         roots = stored(near.withColumnRenamed("a", "vertex"), "roots")
     return roots
 

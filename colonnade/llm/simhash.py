@@ -10,6 +10,9 @@ Equal fingerprints are one entry, so copies make no pairs. A table key under whi
 the other half, hence in at most one bit of one of its two quarters, which is looked up in the same way. A refined key
 holds at most 2^16 fingerprints, and a fingerprint has at most 43,744 others within three bits, so links and comparisons
 grow with the number of different fingerprints.
+
+Joins of fingerprints are merge joins by hint: a file of a few MB of them is a large table of keys, which Spark would
+otherwise send whole through the driver.
 """
 
 from __future__ import annotations
@@ -110,15 +113,15 @@ def links(prints: DataFrame, crowded: int = CROWDED) -> DataFrame:
               .select("x", "half", _ball(_part("x", F.col("half"), 32), 32, True).alias("key")).filter("key IS NOT NULL"))
     hot = stored(entries.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > crowded).select("key"), "crowded")
     if not hot.take(1):
-        return _close(probes.join(entries, "key")).distinct()
-    found = _close(probes.join(entries.join(hot, "key", "left_anti"), "key"))
+        return _close(probes.join(entries.hint("merge"), "key")).distinct()
+    found = _close(probes.join(entries.join(hot, "key", "left_anti").hint("merge"), "key"))
     # in the other half x and y differ in at most one bit of one quarter: quarters 2 and 3 where half 0 is the key
     quarter = F.explode(F.when(F.col("half") == 0, F.array(F.lit(2), F.lit(3))).otherwise(F.array(F.lit(0), F.lit(1))))
     inner = entries.join(hot, "key", "left_semi").withColumn("half", F.call_function("shiftright", F.col("key"), F.lit(32)))
     inner = inner.select("key", "y", quarter.alias("quarter")).select("key", "y", _part("y", F.col("quarter"), 16).alias("sub"))
     outer = probes.join(hot, "key", "left_semi").select("key", "x", quarter.alias("quarter")).select("key", "x", "quarter", _bits(16).alias("bit"))
     outer = outer.select("key", "x", _ball(_part("x", F.col("quarter"), 16), 16, False).alias("sub"))
-    return found.unionByName(_close(outer.join(inner, ["key", "sub"]))).distinct()
+    return found.unionByName(_close(outer.join(inner.hint("merge"), ["key", "sub"]))).distinct()
 
 
 def near_duplicates(docs: DataFrame, crowded: int = CROWDED) -> DataFrame:
@@ -131,6 +134,6 @@ def near_duplicates(docs: DataFrame, crowded: int = CROWDED) -> DataFrame:
     own = stored(fingerprints(docs), "prints")
     entries = stored(own.groupBy("print").agg(F.min("doc_id").alias("least")), "entries")
     roots = components(stored(links(entries.select("print"), crowded), "links"), "a", "b")
-    placed = entries.join(roots, F.col("print") == F.col("vertex"), "left").select("print", "least", F.coalesce("root", "print").alias("root"))
-    named = placed.join(placed.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("print", "component_id")
-    return own.join(named, "print").select("doc_id", F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), "component_id")
+    placed = entries.join(roots.hint("merge"), F.col("print") == F.col("vertex"), "left").select("print", "least", F.coalesce("root", "print").alias("root"))
+    named = placed.join(placed.groupBy("root").agg(F.min("least").alias("component_id")).hint("merge"), "root").select("print", "component_id")
+    return own.join(named.hint("merge"), "print").select("doc_id", F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), "component_id")

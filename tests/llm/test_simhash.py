@@ -8,6 +8,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from colonnade.llm import simhash as S
+from colonnade.llm.components import _large_star, _small_star
 
 
 def slow_print(text):
@@ -94,3 +95,13 @@ def test_whole_table(spark):
     rows = [(r.doc_id, slow_print(r.text)) for r in docs.collect()]
     assert {i: (p, c) for (i, p), c in zip(rows, components(rows), strict=True)} == got
     assert docs.filter(F.col("text").isNull()).count() + len(got) >= 200
+
+
+def test_no_table_of_fingerprints_goes_through_the_driver(spark, tmp_path):
+    """Small files of fingerprints and vertices are joined without a broadcast, whatever Spark's threshold."""
+    spark.createDataFrame([(i * 7919,) for i in range(200)], "print long").write.parquet(f"{tmp_path}/prints")
+    spark.createDataFrame([(i + 1, i) for i in range(200)], "a long, b long").write.parquet(f"{tmp_path}/edges")
+    prints, edges = spark.read.parquet(f"{tmp_path}/prints"), spark.read.parquet(f"{tmp_path}/edges")
+    docs = spark.createDataFrame([(i, "a b c " + str(i)) for i in range(20)], "doc_id long, text string")
+    for table in (S.links(prints), _large_star(edges), _small_star(edges), S.near_duplicates(docs)):
+        assert "Broadcast" not in table._jdf.queryExecution().executedPlan().toString()
