@@ -14,7 +14,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from colonnade.llm.runtime import quoted
+from colonnade.llm.runtime import quoted, stored
 
 WEIGHTS = (1, 2, 3)
 MOST = 3
@@ -76,14 +76,6 @@ def laid_out(docs: DataFrame) -> DataFrame:
     return lined.join(placed, same).withColumn("before", F.col("_ahead") + F.col("_inside"))
 
 
-def taken(size: Column, before: Column, source_size: Column, target: Column) -> Column:
-    """Words taken of a document: whole rounds, and in the last round what lies before the target in the source's line."""
-    whole = F.round(target).cast("long")
-    rounds = F.floor(whole / F.when(source_size > 0, source_size))
-    rest = whole - rounds * source_size
-    return F.coalesce(rounds * size + F.greatest(F.lit(0), F.least(size, rest - before)), F.lit(0)).cast("long")
-
-
 def time_of(demand: Column, target: Column, cycle: Column) -> Column:
     """The time at which a source's integrated schedule reaches `demand` words of its target."""
     out = F.lit(0.0)
@@ -96,16 +88,38 @@ def time_of(demand: Column, target: Column, cycle: Column) -> Column:
     return F.coalesce(F.least(F.lit(1.0), F.greatest(F.lit(0.0), out)), F.lit(0.0))
 
 
+def copies(lined: DataFrame) -> DataFrame:
+    """The rows of `laid_out` once per round that takes them, with _round, _got (words taken) and _time."""
+    whole = F.round("target").cast("long")
+    rounds = F.ceil(whole / F.when(F.col("source_size") > 0, F.col("source_size")))
+    each = lined.filter("_size > 0").select("*", F.explode(F.expr("sequence(0L, cast(:m as bigint) - 1)".replace(":m", str(MOST)))).alias("_round")).filter(F.col("_round") < rounds)
+    start = F.col("before") + F.col("_round") * F.col("source_size")
+    got = F.least(F.col("_size"), whole - start)
+    return each.withColumn("_got", got).filter("_got > 0").withColumn("_time", time_of(start.cast("double"), F.col("target"), F.col("cycle")))
+
+
+def time_sorted(timed: DataFrame) -> DataFrame:
+    """Copies in training order: ranges of the time, sorted within."""
+    return timed.repartitionByRange(F.col("_time"), F.col("_order")).sortWithinPartitions("_time", "_order")
+
+
 def mixture(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, source, size, source_size, target, taken, position (the time of its first copy, in [0, 1]).
 
-    Null texts have size 0; a null source is a source of its own, the last. The last document that a source's target
-    reaches is taken in part, so every source meets its target to the word. Extra columns are not read.
+    Words and times are read off the copies in training order, which is written as a table of numbers without texts. A
+    document without a copy stands where its first one would be. Null texts have size 0; a null source is a source of its
+    own, the last. The last document that a source's target reaches is taken in part, so every source meets its target to
+    the word. Extra columns are not read.
     """
     lined = laid_out(docs.select("doc_id", "text", "source"))
-    took = taken(F.col("_size"), F.col("before"), F.col("source_size"), F.col("target"))
-    return lined.select("doc_id", "source", F.col("_size").alias("size"), "source_size", "target", took.alias("taken"),
-                        time_of(F.col("before").cast("double"), F.col("target"), F.col("cycle")).alias("position"))
+    numbers = ["doc_id", "source", "_size", "source_size", "target", "cycle", "before", "_order"]
+    lined = stored(lined.select(F.monotonically_increasing_id().alias("_row"), *numbers), "lined")  # written, so the numbers of rows stay
+    order = stored(time_sorted(copies(lined)).select(F.col("_row").alias("_copy_of"), "_got", "_time"), "order")
+    placed = order.groupBy("_copy_of").agg(F.sum("_got").alias("taken"), F.min("_time").alias("first"))
+    else_at = time_of(F.col("before").cast("double"), F.col("target"), F.col("cycle"))
+    return lined.join(placed, F.col("_row") == F.col("_copy_of"), "left").select(
+        "doc_id", "source", F.col("_size").alias("size"), "source_size", "target",
+        F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), F.coalesce(F.col("first"), else_at).alias("position"))
 
 
 def training_order(docs: DataFrame) -> DataFrame:
@@ -117,17 +131,11 @@ def training_order(docs: DataFrame) -> DataFrame:
     columns = docs.columns
     rest = [F.lit(0).alias("_none"), *[F.col(quoted(c)) for c in columns if c.lower() != "text"]]
     inner = docs.select("doc_id", "text", "source", F.struct(*rest).alias("_row"))
-    lined = laid_out(inner)
-    whole = F.round("target").cast("long")
-    rounds = F.ceil(whole / F.when(F.col("source_size") > 0, F.col("source_size")))
-    copies = lined.filter("_size > 0").select("*", F.explode(F.expr("sequence(0L, cast(:m as bigint) - 1)".replace(":m", str(MOST)))).alias("_round")).filter(F.col("_round") < rounds)
-    start = F.col("before") + F.col("_round") * F.col("source_size")
-    got = F.least(F.col("_size"), whole - start)
-    timed = copies.withColumn("_got", got).filter("_got > 0").withColumn("_time", time_of(start.cast("double"), F.col("target"), F.col("cycle")))
+    timed = copies(laid_out(inner))
     cut = F.when(F.col("_got") < F.col("_size"), first_words(F.col("text"), F.col("_got"))).otherwise(F.col("text"))
     out = timed.withColumn("_text", cut)
     fields = [F.col("_text").alias(c) if c.lower() == "text" else F.length("_text").cast(dict(docs.dtypes)[c]).alias(c) if c.lower() == "n_chars" else F.col("_row")[c].alias(c) for c in columns]
-    return out.repartitionByRange(F.col("_time"), F.col("_order")).sortWithinPartitions("_time", "_order").select(*fields)
+    return time_sorted(out).select(*fields)
 
 
 def first_words(text: Column, n: Column) -> Column:

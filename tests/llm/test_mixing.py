@@ -41,3 +41,16 @@ def test_training_order(spark):
     place = lambda s: [i for i, r in enumerate(copies) if r.source == s]
     mean = {s: sum(place(s)) / len(place(s)) for s in ("s0", "s2")}
     assert mean["s0"] < mean["s2"]
+
+
+def test_mixture_is_read_off_the_sorted_copies(spark, monkeypatch):
+    docs = [(i % 40, f"a{i}  b\tc\nd " * (i % 5), f"s{i % 3}") for i in range(60)] + [(1, "a1 b", "s1"), (1, "a1 b", "s1"), (None, None, None)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    sort, seen = mixing.time_sorted, []
+    monkeypatch.setattr(mixing, "time_sorted", lambda d: seen.append(sort(d)) or seen[-1])
+    rows = mixing.mixture(df).collect()
+    order = [(r._time, r._got) for r in seen[0].collect()]
+    assert [t for t, _ in order] == sorted(t for t, _ in order)
+    assert len(rows) == len(docs) and sum(r.taken for r in rows) == sum(n for _, n in order)
+    first = sorted(r.position for r in rows if r.taken)
+    assert set(first) <= {t for t, _ in order} and first[0] == order[0][0]
