@@ -1,9 +1,11 @@
 import zlib
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from colonnade.llm import pairwise_quality, rules
+from colonnade.llm import pairwise_quality, rules, textops
 
 SF = "/root/testdata/sf0.01"
 
@@ -46,3 +48,30 @@ def test_without_both_labels(spark, tables):
     good = labels.filter("quality = 1")
     assert {r.predicted for r in pairwise_quality.quality_table(docs, good).collect()} == {1}
     assert {r.kept == (not r.base_failed) for r in rules.rules_table(docs, good).collect()} == {True}
+
+
+def learned_rows(docs, labels):
+    """Labelled texts outside the held-out fold, by id."""
+    rows = docs.join(labels, "doc_id").select("doc_id", "text", "quality").collect()
+    return sorted((r.doc_id, r.text or "", r.quality) for r in rows if zlib.crc32(str(r.doc_id).encode()) % 4 != 2)
+
+
+def block_of(texts):
+    return next(textops.blocks(pa.array(texts), 1 << 40))
+
+
+def test_ranking_learns_from_all_pairs(spark, tables):
+    docs, labels = tables
+    rows = learned_rows(docs, labels)
+    x, good = pairwise_quality.features(block_of([t for _, t, _ in rows])), np.array([q for _, _, q in rows])
+    model = pairwise_quality.fit(docs, labels)
+    assert np.allclose(model.center, x.mean(0)) and np.allclose(model.scale, np.maximum(x.std(0), 1e-6), atol=1e-5)
+    z, w = np.clip((x - x.mean(0)) / np.maximum(x.std(0), 1e-6), -8, 8), np.zeros(x.shape[1])
+    gaps = (z[good == 1][:, None] - z[good == 0]).reshape(-1, x.shape[1])
+    for _ in range(25):
+        p = 1 / (1 + np.exp(-np.clip(gaps @ w, -30, 30)))
+        slope, curve = gaps.T @ (p - 1) / len(gaps) + 1e-3 * w, (gaps * (p * (1 - p))[:, None]).T @ gaps / len(gaps) + 1e-3 * np.eye(len(w))
+        w = w - np.linalg.solve(curve, slope)
+    assert np.abs(model.weights - w).max() < 2e-3 * np.abs(w).max()
+    order, k = np.sort(model.strength(x)), int((good == 0).sum())
+    assert abs(model.cut - (order[k - 1] + order[k]) / 2) < 1e-9
