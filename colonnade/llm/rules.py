@@ -7,6 +7,7 @@ so long and short texts compare. Its logits are calibrated on labelled rows that
 
 from __future__ import annotations
 
+import math
 from typing import NamedTuple
 
 import numpy as np
@@ -16,12 +17,14 @@ from pyspark.sql import functions as F
 
 from colonnade.llm import textops as T
 from colonnade.llm.runtime import beside, free, quoted, ship
-from colonnade.llm.samples import labelled_sample
+from colonnade.llm.samples import clean_labels, labelled_texts
 
 BUCKETS = 1 << 16  # of words, and as many of characters
 WORD_RUNS, CHAR_RUNS = (1, 2), (3, 5)
 GAIN = 64.0  # the means are small numbers; this brings them to the scale of the weights
 KEEP_FROM = 0.5
+PART, TASKS = 3000, 256  # labelled documents that are fitted together, and tasks that fit
+UNIT = float(1 << 36)  # weights are added up in whole parts of this
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 BASE_COLUMNS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
@@ -78,44 +81,78 @@ def rows_of(block: T.Block):
     return cut, bucket, value
 
 
-def _grams_of(batches):
-    for batch in batches:
-        for b in T.blocks(batch.column("text")):
-            cut, bucket, value = rows_of(b)
-            lists = lambda flat, kind: pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(flat, kind))  # noqa: B023, E731
-            part = batch.slice(b.first, b.n)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("quality"), lists(bucket, pa.int32()), lists(value, pa.float32())],
-                                             ["doc_id", "quality", "bucket", "value"])
-
-
 def _fit_of(batches, steps: int):
-    """All rows of the sample, sorted by doc_id, to one row: the classifier."""
-    good, sizes, bucket, value = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)], [np.zeros(0, np.int32)], [np.zeros(0, np.float32)]
-    for batch in batches:
-        good.append(batch.column("quality").to_numpy())
-        sizes.append(np.diff(batch.column("bucket").offsets.to_numpy()))
-        bucket.append(batch.column("bucket").flatten().to_numpy())
-        value.append(batch.column("value").flatten().to_numpy())
-    cut = np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
-    model = fit_arrays(cut, np.concatenate(bucket), np.concatenate(value), np.concatenate(good).astype(float), steps)
-    yield pa.RecordBatch.from_pylist([model._replace(weights=model.weights.tobytes())._asdict()])
-
+    """Texts sorted by part and doc_id to one row: the parts fitted and the whole-number sums of their classifiers."""
+    fitted, weights, bias = 0, np.zeros(2 * BUCKETS, np.int64), 0
+    held: list[tuple] = []
+    part = None
+
+    def close():
+        nonlocal fitted, weights, bias
+        n, sizes, bucket, value = ([h[i] for h in held] for i in range(4))
+        cut = np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
+        m = fit_arrays(cut, np.concatenate(bucket), np.concatenate(value), np.concatenate(n).astype(float), steps)
+        # the calibrated logit of the part's model, linear in the n-grams
+        weights = weights + np.rint(m.slope * m.weights * UNIT).astype(np.int64)
+        bias += round((m.slope * m.bias + m.shift) * UNIT)
+        fitted += 1
+        held.clear()
 
-def fit(docs: DataFrame, labels: DataFrame, bound: int = 3000, steps: int = 80) -> Classifier:
-    """Fits on at most `bound` labelled documents; every fourth of them calibrates instead.
-
-    The n-grams are counted where the texts are; one task fits on the bounded sample (a document has at most
-    2 * `BUCKETS` values, 8 bytes each), and only the weights come to the driver. Without documents of both labels
-    every text gets probability 1.
+    for batch in batches:
+        owner = batch.column("part").to_numpy()
+        edges = [0, *(np.flatnonzero(np.diff(owner)) + 1).tolist(), len(owner)]
+        for i, j in zip(edges, edges[1:], strict=False):
+            if i == j:
+                continue
+            if held and part != owner[i]:
+                close()
+            part, own = owner[i], batch.slice(i, j - i)
+            good = own.column("quality").to_numpy()
+            for b in T.blocks(own.column("text")):
+                cut, bucket, value = rows_of(b)
+                held.append((good[b.first:b.first + b.n], np.diff(cut), bucket.astype(np.int32), value.astype(np.float32)))
+    if held:
+        close()
+    if fitted:
+        yield _packed(fitted, weights, bias)
+
+
+def _packed(fitted: int, weights: np.ndarray, bias: int):
+    return pa.RecordBatch.from_pylist([{"fitted": fitted, "weights": weights.tobytes(), "bias": bias}])
+
+
+def _added(batches):
+    rows = [0, np.zeros(2 * BUCKETS, np.int64), 0]
+    for row in (r for batch in batches for r in batch.to_pylist()):
+        rows = [rows[0] + row["fitted"], rows[1] + np.frombuffer(row["weights"], np.int64), rows[2] + row["bias"]]
+    yield _packed(*rows)
+
+
+def fit(docs: DataFrame, labels: DataFrame, part: int = PART, steps: int = 80) -> Classifier:
+    """Fits on all labelled documents outside the held-out fold; every fourth of them calibrates instead.
+
+    The documents are dealt by the hash of their id into parts of about `part`; a task fits a part at a time (a document
+    has at most 2 * `BUCKETS` values, 8 bytes each). The classifier is the mean of the parts' calibrated logits, which is
+    linear again. At most `TASKS` rows of weights are added up by one task, and only their sum comes to the driver.
+    Without documents of both labels every text gets probability 1.
     """
     ship(docs.sparkSession)
-    sample = labelled_sample(docs, labels, bound)
-    rows = sample.mapInArrow(_grams_of, "doc_id long, quality int, bucket array<int>, value array<float>")
-    sorted_rows = rows.repartition(1).sortWithinPartitions("doc_id")
-    model = sorted_rows.mapInArrow(lambda batches: _fit_of(batches, steps), "weights binary, bias double, slope double, shift double").first()
-    if model is None:
+    counts = {r["quality"]: r["count"] for r in _known(docs, labels).groupBy("quality").count().collect()}
+    if len(counts) < 2:
         return Classifier(np.zeros(2 * BUCKETS), 0.0, 0.0, 30.0)
-    return Classifier(np.frombuffer(model.weights), model.bias, model.slope, model.shift)
+    parts = max(1, math.ceil(sum(counts.values()) / part))
+    own = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(parts)).cast("int")
+    rows = labelled_texts(docs, labels).withColumn("part", own)
+    tasks = rows.repartition(min(parts, TASKS), "part").sortWithinPartitions("part", "doc_id").select("part", "quality", "text")
+    kind = "fitted long, weights binary, bias long"
+    row = tasks.mapInArrow(lambda batches: _fit_of(batches, steps), kind).repartition(1).mapInArrow(_added, kind).first()
+    total = row["fitted"] * UNIT
+    return Classifier(np.frombuffer(row["weights"], np.int64) / total, row["bias"] / total, 1.0, 0.0)
+
+
+def _known(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The labels of ids that docs holds."""
+    return clean_labels(labels).join(docs.select(F.col("doc_id").alias("_id")).distinct(), "_id", "left_semi")
 
 
 def fit_arrays(cut: np.ndarray, bucket: np.ndarray, value: np.ndarray, good: np.ndarray, steps: int = 80, rate: float = 0.05, penalty: float = 1e-4) -> Classifier:
@@ -203,15 +240,15 @@ def judge(docs: DataFrame, model: Classifier, prefix: str = "") -> DataFrame:
     return beside(docs, [(prefix + n.removeprefix(prefix), kind) for n, kind in added], start)
 
 
-def rules_table(docs: DataFrame, labels: DataFrame, bound: int = 3000) -> DataFrame:
+def rules_table(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Per row: doc_id, the base counts, base_failed, probability, kept. Rows that share an id are judged each by its text.
 
     A null text has no words, so it fails the base rules. Extra columns are not read; an empty table gives no rows.
     """
-    return judge(docs.select("doc_id", "text"), fit(docs, labels, bound)).select("doc_id", *BASE_COLUMNS, "base_failed", "probability", "kept")
+    return judge(docs.select("doc_id", "text"), fit(docs, labels)).select("doc_id", *BASE_COLUMNS, "base_failed", "probability", "kept")
 
 
-def kept(docs: DataFrame, labels: DataFrame, bound: int = 3000) -> DataFrame:
+def kept(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that pass the rules and the classifier, with their columns."""
     own = free(docs, "__")
-    return judge(docs, fit(docs, labels, bound), own).filter(F.col(f"{own}kept")).select(*[F.col(quoted(c)) for c in docs.columns])
+    return judge(docs, fit(docs, labels), own).filter(F.col(f"{own}kept")).select(*[F.col(quoted(c)) for c in docs.columns])

@@ -25,24 +25,3 @@ def labelled_texts(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return (known.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
             .join(clean_labels(labels), F.col("doc_id") == F.col("_id"))
             .groupBy("doc_id").agg(F.min("text").alias("text"), F.min("quality").alias("quality")))
-
-
-def labelled_sample(docs: DataFrame, labels: DataFrame, bound: int) -> DataFrame:
-    """At most `bound` labelled texts outside the held-out fold, as (doc_id, text, quality).
-
-    Of each label up to half the bound is taken among the ids that docs holds, those with the smallest md5 of the id, so the choice depends on ids
-    alone. Labels other than 0 and 1 and null ids are left out; an id with both labels is left out too. The chosen ids
-    are at most `bound` rows, hence small enough to broadcast whatever the tables' sizes. A doc_id that several rows
-    share brings its smallest text.
-    """
-    clean = (labels.select(F.col("doc_id").alias("_id"), F.col("quality").cast("int").alias("quality"))
-             .filter(F.col("_id").isNotNull() & F.col("quality").isin(0, 1) & ~held_out("_id"))
-             .groupBy("_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("_most"))
-             .filter("quality = _most").drop("_most")
-             .join(docs.select(F.col("doc_id").alias("_id")).distinct(), "_id", "left_semi"))
-    order = [F.md5(F.col("_id").cast("string").cast("binary")), F.col("_id")]
-    chosen = [clean.filter(F.col("quality") == q).orderBy(*order).limit(max(1, bound // 2)) for q in (0, 1)]
-    picked = F.broadcast(chosen[0].unionByName(chosen[1]))
-    return (docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-            .join(picked, F.col("doc_id") == F.col("_id"))
-            .groupBy("doc_id").agg(F.min("text").alias("text"), F.min("quality").alias("quality")))

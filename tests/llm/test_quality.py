@@ -75,3 +75,16 @@ def test_ranking_learns_from_all_pairs(spark, tables):
     assert np.abs(model.weights - w).max() < 2e-3 * np.abs(w).max()
     order, k = np.sort(model.strength(x)), int((good == 0).sum())
     assert abs(model.cut - (order[k - 1] + order[k]) / 2) < 1e-9
+
+
+def test_rules_learn_from_all_parts(spark, tables):
+    docs, labels = tables
+    rows = learned_rows(docs, labels)
+    parts = {r.doc_id: r.part for r in docs.select("doc_id", F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(3)).alias("part")).collect()}
+    weights, bias = np.zeros(2 * rules.BUCKETS), 0.0
+    for part in range(3):
+        own = [(t, q) for i, t, q in rows if parts[i] == part]
+        m = rules.fit_arrays(*rules.rows_of(block_of([t for t, _ in own])), np.array([q for _, q in own], float))
+        weights, bias = weights + m.slope * m.weights / 3, bias + (m.slope * m.bias + m.shift) / 3
+    model = rules.fit(docs, labels, part=-(-len(rows) // 3))
+    assert np.allclose(model.weights, weights, rtol=1e-3, atol=1e-4) and abs(model.bias - bias) < 1e-3 and (model.slope, model.shift) == (1.0, 0.0)
