@@ -50,6 +50,17 @@ def test_without_both_labels(spark, tables):
     assert {r.kept == (not r.base_failed) for r in rules.rules_table(docs, good).collect()} == {True}
 
 
+def made(spark):
+    """600 documents of noisy words, the worse ones with more symbols, repeats and short lines; labels for half of them."""
+    draw, rows = np.random.default_rng(5), []
+    for i in range(600):
+        bad = i % 3 == 0
+        words = [f"w{draw.integers(30 if bad else 90)}{'#' if draw.random() < (0.2 if bad else 0.12) else ''}" for _ in range(draw.integers(20, 120))]
+        rows.append((i, "".join(w + ("\n" if draw.random() < (0.2 if bad else 0.15) else " ") for w in words), int(bad == (draw.random() < 0.1))))
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    return docs, spark.createDataFrame([(i, q) for i, _, q in rows if i % 2], "doc_id long, quality int")
+
+
 def learned_rows(docs, labels):
     """Labelled texts outside the held-out fold, by id."""
     rows = docs.join(labels, "doc_id").select("doc_id", "text", "quality").collect()
@@ -60,8 +71,8 @@ def block_of(texts):
     return next(textops.blocks(pa.array(texts), 1 << 40))
 
 
-def test_ranking_learns_from_all_pairs(spark, tables):
-    docs, labels = tables
+def test_ranking_learns_from_all_pairs(spark):
+    docs, labels = made(spark)
     rows = learned_rows(docs, labels)
     x, good = pairwise_quality.features(block_of([t for _, t, _ in rows])), np.array([q for _, _, q in rows])
     model = pairwise_quality.fit(docs, labels)
@@ -77,8 +88,8 @@ def test_ranking_learns_from_all_pairs(spark, tables):
     assert abs(model.cut - (order[k - 1] + order[k]) / 2) < 1e-9
 
 
-def test_rules_learn_from_all_parts(spark, tables):
-    docs, labels = tables
+def test_rules_learn_from_all_parts(spark):
+    docs, labels = made(spark)
     rows = learned_rows(docs, labels)
     parts = {r.doc_id: r.part for r in docs.select("doc_id", F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(3)).alias("part")).collect()}
     weights, bias = np.zeros(2 * rules.BUCKETS), 0.0
