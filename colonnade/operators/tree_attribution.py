@@ -30,12 +30,14 @@ from pyspark.sql.types import StructType
 
 from colonnade.functions.storage import scratch_path
 from colonnade.operators.boosting import SoftmaxBoostedTreesModel
+from colonnade.operators.forest import RandomForestModel
 
 FORESTS = (RandomForestClassificationModel, RandomForestRegressionModel)
 BOOSTED = (GBTClassificationModel, GBTRegressionModel)
 SINGLE = (DecisionTreeClassificationModel, DecisionTreeRegressionModel)
 CLASSIFIERS = (RandomForestClassificationModel, DecisionTreeClassificationModel)
-PER_CLASS = (*CLASSIFIERS, SoftmaxBoostedTreesModel)  # a value for each class: its share, or its margin
+OWN = (SoftmaxBoostedTreesModel, RandomForestModel)  # they give their nodes themselves
+PER_CLASS = (*CLASSIFIERS, *OWN)  # a value for each class: its share, or its margin
 ROWS = 64  # rows scored at once
 
 NODES = ("tree int, weight double, id int, feature int, threshold double, categories array<double>, left int, right int, "
@@ -51,7 +53,7 @@ def node_table(spark, model) -> DataFrame:
 
     Values are a class's share or margin for each class, or one number. MLlib's are read from the model as it is saved.
     """
-    if isinstance(model, SoftmaxBoostedTreesModel):
+    if isinstance(model, OWN):
         return spark.createDataFrame(model.node_rows(), NODES)
     path = scratch_path(spark, "model")
     model.save(path)
