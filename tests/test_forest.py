@@ -106,3 +106,23 @@ def test_a_run_takes_the_large_form(spark):
     assert explanation.attributions(run, entry["model_id"]).count() == run.rows["validation"] * 2
     assert explanation.permutation(run, entry["model_id"], 2).count() == 2
     assert evaluation.evaluate_run(run)["thresholds"].count() == 19
+
+
+def test_scores_are_looked_up_by_bins_in_arrow_batches(spark):
+    x, label = rows_of(400, 2)
+    model = RandomForest(numTrees=6, maxDepth=6, seed=2, featureSubsetStrategy="all").fit(frame(spark, x, label))
+    edges = model._edges()
+    odd = [[float("nan"), 1.0, 0.0], [float("inf"), float("-inf"), -0.0], *[[float(v) for v in (e, edges[1][0], edges[2][0])] for e in edges[0]]]
+    bins = forest._bins(np.array(odd), edges).reshape(3, -1)
+    for i, e in enumerate(edges):
+        for at, threshold in enumerate(e):  # above a threshold is above its place
+            assert (bins[i] > at).tolist() == [v[i] > threshold for v in odd]
+    out = model.transform(spark.createDataFrame([(i, v) for i, v in enumerate(odd)], "k int, x array<double>").select("k", array_to_vector("x").alias("features")))
+    for r in out.select("k", vector_to_array("rawPrediction").alias("raw")).collect():
+        said = np.zeros(2)
+        for t in model.value("trees"):
+            at = 0
+            while t["feature"][at] >= 0:
+                at = t["left"][at] + int(odd[r["k"]][t["feature"][at]] > t["threshold"][at])
+            said += np.array(t["counts"][at]) / sum(t["counts"][at])
+        assert r["raw"] == said.tolist()
